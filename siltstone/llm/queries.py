@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat, exact, fingerprint, mixing, packing, quality, tokenfile
+from siltstone.llm import chat, exact, fingerprint, mixing, packing, quality, substring, suffix, tokenfile
 from siltstone.llm.tokens import vocabulary
 
 
@@ -18,6 +18,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_words(_table(spark, sf_dir, "documents"), window=35)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -42,8 +46,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(_table(spark, sf_dir, "documents"), window=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op4_exact_dedup, op5_chat_perspectives, op6_token_ids, op7_packing, op8_quality, op9_mixing)
+    own = (op1_fingerprints, op2_substring_dedup, op4_exact_dedup, op5_chat_perspectives, op6_token_ids, op7_packing, op8_quality, op9_mixing, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
