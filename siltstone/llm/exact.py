@@ -65,3 +65,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = index(docs, id_col, text_col, capacity, bits).select("key", "sha", "keep_id", "group_size")
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
     return rows.join(found, ["key", "sha"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: of each group of equal texts one with the largest id."""
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    found = index(docs, id_col, text_col).select(F.col("key").alias("_key"), F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
+    rows = docs.withColumn("_key", F.xxhash64(norm)).withColumn("_sha", F.sha2(norm, 256)).join(found, ["_key", "_sha"]).where(F.col(id_col).eqNullSafe(F.col("_keep")))
+    alone, several = rows.where("_size = 1"), rows.where("_size > 1").dropDuplicates(["_key", "_sha"])
+    return alone.unionByName(several).select(*docs.columns)

@@ -53,7 +53,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     position: of the first take; position_again: of the second, where there is one. most: 2 at most."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keep)
-    sizes = materialise(sizes, "mix-sizes") if not keep else sizes
+    sizes = materialise(sizes, "mix-sizes")
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = sizes.withColumn("_mark", mark).withColumn("_bucket", F.substring("_mark", 1, 2))
     rows = running_sum(rows, "size", ["source"], "_bucket", [F.col("_mark"), F.col("doc_id"), F.col("size")], "_before")

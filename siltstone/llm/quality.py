@@ -182,3 +182,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     model = fit(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held_out=held_out, **options)
     rows = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, ["doc_id"])
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, floor: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least floor."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(at)]
+            if texts:
+                yield batch.filter(pa.array(model.score(pool(model, texts)) >= floor))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat, exact, fingerprint, mixing, packing, quality, substring, suffix, tokenfile
+from siltstone.llm import chat, exact, fingerprint, mixing, nearjoin, packing, quality, substring, suffix, tokenfile
 from siltstone.llm.tokens import vocabulary
 
 
@@ -22,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(_table(spark, sf_dir, "documents"), window=35)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_groups(_table(spark, sf_dir, "documents"), percent=85, size=3)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_substring_dedup, op4_exact_dedup, op5_chat_perspectives, op6_token_ids, op7_packing, op8_quality, op9_mixing, op10_suffix_dedup)
+    own = (op1_fingerprints, op2_substring_dedup, op3_minhash_dedup, op4_exact_dedup, op5_chat_perspectives, op6_token_ids, op7_packing, op8_quality, op9_mixing, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
