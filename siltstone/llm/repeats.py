@@ -34,8 +34,8 @@ from siltstone.llm.common import materialise, parts
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93))
 PLACE_BITS = 28
-BATCH_BYTES = 2 << 20
-FLUSH = 1 << 20  # records
+BATCH_BYTES = 1 << 20
+FLUSH = 1 << 18  # records
 CROWD = 4  # contexts of one k-gram that a task deals to its owner; with more it calls the k-gram crowded
 LAST = 2**63 - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

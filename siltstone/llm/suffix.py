@@ -31,7 +31,7 @@ from siltstone.llm.repeats import REPLY, TEXTS, U, Batch, Spans, Windows, column
 BYTES = mixed(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 CYCLE = 31
 COVER = (1, 5, 11, 24, 25, 27)  # a perfect difference set modulo 31
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 OPEN = {"k": "<u8", "text": "<u4", "lo": "<u4", "n": "<u2"}
 
 
