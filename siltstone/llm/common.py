@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,9 +34,14 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, so a lost executor costs a
     reread, and partition ids or row positions recorded in the rows stay what they were."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch(spark, tag), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this job go when it ends, not when the driver collects garbage
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
