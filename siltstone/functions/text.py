@@ -213,7 +213,7 @@ def specifier_head(spec: Column) -> Column:
 
 def first_line(content: Column) -> Column:
     """The first line that isn't blank, with how many follow: what is left of a text without a language."""
-    lines = F.split(F.regexp_replace(content, r"\r?\n$", ""), r"\r?\n")
+    lines = F.split(F.regexp_replace(content, r"\r?\n\z", ""), r"\r?\n")
     at = F.array_position(F.transform(lines, lambda x: unicode_trim(x) != ""), True).cast("int")
     rest = F.size(lines) - at
     line = F.element_at(lines, at)

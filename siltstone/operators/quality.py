@@ -52,7 +52,7 @@ def macro(scored: DataFrame, *by: str) -> DataFrame:
 
 def line_weights(corpus: DataFrame) -> DataFrame:
     """file_path, line, weight: tokens of each line; the first chunk in order owns it."""
-    lines = F.split(F.regexp_replace("content", r"\n$", ""), r"\r?\n")
+    lines = F.split(F.regexp_replace("content", r"\n\z", ""), r"\r?\n")
     rows = corpus.select("ord", "file_path", "start_line", F.posexplode(lines).alias("at", "own"))
     return rows.groupBy("file_path", (F.col("start_line") + F.col("at")).alias("line")).agg(F.min_by(text.token_count(F.col("own")), "ord").alias("weight"))
 

@@ -91,7 +91,7 @@ def nearest(corpus: DataFrame, vectors: list[tuple], column: str = "counts", has
     vectors: (q_id, n, vector). hashed: whole-number vectors, whose products are exact; else a plain dot product."""
     names, counts = [v[0] for v in vectors], [int(v[1]) for v in vectors]
     wanted = np.array([v[2] for v in vectors], np.float64)
-    wanted = wanted if wanted.ndim == 2 else wanted.reshape(len(vectors), -1)
+    wanted = wanted if wanted.ndim == 2 else np.zeros((0, embed.DIM))
     sizes = np.sqrt((wanted * wanted).sum(1))
     kind = "long" if not names or isinstance(names[0], int) else "string"
 
@@ -239,7 +239,7 @@ def search(corpus: DataFrame, queries: DataFrame, edges: DataFrame | None = None
     """Hybrid results with bonus rows of neighbouring files where edges are given."""
     corpus = corpus if "counts" in corpus.columns else embedded(corpus)
     found = ranked(corpus, queries)
-    return expand(found, corpus, edges, queries) if edges is not None else found
+    return expand(found.persist(), corpus, edges, queries) if edges is not None else found  # k rows a query, read several times
 
 
 def related(corpus: DataFrame, edges: DataFrame, path: str, k: int) -> DataFrame:
@@ -270,7 +270,7 @@ def expand_members(results: DataFrame, corpus: DataFrame, links: DataFrame, quer
 def federated(members: DataFrame, queries: DataFrame, links: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Hybrid search over the union of members, with both expansions. edges: of namespaced paths."""
     corpus = embedded(union_corpus(members))
-    core = ranked(corpus, queries)
+    core = ranked(corpus, queries).persist()
     found = expand(core, corpus, edges, queries) if edges is not None else core
     return expand_members(found, corpus, links, queries, core)
 
