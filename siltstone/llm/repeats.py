@@ -277,7 +277,7 @@ class Windows:
                 crowd[firsts] = (many > CROWD)[of]
                 order = np.argsort(of, kind="stable")
                 nth = np.empty(len(of), np.int64)
-                nth[order] = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+                nth[order] = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
                 rows["crowded"] = crowd.astype(np.uint8)
                 sent = firsts[(nth < 2) | ~crowd[firsts]]
                 found = replies(texts, rows, done=done, crowded=crowd)
@@ -342,7 +342,7 @@ class Windows:
                 text = np.repeat(np.arange(len(own)), [len(x) for x in ranges])
                 ranges = np.concatenate(ranges)
                 n = ranges[:, 1] + 1
-                place = np.repeat(ranges[:, 0] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                place = np.repeat(ranges[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 text = np.repeat(text, n)
                 at = place + batch.starts[text]
                 rows = {"a": batch.spans.of(at, at + self.window), "b": (batch.spans.of(at, at + self.window, 1) >> U(32)).astype(np.uint32), "text": text, "lo": place}

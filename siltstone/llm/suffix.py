@@ -135,7 +135,7 @@ def _sort(window: int):
             chunk = b"".join(data[begin[j] : begin[j] + size[j]] for j in i)
             starts = np.concatenate([[0], np.cumsum(size[i])[:-1]])
             n = rows["n"][i].astype(np.int64) + 1
-            step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             of = np.repeat(np.arange(len(i)), n)
             text, lo = rows["text"][i][of], rows["lo"][i][of].astype(np.int64) + step
             group = classes(chunk, starts[of] + step, bucket[block == b][of], window)
