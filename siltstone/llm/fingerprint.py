@@ -40,8 +40,9 @@ def _of_pairs(h: Column, pairs: Column, k: int, keep: int) -> Column:
     edge = lambda i: F.least(at(i, 0), at(i, last)) <= F.least(*[at(i, d) for d in range(1, last)])
     pack = lambda x, i: F.shiftleft(F.shiftrightunsigned(x, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.least(i, F.lit(2**POSITION_BITS - 1)).cast("long"))
     spots = F.filter(F.sequence(F.lit(0), F.size(h) - k), edge)
-    found = F.array_sort(F.transform(spots, lambda i: pack(F.xxhash64(at(i, 0), at(i, 2), F.get(h, i + k - 1)), i)))
-    first = F.filter(found, lambda x, i: (i == 0) | (F.shiftright(x, POSITION_BITS) != F.shiftright(F.get(found, i - 1), POSITION_BITS)))
+    found = F.sort_array(F.transform(spots, lambda i: pack(F.xxhash64(at(i, 0), at(i, 2), F.get(h, i + k - 1)), i)))
+    # bound as a variable: an expression that a lambda names is evaluated for each element
+    first = F.transform(F.array(found), lambda f: F.filter(f, lambda x, i: (i == 0) | (F.shiftright(x, POSITION_BITS) != F.shiftright(F.get(f, i - 1), POSITION_BITS))))[0]
     short = F.array(pack(F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.xxhash64(acc, x)), F.lit(0)))
     return F.when(F.size(h) >= k, F.slice(first, 1, keep)).when(F.size(h) > 0, short).otherwise(F.array().cast("array<bigint>"))
 
@@ -49,14 +50,14 @@ def _of_pairs(h: Column, pairs: Column, k: int, keep: int) -> Column:
 def likeness(a: Column, b: Column, keep: int = 64) -> Column:
     """Jaccard estimate from two arrays of kept anchors, by their hashes."""
     hashes = lambda x: F.transform(x, lambda v: F.shiftright(v, POSITION_BITS))
-    pair = F.transform(F.array(F.struct(hashes(a).alias("a"), hashes(b).alias("b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.slice(F.array_sort(F.array_union(x["a"], x["b"])), 1, keep).alias("u")))
+    pair = F.transform(F.array(F.struct(hashes(a).alias("a"), hashes(b).alias("b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.slice(F.sort_array(F.array_union(x["a"], x["b"])), 1, keep).alias("u")))
     score = F.transform(pair, lambda x: F.when(F.size(x["u"]) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(x["a"], x["b"]), x["u"])) / F.size(x["u"])))
     return score[0]
 
 
 def render(found: Column) -> Column:
     """Anchors as text, in order of position: ten hex digits of the hash, '@', the position."""
-    by_place = F.array_sort(F.transform(found, lambda v: F.struct(v.bitwiseAND(2**POSITION_BITS - 1).alias("at"), F.shiftright(v, POSITION_BITS).alias("hash"))))
+    by_place = F.sort_array(F.transform(found, lambda v: F.struct(v.bitwiseAND(2**POSITION_BITS - 1).alias("at"), F.shiftright(v, POSITION_BITS).alias("hash"))))
     return F.array_join(F.transform(by_place, lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 10, "0"), F.lit("@"), x["at"].cast("string"))), " ")
 
 
