@@ -6,11 +6,10 @@ text are the ids of its parts in turn; a text for which that isn't certain goes
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
-import numpy as np
-
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _loaded: dict[tuple[str, str], Callable[[str], bytes]] = {}
 
 
@@ -21,19 +20,45 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_letters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if it is printable, else the next free one from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class _Cache(dict):
-    """part -> its ids as little-endian unsigned 32-bit integers."""
+    """part -> its ids as little-endian unsigned 32-bit integers. When it is full, what it holds becomes the older half,
+    from which parts that are asked for again come back."""
 
-    def __init__(self, encode: Callable[[str], list[int]], lead: str = ""):
+    def __init__(self, encode: Callable[[str, str], list[int]], lead: str = ""):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.older = encode, lead, {}
 
     def __missing__(self, part: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        found = self[part] = np.asarray(self.encode(self.lead + part.decode()), "<u4").tobytes()
+        found = self.older.get(part)
+        if found is None:
+            # a full stop or comma after a letter is split off before any merge
+            if part[-1:] in (b".", b",") and part[-2:-1].isalpha():
+                found = self[part[:-1]] + self.mark(part[-1:])
+            else:
+                found = packed(self.encode(self.lead, part.decode()))
+        self[part] = found
         return found
 
+    def mark(self, sign: bytes) -> bytes:
+        key = b" " + sign  # no part begins with a space
+        if key not in self:
+            self[key] = packed(self.encode("", sign.decode()))
+        return self[key]
+
 
 def encoder(path: str, kind: str) -> Callable[[str], bytes]:
     """A function from text to its ids as little-endian unsigned 32-bit integers; no special tokens are added, and
@@ -49,19 +74,30 @@ def encoder(path: str, kind: str) -> Callable[[str], bytes]:
     def whole(text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
 
+    model, letters = tokenizer.model, byte_letters()
+
+    def part_ids(lead: str, part: str) -> list[int]:
+        """A part of letters only is one piece before the merges, which the model then makes by itself."""
+        plain = part
+        if kind == "word":  # letters below U+0250 are composed
+            plain = part.lower() if max(part, default="") < "\u0250" else ""
+        if plain.isalpha():
+            return [t.id for t in model.tokenize((lead + plain).encode().decode("latin-1").translate(letters))]
+        return whole(lead + part)
+
     if kind == "word":
-        words = _Cache(whole)
+        words = _Cache(part_ids)
 
         def encode(text: str) -> bytes:
-            return b"".join(map(words.__getitem__, text.encode().split()))
+            return b"".join(map(words.__getitem__, text.encode().lower().split()))  # ASCII letters; the tokenizer lower-cases all
 
     else:
-        first, spaced = _Cache(whole), _Cache(whole, " ")
+        first, spaced = _Cache(part_ids), _Cache(part_ids, " ")
 
         def encode(text: str) -> bytes:
             parts = text.encode().split(b" ")
             if b"" in parts:  # a run of spaces, or one at an end: white space may join across the cut
-                return np.asarray(whole(text), "<u4").tobytes()
+                return packed(whole(text))
             return first[parts[0]] + b"".join(map(spaced.__getitem__, parts[1:]))
 
     _loaded[path, kind] = encode
