@@ -305,9 +305,12 @@ class Windows:
     def _own(self, frame: pd.DataFrame) -> pd.DataFrame:
         texts, rows = gather(frame, self.types)
         rows, done, firsts = settle(rows, self.mode)
-        grams, of, many = np.unique(rows["k"][firsts], return_inverse=True, return_counts=True)
+        # any row tells that its k-gram is crowded: the first of a context may come from a flush where it isn't
+        grams, of = np.unique(rows["k"], return_inverse=True)
         crowd = np.zeros(len(grams), np.uint8)
-        np.maximum.at(crowd, of, rows["crowded"][firsts])
+        np.maximum.at(crowd, of, rows["crowded"])
+        of = of[firsts]
+        many = np.bincount(of, minlength=len(grams))
         opened, crowded = np.zeros(len(done), bool), np.zeros(len(done), bool)
         crowded[firsts] = (crowd > 0)[of]
         alive = firsts[((many > 1) & (crowd == 0))[of]]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from siltstone.llm import chat, exact, fingerprint, mixing, nearjoin, packing, quality, repeats, substring, suffix, tokenfile
@@ -122,6 +123,27 @@ def test_bytes_with_crowded_anchors(spark):
     assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(own)
 
 
+def test_crowded_k_gram_whose_contexts_are_first_in_another_flush():
+    """Flush A calls a k-gram crowded and sends two of its contexts; flush B, not crowded and with smaller ids, holds both."""
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    middle = part(110)
+    whole = [part(80) + middle + part(80) for _ in range(7)]
+    find = repeats.Windows(100, (20,), "later", suffix.sequence)
+
+    def flush(texts, first_id):
+        own = pd.DataFrame({"t": [zlib.crc32(x.encode()) for x in texts], "u": 0, "id": range(first_id, first_id + len(texts)), "text": [x.encode() for x in texts]})
+        return pd.concat(find._survey(1)(iter([own])))
+
+    crowded = flush(whole[:6], 10)
+    for i in range(6):  # one of the pairs is what flush A sends
+        for j in range(i):
+            both = pd.concat([crowded, flush([whole[i] + part(9), whole[j] + part(9), whole[6]], 1)])
+            got = find._own(both[both["owner"] == 0])
+            hashed = repeats.pairs_of(got["crowded"][got["id"] == 3])
+            assert repeats.spread(hashed, len(whole[6]), 100)[80:190].all()
+
+
 def test_cover_ranks_separate_long_ties():
     rng = random.Random(2)
     base = bytes(rng.randrange(97, 123) for _ in range(150))
