@@ -4,15 +4,17 @@ A document's set is its distinct shingles of 3 words (A-Z lower-cased). Equal se
 hash of the set. Every set has COORDINATES MinHash values. A tree of the join starts with all sets in its root; a tree
 node picks the coordinate its name leads to (and, for a share 1 / threshold - 1 of the nodes, a second one, so that the
 expected number of paths a pair at the threshold stays on together does not fall with depth), and its sets go on to the child
-named by their value there. Trees are independent and there are enough of them that a pair at the threshold is missed with a
-probability of about 1e-6. Nodes of up to LEAF sets are compared exhaustively; larger ones branch on, and what has not
-split after all levels (large families of near copies) is dealt into leaves that also hold the family's pivot.
+named by their value there. All nodes of the first level (depth STEP) are compared exhaustively, whatever their size, so a pair is
+missed only if it meets in none of them: computed as 8e-8 at J = 0.85 (threshold 0.85) and 7e-7 at J = 0.80 (threshold 0.80),
+and at most 2e-8 more by MARGIN, at any size of its family. Nodes of more than LEAF sets also branch on and are dealt into leaves that
+hold the node's pivot, at each level; that only finds links early, and no pair depends on it.
 
 Leaves propose links by their MinHash agreement, with a margin of more than five standard deviations: first each set
 with the earlier set it agrees with most. Links are confirmed on the full sets, components are
-formed, and then every pair of a leaf that agrees and is not yet in one component is proposed and confirmed as well; for
-a family over many leaves, the sets outside the pivot's component are sent to each of its leaves. Pairs inside a component tell
-nothing new, so families of copies cost their size and not its square, and no pair is capped.
+formed, and then every pair of a first-level node that agrees and is not yet in one component is proposed and confirmed as
+well; for a node over many leaves, the sets outside its largest component are sent to each of its leaves. Pairs inside a
+component tell nothing new, so families of copies cost their size and not its square; sets that agree but don't link cost
+the square of their number. No pair is capped.
 
 Defined cases: null text and text without words have the empty set, which links with nothing; fewer than 3 words are one
 shingle; rows that repeat an id take part each by itself; null ids order last, and a component of such rows only has a
@@ -166,9 +168,9 @@ def _forest(least: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 
 def _apart(least: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All pairs of a leaf that agree, are in different components, and hold one that was sent to compare."""
+    """All pairs that agree and are in different components, of a set that asks and one that is at home in the leaf."""
     for leaf in leaves(frames):
-        asks = leaf[leaf["asks"]]
+        asks, leaf = leaf[leaf["asks"]], leaf[leaf["home"]]
         ours, all_ = _signatures(asks["signature"]), _signatures(leaf["signature"])
         for at in range(0, len(asks), LEAF):
             own = asks[at : at + LEAF]
@@ -231,7 +233,7 @@ def _links(texts: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataF
         many = front.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
         last = level == LEVELS - 1
         grows = F.lit(False) if last else F.col("n") > LEAF
-        held = materialise(front.join(many, "path").join(keyed, "node").withColumn("grows", grows), "near-leaves", "lz4")
+        held = materialise(front.join(many, "path").join(keyed, "node").withColumn("grows", grows).withColumn("top", F.lit(level == 0)), "near-leaves", "lz4")
         stopped.append(held.where("not grows"))
         wide = held.where("grows")
         if last or wide.isEmpty():
@@ -256,10 +258,12 @@ def _by_leaf(found: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFr
     pairs = materialise(together(inside).mapInPandas(partial(_forest, least), "a long, b long").distinct(), "near-pairs")
     links = confirm(pairs, texts, nodes, size, percent)
     labels = components(links)
-    tagged = dealt.where("not grows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_ = tagged.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("label"))).alias("main")).where("lo <> hi").select("path", "main")
-    open_ = materialise(tagged.join(mixed_, "path").withColumn("asks", F.col("label") != F.col("main")).select("path", "leaf", "node", "signature", "label", "asks", count.alias("count")), "near-open", "lz4")
-    sent = open_.where("asks").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).where("to <> leaf").select("path", F.col("to").alias("leaf"), "node", "signature", "label", "asks")
-    rest = together(open_.drop("count").unionByName(sent.withColumn("leaf", F.col("leaf").cast("long")))).mapInPandas(partial(_apart, least), "a long, b long").distinct()
+    # deeper nodes only hold sets that a node of the first level holds too, so comparing those whole leaves nothing out
+    tagged = dealt.where("top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = tagged.groupBy("path", "label").agg(F.count(F.lit(1)).alias("held"))
+    mixed_ = sizes.groupBy("path").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("held", "label"))["label"].alias("main")).where("labels > 1").select("path", "main")
+    open_ = materialise(tagged.join(mixed_, "path").withColumn("asks", F.col("label") != F.col("main")).select("path", "leaf", "node", "signature", "label", "asks", F.lit(True).alias("home"), count.alias("count")), "near-open", "lz4")
+    sent = open_.where("asks").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).where("to <> leaf").select("path", F.col("to").cast("long").alias("leaf"), "node", "signature", "label", "asks", F.lit(False).alias("home"))
+    rest = together(open_.drop("count").unionByName(sent)).mapInPandas(partial(_apart, least), "a long, b long").distinct()
     rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     return links.unionByName(confirm(rest, texts, nodes, size, percent)) if not rest.isEmpty() else links

@@ -195,6 +195,21 @@ def test_near_families_larger_than_a_leaf(spark, monkeypatch):
     assert as_rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(own, 85, 3)
 
 
+def test_near_pair_that_leaves_a_wide_node_together_with_no_one(spark, monkeypatch):
+    """a and b are alike, but agree on 38 coordinates only; a never leaves a crowd of strangers of equal signature."""
+    monkeypatch.setattr(nearjoin, "LEAF", 4)
+    rng = random.Random(21)
+    crowd = np.arange(nearjoin.COORDINATES, dtype="<u2")
+    apart = crowd.copy()
+    apart[rng.sample(range(nearjoin.COORDINATES), 26)] += 1000
+    own = [text(rng, 100, [f"x{j}" for j in range(900)]) for _ in range(12)]
+    own[7] = own[6] + " more"
+    nodes = [(i, i, (apart if i == 7 else crowd).tobytes()) for i in range(12)]
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(own)], "id long, text binary")
+    links = nearjoin._links(texts, spark.createDataFrame(nodes, "node long, id long, signature binary"), 85, 3)
+    assert {tuple(r) for r in links.collect()} == {(6, 7)}
+
+
 def test_fingerprints(spark):
     own = sorted({(-i, t) for i, t in docs()})
     follow = {}
