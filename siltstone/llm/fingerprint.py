@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers (DataFrame operations only).
 
-A text is cut into pieces of words (at most `piece` characters, so scripts without spaces work too). A k-mer is k
+A text is cut into pieces of words (at most `piece` characters, so scripts without spaces work too; pieces of a run
+without white space are cut from its start, so there an edit changes the anchors of the rest of the run). A k-mer is k
 consecutive pieces; its s-mers are the runs of two pieces in it, hashed with xxhash64. A k-mer is an anchor (a closed
-syncmer) if its smallest s-mer is the first or the last; that looks at the k-mer alone, so an edit elsewhere
-never moves an anchor. The fingerprint is the `keep` anchors with the smallest 40-bit hashes, each with the position of
+syncmer) if its smallest s-mer is the first or the last; that looks at the k-mer alone, so an edit outside
+its runs never changes an anchor. The fingerprint is the `keep` anchors with the smallest 40-bit hashes, each with the position of
 its first occurrence: a bottom-k sample of the anchor set, of bounded size. The likeness of two fingerprints is the
 Jaccard estimate over the smallest hashes of their union.
 
