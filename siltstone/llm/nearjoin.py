@@ -4,17 +4,17 @@ A document's set is its distinct shingles of 3 words (A-Z lower-cased). Equal se
 hash of the set. Every set has COORDINATES MinHash values. A tree of the join starts with all sets in its root; a tree
 node picks the coordinate its name leads to (and, for a share 1 / threshold - 1 of the nodes, a second one, so that the
 expected number of paths a pair at the threshold stays on together does not fall with depth), and its sets go on to the child
-named by their value there. All nodes of the first level (depth STEP) are compared exhaustively, whatever their size, so a pair is
-missed only if it meets in none of them: computed as 8e-8 at J = 0.85 (threshold 0.85) and 7e-7 at J = 0.80 (threshold 0.80),
-and at most 2e-8 more by MARGIN, at any size of its family. Nodes of more than LEAF sets also branch on and are dealt into leaves that
-hold the node's pivot, at each level; that only finds links early, and no pair depends on it.
-
-Leaves propose links by their MinHash agreement, with a margin of more than five standard deviations: first each set
-with the earlier set it agrees with most. Links are confirmed on the full sets, components are
-formed, and then every pair of a first-level node that agrees and is not yet in one component is proposed and confirmed as
-well; for a node over many leaves, the sets outside its largest component are sent to each of its leaves. Pairs inside a
-component tell nothing new, so families of copies cost their size and not its square; sets that agree but don't link cost
-the square of their number. No pair is capped.
+named by their value there.
+
+Nodes at depth STEP of up to LEAF sets are compared exhaustively, by the share of coordinates that agree, with a margin of MARGIN standard
+deviations; a leaf gives a spanning forest of what agrees. In a larger node, sets near its pivot (its smallest name) all join the
+pivot's family, and sets far from it branch on; as distances of signatures are a metric, a pair that agrees is in one of the two
+together. What is still far from the pivot of a large node after LEVELS levels joins it as well. Families are the components of these
+pairs; a family holds all links of its sets, and families.py finds them exactly on the full sets, branching again where a family is
+large. Rows are in proportion to the sets at every step: a pair that is refused is never a row.
+
+A pair at the threshold is missed if it meets in no tree: computed as 5e-9 (J = 0.85, threshold 0.85) and 6e-8 (0.80), or, if both
+sets are far from the pivots of large nodes only, at most 9e-6 and 5e-5 at the second level; the margin adds 1e-6. More similar pairs are missed less.
 
 Defined cases: null text and text without words have the empty set, which links with nothing; fewer than 3 words are one
 shingle; rows that repeat an id take part each by itself; null ids order last, and a component of such rows only has a
@@ -33,19 +33,20 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise
 from siltstone.llm.components import components
+from siltstone.llm.families import ITEM, family_links, forest
 from siltstone.llm.repeats import BATCH_BYTES, LAST, U, Batch, mixed
 from siltstone.llm.substring import words
 
-COORDINATES = 64
+COORDINATES = 128
 TREES = 20
 STEP = 3  # depth of a level
-LEVELS = 4
+LEVELS = 2
 LEAF = 256
-MARGIN = 0.29  # of the coordinates: over five standard deviations at 0.8 and above
+MARGIN = 5  # standard deviations of the agreement of a pair at the threshold
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _draw = np.random.default_rng(11)
-FACTORS, SHIFTS = (_draw.integers(0, 2**64, COORDINATES, dtype=U) | U(1) for _ in range(2))
+FACTORS, SHIFTS = (_draw.integers(0, 2**64, COORDINATES // 2, dtype=U) | U(1) for _ in range(2))
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -62,14 +63,25 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """MinHash values of a set, 16 bits of each."""
-    low = np.full(COORDINATES, np.iinfo(U).max, U)
+    """MinHash values of a set, 16 bits of each; both halves of a product are hashes."""
+    low = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(own), 1024):
         x = own[at : at + 1024, None] * FACTORS
         x ^= x >> U(31)
         x *= SHIFTS
-        np.minimum(low, x.min(axis=0), out=low)
-    return (mixed(low) >> U(48)).astype("<u2")
+        x ^= x >> U(32)
+        np.minimum(low, x.view(np.uint32).min(axis=0), out=low)
+    return (mixed(low.astype(U)) >> U(48)).astype("<u2")
+
+
+def named(own: np.ndarray) -> int:
+    """The name of a set, 0 if it is empty."""
+    return int(np.bitwise_xor.reduce(mixed(own))) ^ len(own) if len(own) else 0
+
+
+def agree(threshold: float) -> int:
+    """Coordinates on which a pair must agree to be looked at."""
+    return int(COORDINATES * threshold - MARGIN * (COORDINATES * threshold * (1 - threshold)) ** 0.5)
 
 
 def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +93,7 @@ def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sketch(size: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for own in batches(frames):
         sets = shingle_sets(list(own["text"]), size)
-        name = [int(np.bitwise_xor.reduce(mixed(s))) ^ len(s) if len(s) else 0 for s in sets]
+        name = [named(s) for s in sets]
         yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "id": own["id"], "text_key": own["text_key"], "n_shingles": [len(s) for s in sets], "node": np.array(name, U).view(np.int64), "signature": [signature(s).tobytes() if len(s) else b"" for s in sets]})
 
 
@@ -119,92 +131,69 @@ def _grow(threshold: float, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataF
             yield pd.DataFrame({"path": names.view(np.int64), "node": frame["node"].to_numpy()[rows]})
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)), np.int16)
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = (a[i : i + 64, None, :] == b[None, :, :]).sum(2, dtype=np.int16)
-    return out
+def _near(own: pd.DataFrame, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a leaf that agree."""
+    node, first = np.unique(own["node"].to_numpy(), return_index=True)
+    keys = _signatures(own["signature"])[first]
+    return [(node[i], node[j]) for i, j in forest(lambda i, others: (keys[others] == keys[i]).sum(1) >= least, len(node))]
 
 
-def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each leaf; leaves are consecutive, in one partition."""
+def _leaves(least: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compares leaves exhaustively. Rows of a leaf are consecutive; those of two sets, which most are, go together."""
+    out = []
+    for frame in _whole(frames):
+        path = frame["path"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        counts = np.diff(np.concatenate([starts, [len(path)]]))
+        node, twos = frame["node"].to_numpy(), starts[counts == 2]
+        if len(twos):
+            keys = _signatures(frame["signature"])
+            twos = np.concatenate([twos[at : at + 4096][(keys[twos[at : at + 4096]] == keys[twos[at : at + 4096] + 1]).sum(1) >= least] for at in range(0, len(twos), 4096)])
+            out.append(np.column_stack([node[twos], node[twos + 1]]))
+        more = [pair for lo, n in zip(starts[counts > 2], counts[counts > 2]) for pair in _near(frame[lo : lo + n], least)]
+        if more:
+            out.append(np.array(more, np.int64))
+        if sum(map(len, out)) > 100_000:
+            yield _pairs(out)
+            out = []
+    yield _pairs(out)
+
+
+def _pairs(found: list[np.ndarray]) -> pd.DataFrame:
+    pairs = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def _whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames that end where a path does."""
     held = None
     for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
         if not len(frame):
             continue
-        path, leaf = frame["path"].to_numpy(), frame["leaf"].to_numpy()
-        cuts = np.flatnonzero((path[1:] != path[:-1]) | (leaf[1:] != leaf[:-1])) + 1
-        for lo, hi in zip([0, *cuts[:-1]], cuts):
-            yield frame[lo:hi]
-        held = frame[cuts[-1] if len(cuts) else 0 :]
-    if held is not None and len(held):
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        path = frame["path"].to_numpy()
+        cut = len(path) - int((path[::-1] != path[-1]).argmax()) if path[0] != path[-1] else 0
+        if cut:
+            yield frame[:cut].reset_index(drop=True)
+        held = frame[cut:].reset_index(drop=True)
+    if held is not None:
         yield held
 
 
-def agree(threshold: float) -> int:
-    """Coordinates on which a pair must agree to be looked at."""
-    return int(COORDINATES * (threshold - MARGIN))
+def _apart(far: int, last: bool, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of large nodes with their distance to the pivot: near ones join its family, distant ones go on."""
+    for frame in frames:
+        if len(frame):
+            off = (_signatures(frame["signature"]) != _signatures(frame["pivot_signature"])).sum(1)
+            yield frame[["path", "node", "pivot"]].assign(joins=(off <= 2 * far) | last, goes=(off > far) & (not last))
 
 
-def _forest(least: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each set of a leaf with the earlier one that it agrees with most, and with the first."""
-    out, seen = [], set()
-    for leaf in leaves(frames):
-        nodes, keys = leaf["node"].to_numpy(), _signatures(leaf["signature"])
-        nodes, first = np.unique(nodes, return_index=True)
-        if len(nodes) < 2:
-            continue
-        same = agreement(keys[first], keys[first])
-        same[np.triu_indices(len(nodes))] = -1
-        best = same.argmax(1)
-        found = {(int(nodes[j]), int(nodes[i])) for i in range(1, len(nodes)) for j in {int(best[i]), 0} if same[i, j] >= least} - seen
-        seen |= found
-        out += found
-        if len(out) > 50_000:
-            yield pd.DataFrame(out, columns=["a", "b"])
-            out, seen = [], set()
-    yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def _apart(least: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All pairs that agree and are in different components, of a set that asks and one that is at home in the leaf."""
-    for leaf in leaves(frames):
-        asks, leaf = leaf[leaf["asks"]], leaf[leaf["home"]]
-        ours, all_ = _signatures(asks["signature"]), _signatures(leaf["signature"])
-        for at in range(0, len(asks), LEAF):
-            own = asks[at : at + LEAF]
-            same = agreement(ours[at : at + LEAF], all_) >= least
-            same &= own["label"].to_numpy()[:, None] != leaf["label"].to_numpy()[None, :]
-            i, j = np.nonzero(same)
-            a, b = own["node"].to_numpy()[i], leaf["node"].to_numpy()[j]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def _sets(size: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(size: int, percent: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Items of a family; a row whose text isn't the node's (an id may have several texts) goes."""
     for own in batches(frames):
         sets = shingle_sets(list(own["text"]), size)
-        yield pd.DataFrame({"node": own["node"], "members": [s.tobytes() for s in sets]})
-
-
-def _confirm(percent: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        keep = []
-        for x, y in zip(frame["x"], frame["y"]):
-            both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= percent * (len(both) - shared))
-        yield frame.loc[np.array(keep, bool), ["a", "b"]]
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: id, text; nodes: node, id."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-    sets = texts.join(named, "id").mapInPandas(partial(_sets, size), "node long, members binary").dropDuplicates(["node"])
-    sets = materialise(sets, "near-sets", "lz4")
-    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return materialise(sided.mapInPandas(partial(_confirm, percent), "a long, b long"), "near-links")
+        frame = own[["family", "node"]].assign(t=[2 * percent * len(s) for s in sets], members=[s.tobytes() for s in sets])
+        yield frame[np.array([named(s) for s in sets], U).view(np.int64) == own["node"].to_numpy()]
 
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,45 +214,30 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
 
 
 def _links(texts: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
-    """Confirmed links (a, b) between nodes that give the components of all."""
-    threshold, keyed = percent / 100, nodes.select("node", "signature")
+    """Links (a, b) between nodes, confirmed on full sets, that give the components of all. texts: id, text; nodes: node, id, signature."""
+    together = components(materialise(_candidates(nodes.select("node", "signature"), percent), "near-candidates"))
+    named_ = nodes.select("node", "id").join(together.select("node", F.col("label").alias("family")), "node")
+    sets = texts.join(named_, "id").mapInPandas(partial(_sets, size, percent), ITEM).dropDuplicates(["node"])
+    return family_links(sets, percent)
+
+
+def _candidates(keyed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of which the components hold every link: forests of what agrees in leaves, and stars around the pivots of large nodes."""
+    threshold = percent / 100
+    far, n = COORDINATES - agree(threshold), int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     front = materialise(keyed.mapInPandas(partial(_plant, threshold), "path long, node long"), "near-paths")
-    stopped = []
+    found = None
     for level in range(LEVELS):
         many = front.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
-        last = level == LEVELS - 1
-        grows = F.lit(False) if last else F.col("n") > LEAF
-        held = materialise(front.join(many, "path").join(keyed, "node").withColumn("grows", grows).withColumn("top", F.lit(level == 0)), "near-leaves", "lz4")
-        stopped.append(held.where("not grows"))
-        wide = held.where("grows")
-        if last or wide.isEmpty():
+        held = materialise(front.join(many, "path").join(keyed, "node"), "near-leaves", "lz4")
+        leaves_ = held.where(F.col("n") <= LEAF).select("path", "node", "signature").repartition(n, "path").sortWithinPartitions("path")
+        pairs = leaves_.mapInPandas(partial(_leaves, COORDINATES - far), "a long, b long")
+        found = pairs if found is None else found.unionByName(pairs)
+        large = held.where((F.col("n") > LEAF))
+        if large.isEmpty():
             break
-        # a family of near copies meets its pivot here, as branching may never split it
-        stopped.append(wide)
-        front = materialise(wide.mapInPandas(partial(_grow, threshold), "path long, node long").distinct(), "near-paths")
-    found = stopped[0]
-    for more in stopped[1:]:
-        found = found.unionByName(more)
-    return _by_leaf(found, keyed, texts, nodes, percent, size)
-
-
-def _by_leaf(found: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
-    count = F.ceil(F.col("n") / LEAF)
-    dealt = found.withColumn("leaf", F.pmod(F.xxhash64("node"), count))
-    pivots = dealt.select("path", F.col("pivot").alias("node"), "leaf").where("leaf > 0").distinct().join(keyed, "node").select("path", "node", "leaf", "signature")
-    inside = dealt.select("path", "node", "leaf", "signature").unionByName(pivots)
-    least = agree(percent / 100)
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = lambda df: df.repartition(parts, "path", "leaf").sortWithinPartitions("path", "leaf")
-    pairs = materialise(together(inside).mapInPandas(partial(_forest, least), "a long, b long").distinct(), "near-pairs")
-    links = confirm(pairs, texts, nodes, size, percent)
-    labels = components(links)
-    # deeper nodes only hold sets that a node of the first level holds too, so comparing those whole leaves nothing out
-    tagged = dealt.where("top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = tagged.groupBy("path", "label").agg(F.count(F.lit(1)).alias("held"))
-    mixed_ = sizes.groupBy("path").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("held", "label"))["label"].alias("main")).where("labels > 1").select("path", "main")
-    open_ = materialise(tagged.join(mixed_, "path").withColumn("asks", F.col("label") != F.col("main")).select("path", "leaf", "node", "signature", "label", "asks", F.lit(True).alias("home"), count.alias("count")), "near-open", "lz4")
-    sent = open_.where("asks").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).where("to <> leaf").select("path", F.col("to").cast("long").alias("leaf"), "node", "signature", "label", "asks", F.lit(False).alias("home"))
-    rest = together(open_.drop("count").unionByName(sent)).mapInPandas(partial(_apart, least), "a long, b long").distinct()
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    return links.unionByName(confirm(rest, texts, nodes, size, percent)) if not rest.isEmpty() else links
+        pivots = large.where("node = pivot").select("path", F.col("signature").alias("pivot_signature")).dropDuplicates(["path"])
+        told = materialise(large.drop("n").join(pivots, "path").mapInPandas(partial(_apart, far, level == LEVELS - 1), "path long, node long, pivot long, joins boolean, goes boolean"), "near-large", "lz4")
+        found = found.unionByName(told.where("joins and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+        front = materialise(told.where("goes").select("path", "node").join(keyed, "node").mapInPandas(partial(_grow, threshold), "path long, node long").distinct(), "near-paths")
+    return found

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from siltstone.llm import chat, exact, fingerprint, mixing, nearjoin, packing, quality, repeats, substring, suffix, tokenfile
+from siltstone.llm import chat, exact, families, fingerprint, mixing, nearjoin, packing, quality, repeats, substring, suffix, tokenfile
 from siltstone.llm.tokens import encoder, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,29 +185,80 @@ def test_near(spark, percent, size):
 
 def test_near_families_larger_than_a_leaf(spark, monkeypatch):
     monkeypatch.setattr(nearjoin, "LEAF", 8)
+    monkeypatch.setattr(families, "MEMBERS", 8)
+    monkeypatch.setattr(families, "BLOCK", 32)
     rng = random.Random(9)
     base = text(rng, 150, [f"v{i}" for i in range(900)]).split()
     own = []
     for i in range(60):  # a chain: neighbours are alike, the ends are not
         base[(i * 2) % 150] = f"n{i}"
         own.append((i, " ".join(base)))
-    got = nearjoin.near_groups(frame(spark, [(i, t, *[None] * 8) for i, t in own]), 85, 3)
-    assert as_rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(own, 85, 3)
-
-
-def test_near_pair_that_leaves_a_wide_node_together_with_no_one(spark, monkeypatch):
-    """a and b are alike, but agree on 38 coordinates only; a never leaves a crowd of strangers of equal signature."""
-    monkeypatch.setattr(nearjoin, "LEAF", 4)
-    rng = random.Random(21)
-    crowd = np.arange(nearjoin.COORDINATES, dtype="<u2")
-    apart = crowd.copy()
-    apart[rng.sample(range(nearjoin.COORDINATES), 26)] += 1000
-    own = [text(rng, 100, [f"x{j}" for j in range(900)]) for _ in range(12)]
-    own[7] = own[6] + " more"
-    nodes = [(i, i, (apart if i == 7 else crowd).tobytes()) for i in range(12)]
-    texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(own)], "id long, text binary")
-    links = nearjoin._links(texts, spark.createDataFrame(nodes, "node long, id long, signature binary"), 85, 3)
-    assert {tuple(r) for r in links.collect()} == {(6, 7)}
+    for i in range(40):  # a family without its origin: most pairs are refused
+        own.append((100 + i, " ".join(f"e{i}.{j}" if rng.random() < 0.03 else w for j, w in enumerate(base))))
+    for percent, size in ((85, 3), (80, 5)):
+        got = nearjoin.near_groups(frame(spark, [(i, t, *[None] * 8) for i, t in own]), percent, size)
+        assert as_rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(own, percent, size)
+
+
+def origins(rng, n, edits):
+    base = [f"b{i}" for i in range(300)]
+    return [" ".join(f"e{i}.{j}" if j in gone else w for j, w in enumerate(base)) for i in range(n) for gone in [set(rng.sample(range(300), edits))]]
+
+
+def test_refused_pairs_are_never_rows(spark, monkeypatch):
+    """Candidates and links of a family of which most pairs are refused grow with its size, not with its square."""
+    monkeypatch.setattr(nearjoin, "LEAF", 64)
+    rows_at = {}
+    for n in (100, 200, 400):
+        own = [(i, t, *[None] * 8) for i, t in enumerate(origins(random.Random(3), n, 9))]
+        sets = nearjoin.shingle_sets([r[1].encode() for r in own], 3)
+        nodes = [(nearjoin.named(s) - 2**64 if nearjoin.named(s) >= 2**63 else nearjoin.named(s), i, nearjoin.signature(s).tobytes()) for i, s in enumerate(sets)]
+        rows_at[n] = nearjoin._candidates(spark.createDataFrame(nodes, "node long, id long, signature binary").select("node", "signature"), 85).distinct().count()
+    assert rows_at[400] <= 8 * 400 * nearjoin.TREES and rows_at[400] <= 2.5 * rows_at[200] <= 6.25 * rows_at[100]
+
+
+def test_wide_families_branch_exactly(spark):
+    """Families solved in one task and by branching give the same components."""
+    rng = random.Random(17)
+    sets = []
+    for origin in range(3):
+        base = rng.sample(range(2000), 200) if origin < 2 else [*sets_base[:180], *range(5000, 5020)]
+        sets_base = base
+        for _ in range(40):
+            own = [x if rng.random() > 0.05 else 9000 + rng.randrange(40) for x in base]
+            sets.append(np.unique(np.array(own, np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    for percent in (80, 85, 90):
+        want = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                shared = len(np.intersect1d(a, b))
+                if 100 * shared >= percent * (len(a) + len(b) - shared):
+                    low, high = sorted((want[i], want[j]))
+                    want = [low if w == high else w for w in want]
+        items = spark.createDataFrame([(1, i, 2 * percent * len(s), s.tobytes()) for i, s in enumerate(sets)], families.ITEM)
+        for members, block in ((1000, None), (16, 1000), (16, 25)):
+            got = list(range(len(sets)))
+            for a, b in families.family_links(items, percent, members, block).collect():
+                low, high = sorted((got[a], got[b]))
+                got = [low if w == high else w for w in got]
+            assert got == want, (percent, members, block)
+
+
+def test_near_recall_on_the_driver_tables(spark):
+    """Every document of sf0.01 against brute force by an inverted index; prints recall of links."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = [(r.doc_id, r.text or "") for r in docs_.collect()]
+    sets = [shingles(t, 3) for _, t in own]
+    held = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            held[x].append(i)
+    shared = Counter((i, j) for x in held.values() for at, j in enumerate(x) for i in x[:at])
+    links = [(i, j) for (i, j), n in shared.items() if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n)]
+    label = {r.doc_id: r.component_id for r in nearjoin.near_groups(docs_, 85, 3).collect()}
+    found = sum(label[own[i][0]] == label[own[j][0]] for i, j in links)
+    print(f"recall of {len(links)} links: {found / max(1, len(links))}")
+    assert found == len(links) > 0
 
 
 def test_fingerprints(spark):
