@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import materialise
 from siltstone.llm.tokens import encoder
 
+RESERVES = (4, 5, 6, 8, 12, 10**9)  # shares of the capacity; the last keeps no length back
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
-    """The fullest combination of available lengths that holds the longest: (length, how often), longest first."""
-    longest = max(counts)
-    room = capacity - longest
+def fullest(counts: dict[int, int], capacity: int, longest: int | None = None) -> list[tuple[int, int]]:
+    """The fullest combination of available lengths, longest first as far as that is free; with the longest length in it if
+    one is given: (length, how often)."""
+    room = capacity - (longest or 0)
     left = {n: min(c - (n == longest), room // n) for n, c in counts.items() if n <= room and c - (n == longest) > 0}
     mask, reach, steps = (1 << room + 1) - 1, 1, []
     for n in sorted(left, reverse=True):  # each length as often as it fits, in powers of two
@@ -43,7 +44,7 @@ def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
             many, size = many - size, size * 2
         if reach >> room & 1:
             break
-    best, took = reach.bit_length() - 1, defaultdict(int, {longest: 1})
+    best, took = reach.bit_length() - 1, defaultdict(int, {longest: 1} if longest else {})
     for n, size, before in reversed(steps):
         if not before >> best & 1:
             took[n] += size
@@ -51,18 +52,51 @@ def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     return sorted(took.items(), reverse=True)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Bins for so many pieces of each length: (first bin, number of bins, combination)."""
-    counts, out, bins = {n: c for n, c in counts.items() if c}, [], 0
+def _take(counts: dict[int, int], chosen: list[tuple[int, int]], times: int) -> None:
+    for n, k in chosen:
+        counts[n] -= k * times
+        if not counts[n]:
+            del counts[n]
+
+
+def _fill(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Bins by minimum slack: (number of bins, combination)."""
+    out = []
     while counts:
-        chosen = fullest(counts, capacity)
+        chosen = fullest(counts, capacity, max(counts))
         times = min(counts[n] // k for n, k in chosen)
+        out.append((times, chosen))
+        _take(counts, chosen, times)
+    return out
+
+
+def plan_with(counts: dict[int, int], capacity: int, reserve: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Bins of the lengths from reserve on; the shorter ones then fill what is free, least slack first, and bins of their own."""
+    long, short = ({n: c for n, c in counts.items() if c and (n >= reserve) == side} for side in (True, False))
+    out = []
+    open_ = _fill(long, capacity)
+    open_.sort(key=lambda x: capacity - sum(n * k for n, k in x[1]))
+    for times, chosen in open_:
+        room = capacity - sum(n * k for n, k in chosen)
+        while times and short and room >= min(short):
+            more = fullest(short, room)
+            now = min(times, *(short[n] // k for n, k in more))
+            _take(short, more, now)
+            out.append((now, chosen + more))
+            times -= now
+        if times:
+            out.append((times, chosen))
+    return out + _fill(short, capacity)
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Bins for so many pieces of each length: (first bin, number of bins, combination). Full bins at first use up the short
+    lengths that the last bins need, so some shares of the capacity are tried as the length from which on bins are formed."""
+    tried = [plan_with(counts, capacity, capacity // part) for part in RESERVES]
+    best, out, bins = min(tried, key=lambda bins: sum(times for times, _ in bins)), [], 0
+    for times, chosen in best:
         out.append((bins, times, chosen))
         bins += times
-        for n, k in chosen:
-            counts[n] -= k * times
-            if not counts[n]:
-                del counts[n]
     return out
 
 
