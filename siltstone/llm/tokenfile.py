@@ -3,8 +3,9 @@
 A file is a Parquet table of blocks (written by Spark's committer, so a lost task leaves nothing behind). A block
 holds consecutive documents in ascending id order: their ids (8 bytes each), the concatenated token ids in 2 bytes each
 where the vocabulary allows and 4 otherwise, and the ends of the documents in that array as an Elias-Fano sequence:
-the low `width` bits of each end packed, the high bits as a unary bit vector with a sample of every 256th one's
-position. That takes about 2 + log2(ids / documents) bits a document; select(i) reads a few words. Offsets over all
+the low `width` bits of each end packed, the high bits as a unary bit vector with a sample of every 32nd one's
+position. That takes about 3 + log2(ids / documents) bits a document. Readers
+find every offset with select(i), which reads a sample and a few bytes after it; the vector is never decoded as a whole. Offsets over all
 blocks come from sums of the blocks' totals, by shard and within a shard.
 
 Defined cases: null text is the empty text, of which only the end id is stored; rows with one doc_id stay rows of
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import parts, scratch
 from siltstone.llm.tokens import encoder
 
-SAMPLE = 256
+SAMPLE = 32
 SCHEMA = "shard int, block int, n_docs long, n_ids long, id_width int, width int, low binary, high binary, samples binary, doc_ids binary, has_id binary, ids binary"
 
 
@@ -40,6 +41,9 @@ class EliasFano:
     high: bytes
     samples: bytes
 
+    def __post_init__(self):
+        self._samples = np.frombuffer(self.samples, "<u4")
+
     @staticmethod
     def of(values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
@@ -52,24 +56,17 @@ class EliasFano:
         vector[ones] = 1
         return EliasFano(n, width, np.packbits(bits.ravel(), bitorder="little").tobytes(), np.packbits(vector, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
 
-    def _low(self, at: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.width].reshape(self.n, self.width)
-        return bits[at].astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
-
-    def all(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.width) + self._low(np.arange(self.n))
-
     def select(self, i: int) -> int:
         """The i-th number, from one sample and the bytes after it."""
-        at = int(np.frombuffer(self.samples, "<u4")[i // SAMPLE])
+        at = int(self._samples[i // SAMPLE])
         left, byte = i % SAMPLE, at // 8
-        high, bits = np.frombuffer(self.high, np.uint8), self.high[at // 8] >> (at % 8) << (at % 8)
+        bits = self.high[byte] >> (at % 8) << (at % 8)
         while (here := bits.bit_count()) <= left:
             left, byte = left - here, byte + 1
-            bits = int(high[byte])
+            if left >= 64 and byte + 32 <= len(self.high):  # 32 bytes at a time while the one is far
+                while byte + 32 <= len(self.high) and (wide := int.from_bytes(self.high[byte : byte + 32], "little").bit_count()) <= left:
+                    left, byte = left - wide, byte + 32
+            bits = self.high[byte]
         for _ in range(left):
             bits &= bits - 1
         one = byte * 8 + (bits & -bits).bit_length() - 1
@@ -118,7 +115,8 @@ def write_ids(docs: DataFrame, target: str, vocabulary: str, kind: str = "word",
 def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for b in frame.itertuples():
-            ends = EliasFano(b.n_docs, b.width, b.low, b.high, b.samples).all()
+            boundaries = EliasFano(b.n_docs, b.width, b.low, b.high, b.samples)
+            ends = np.fromiter(map(boundaries.select, range(b.n_docs)), np.int64, b.n_docs)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             ids = np.frombuffer(b.ids, f"<u{b.id_width}").astype("<u4")
             known = np.unpackbits(np.frombuffer(b.has_id, np.uint8))[: b.n_docs].astype(bool)

@@ -10,6 +10,7 @@ import struct
 from collections.abc import Callable
 
 CACHE_WORDS = 600_000
+LONG = 64  # bytes; longer parts are not kept
 _loaded: dict[tuple[str, str], Callable[[str], bytes]] = {}
 
 
@@ -50,7 +51,8 @@ class _Cache(dict):
                 found = self[part[:-1]] + self.mark(part[-1:])
             else:
                 found = packed(self.encode(self.lead, part.decode()))
-        self[part] = found
+        if len(part) <= LONG:
+            self[part] = found
         return found
 
     def mark(self, sign: bytes) -> bytes:
@@ -61,15 +63,15 @@ class _Cache(dict):
 
 
 def encoder(path: str, kind: str) -> Callable[[str], bytes]:
-    """A function from text to its ids as little-endian unsigned 32-bit integers; no special tokens are added, and
-    their strings in a text are ordinary text. kind: "word" for a vocabulary that drops white space before its merges,
+    """A function from text to its ids as little-endian unsigned 32-bit integers, as the tokenizer gives them with
+    add_special_tokens=False; a text that may hold the string of an added token goes to it whole. kind: "word" for a vocabulary that drops white space before its merges,
     "byte" for one of which each word takes the single space before it along."""
     if (path, kind) in _loaded:
         return _loaded[path, kind]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def whole(text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
@@ -89,14 +91,19 @@ def encoder(path: str, kind: str) -> Callable[[str], bytes]:
         words = _Cache(part_ids)
 
         def encode(text: str) -> bytes:
-            return b"".join(map(words.__getitem__, text.encode().lower().split()))  # ASCII letters; the tokenizer lower-cases all
+            raw = text.encode().lower()  # ASCII letters; the tokenizer lower-cases all
+            if any(a in raw for a in added):
+                return packed(whole(text))
+            return b"".join(map(words.__getitem__, raw.split()))
 
     else:
         first, spaced = _Cache(part_ids), _Cache(part_ids, " ")
 
         def encode(text: str) -> bytes:
-            parts = text.encode().split(b" ")
-            if b"" in parts:  # a run of spaces, or one at an end: white space may join across the cut
+            raw = text.encode()
+            parts = raw.split(b" ")
+            # a run of spaces, or one at an end: white space may join across the cut
+            if b"" in parts or any(a in raw for a in added):
                 return packed(whole(text))
             return first[parts[0]] + b"".join(map(spaced.__getitem__, parts[1:]))
 
