@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: The words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+UNKNOWN = 1 << 60  # bytes; what Catalyst assumes of a size it does not know is above
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siltstone-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -57,9 +60,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, target: int = 8 << 20) -> int:
-    """How many shuffle partitions keep each near target bytes of df; never fewer than the session's own."""
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(own, -(-input_bytes(df) // target)), 100_000))
+    """How many shuffle partitions keep each near target bytes of df; never fewer than the session's own, which are
+    taken where Catalyst can't tell a size (rows made on the driver)."""
+    own, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return own if size >= UNKNOWN else max(own, -(-size // target))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,73 +1,79 @@
 """Document fingerprints from closed syncmers (DataFrame operations only).
 
-A text is cut into pieces of words (at most `piece` characters, so scripts without spaces work too; pieces of a run
-without white space are cut from its start, so there an edit changes the anchors of the rest of the run). A k-mer is k
-consecutive pieces; its s-mers are the runs of two pieces in it, hashed with xxhash64. A k-mer is an anchor (a closed
-syncmer) if its smallest s-mer is the first or the last; that looks at the k-mer alone, so an edit outside
-its runs never changes an anchor. The fingerprint is the `keep` anchors with the smallest 40-bit hashes, each with the position of
-its first occurrence: a bottom-k sample of the anchor set, of bounded size. The likeness of two fingerprints is the
-Jaccard estimate over the smallest hashes of their union.
-
-Texts shorter than k pieces have one anchor, the whole sequence of pieces. Defined cases: null text is the empty text; without pieces the
-fingerprint is the empty string; two empty fingerprints are alike (1.0), an empty and another aren't (0.0); rows
-that repeat an id follow each other in order of text; null ids come last; an empty table gives an empty result; a
-single document is its own next one; other columns are ignored.
+A text is read as pieces: each word of up to `piece` characters is one, and longer runs without white space (scripts without spaces,
+junk) go character by character. A k-mer is k consecutive pieces; its s-mers are the runs of two pieces in it, hashed with xxhash64. A
+k-mer is an anchor (a closed syncmer) if its smallest s-mer is the first or the last; that looks at the k-mer alone, so an
+edit changes no anchor but those of the k-mers around its own word. About half of all k-mers are anchors. The
+fingerprint is all anchors of the text, each with its position, in that order: 12 hex digits of the hash of the k-mer, '@', the
+number of its first piece; of neighbouring anchors with the same hash (a run of one word, say) the first counts. The
+likeness of two fingerprints is the Jaccard similarity of their sets of hashes.
+
+A text without an anchor (shorter than k pieces, or without a closed k-mer) has one, at 0: the hash of the whole text.
+
+Defined cases: null text is the empty text, which alone has the empty fingerprint; two empty fingerprints are alike (1.0), an
+empty and another aren't (0.0); rows that repeat an id follow each other in order of text; null ids come last; an
+empty table gives an empty result; a single document is its own next one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import parts
 
-POSITION_BITS = 24
+ANCHORS = "array<struct<at:int,hash:bigint>>"
+SOLID = r"[^\x20\x09-\x0D]"
 
 
-def anchors(text: Column, k: int = 5, keep: int = 64, piece: int = 12) -> Column:
-    """The kept anchors of a text, as ascending numbers: hash << 24 | position."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % piece), F.lit(0)), lambda w: F.xxhash64(w))
-    return F.transform(F.array(words), lambda h: _anchors(h, k, keep))[0]
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once; an expression that a lambda names is evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _anchors(h: Column, k: int, keep: int) -> Column:
-    pairs = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.transform(F.array(F.struct(h.alias("h"), pairs.alias("p"))), lambda x: _of_pairs(x["h"], x["p"], k, keep))[0]
+def pieces(text: Column, piece: int = 12) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?<!{SOLID}){SOLID}{{1,{piece}}}(?!{SOLID})|{SOLID}"), F.lit(0))
 
 
-def _of_pairs(h: Column, pairs: Column, k: int, keep: int) -> Column:
+def _closed(h: Column, pairs: Column, k: int) -> Column:
+    """Closed syncmers (at, hash) from the hashes of pieces and of their s-mers."""
     last = k - 2  # of the s-mers 0 .. k - 2 of a k-mer
     at = lambda i, d: F.get(pairs, i + d)
     edge = lambda i: F.least(at(i, 0), at(i, last)) <= F.least(*[at(i, d) for d in range(1, last)])
-    pack = lambda x, i: F.shiftleft(F.shiftrightunsigned(x, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.least(i, F.lit(2**POSITION_BITS - 1)).cast("long"))
-    spots = F.filter(F.sequence(F.lit(0), F.size(h) - k), edge)
-    found = F.sort_array(F.transform(spots, lambda i: pack(F.xxhash64(at(i, 0), at(i, 2), F.get(h, i + k - 1)), i)))
-    # bound as a variable: an expression that a lambda names is evaluated for each element
-    first = F.transform(F.array(found), lambda f: F.filter(f, lambda x, i: (i == 0) | (F.shiftright(x, POSITION_BITS) != F.shiftright(F.get(f, i - 1), POSITION_BITS))))[0]
-    short = F.array(pack(F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.xxhash64(acc, x)), F.lit(0)))
-    return F.when(F.size(h) >= k, F.slice(first, 1, keep)).when(F.size(h) > 0, short).otherwise(F.array().cast("array<bigint>"))
+    name = lambda i: F.shiftrightunsigned(F.xxhash64(*[at(i, d) for d in range(0, k - 1, 2)], F.get(h, i + k - 1)), 16)
+    spots = F.when(F.size(h) >= k, F.sequence(F.lit(0), F.size(h) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(spots, edge), lambda i: F.struct(i.alias("at"), name(i).alias("hash")))
+
+
+def anchors(text: Column, k: int = 5, piece: int = 12) -> Column:
+    """The fingerprint of a text, as (at, hash) in order of position."""
+    hashes = F.transform(pieces(text, piece), lambda w: F.xxhash64(w))
+    pairs = lambda h: F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    found = bind(hashes, lambda h: bind(pairs(h), lambda p: _closed(h, p, k)))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.shiftrightunsigned(F.xxhash64(text), 16).alias("hash")))
+    fresh = lambda f: F.filter(f, lambda x, i: (i == 0) | (x["hash"] != F.get(f, i - 1)["hash"]))
+    return bind(found, lambda f: F.when(F.size(f) > 0, fresh(f)).when(F.length(text) > 0, whole).otherwise(F.array().cast(ANCHORS)))
 
 
-def likeness(a: Column, b: Column, keep: int = 64) -> Column:
-    """Jaccard estimate from two arrays of kept anchors, by their hashes."""
-    hashes = lambda x: F.transform(x, lambda v: F.shiftright(v, POSITION_BITS))
-    pair = F.transform(F.array(F.struct(hashes(a).alias("a"), hashes(b).alias("b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.slice(F.sort_array(F.array_union(x["a"], x["b"])), 1, keep).alias("u")))
-    score = F.transform(pair, lambda x: F.when(F.size(x["u"]) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(x["a"], x["b"]), x["u"])) / F.size(x["u"])))
-    return score[0]
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the hashes of two fingerprints."""
+    both = bind(F.struct(F.array_distinct(a["hash"]).alias("a"), F.array_distinct(b["hash"]).alias("b")), lambda x: F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("shared")))
+    return bind(both, lambda x: F.when(x["a"] + x["b"] == 0, F.lit(1.0)).otherwise(x["shared"] / (x["a"] + x["b"] - x["shared"])))
 
 
 def render(found: Column) -> Column:
-    """Anchors as text, in order of position: ten hex digits of the hash, '@', the position."""
-    by_place = F.sort_array(F.transform(found, lambda v: F.struct(v.bitwiseAND(2**POSITION_BITS - 1).alias("at"), F.shiftright(v, POSITION_BITS).alias("hash"))))
-    return F.array_join(F.transform(by_place, lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 10, "0"), F.lit("@"), x["at"].cast("string"))), " ")
+    return F.array_join(F.transform(found, lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 12, "0"), F.lit("@"), x["at"].cast("string"))), " ")
 
 
-def with_next(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """Adds next_<column> of the row after each in descending order of doc_id; after the last comes the first.
+def with_next(rows: DataFrame, derived: dict[str, Column], columns: list[str], n: int) -> DataFrame:
+    """Adds the derived columns, and next_<column> of the row after each in descending order of doc_id; after the last comes the first.
 
-    rows: doc_id, text and columns. Ids are cut into n ranges at ids that occur (one aggregate, n numbers); the row at the
+    rows: doc_id, text. Ids are cut into n ranges at ids that occur (one aggregate, n numbers); the row at the
     top of a range is the one after the lowest of the range above, so it is dealt to that range as well, and the
-    highest row of all to the lowest range. Each range is sorted by itself: one shuffle, no global sort."""
+    highest row of all to the lowest range. Each range is sorted by itself: one shuffle of the texts alone, no global sort;
+    what is derived from them is made behind it."""
     spans = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10 * n)).alias("cuts") if n > 1 else F.array().cast("array<bigint>").alias("cuts"), F.max("doc_id").alias("top")).first()
     cuts, top = sorted(set(spans["cuts"] or [])), spans["top"]
     cut_at = F.from_json(F.lit(str(cuts)), "array<bigint>")
@@ -75,22 +81,22 @@ def with_next(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     dealt = F.array(F.struct(own.alias("range"), F.lit(0).alias("turn")))
     dealt = F.concat(dealt, F.when(F.array_contains(cut_at, F.col("doc_id")), F.array(F.struct((own + 1).alias("range"), F.lit(1).alias("turn")))).otherwise(F.array().cast(dealt_type := "array<struct<range:int,turn:int>>")),
                      F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("bigint")), F.array(F.struct(F.lit(0).alias("range"), F.lit(2).alias("turn")))).otherwise(F.array().cast(dealt_type)))
-    copies = rows.select("*", F.explode(dealt).alias("_dealt")).select("*", F.col("_dealt.range").alias("_range"), F.col("_dealt.turn").alias("_turn"))
-    down = Window.partitionBy("_range").orderBy("_turn", F.col("doc_id").desc_nulls_last(), F.col("text"))
-    out = copies.select("*", *[F.lead(c).over(down).alias(f"next_{c}") for c in columns])
-    return out.where("_turn = 0").drop("_dealt", "_range", "_turn")
+    copies = rows.select("*", F.explode(dealt).alias("_dealt")).select("*", F.col("_dealt.range").alias("_range"), F.col("_dealt.turn").alias("_turn")).drop("_dealt")
+    order = [F.col("_turn"), F.col("doc_id").desc_nulls_last(), F.col("text")]
+    sorted_ = copies.repartition(n, "_range").sortWithinPartitions("_range", *order).withColumns(derived)
+    down = Window.partitionBy("_range").orderBy(*order)
+    return sorted_.select("*", *[F.lead(c).over(down).alias(f"next_{c}") for c in columns]).where("_turn = 0").drop("_range", "_turn")
 
 
-def fingerprints(docs: DataFrame, k: int = 5, keep: int = 64, piece: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 5, piece: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The edited text has its
     last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document, in
     descending order of id; after the last comes the first."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("own", anchors(F.col("text"), k, keep, piece))
-    rows = with_next(rows, ["text", "own"], parts(docs))
+    rows = with_next(rows, {"own": anchors(F.col("text"), k, piece)}, ["text", "own"], parts(docs))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own").withColumn("changed", anchors(F.col("edited"), k, keep, piece))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own").withColumn("changed", anchors(F.col("edited"), k, piece))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), render(F.col("own")).alias("fingerprint"), render(F.col("changed")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("changed"), keep).alias("near_edited"), likeness(F.col("own"), F.col("next_own"), keep).alias("near_next"))
+                       likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
