@@ -66,6 +66,17 @@ def parts(df: DataFrame, target: int = 8 << 20) -> int:
     return own if size >= UNKNOWN else max(own, -(-size // target))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has (Spark compares them without case), made from these."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)
