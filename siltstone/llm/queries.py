@@ -79,7 +79,7 @@ SELECT conv_id, speaker, turn, role, rendered, start, n_chars, trained,
 """
 
 OP9 = """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS mark FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS mark FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][rnk % 3 + 1]::DOUBLE AS w, [-0.5, 0.0, 0.5][rnk % 3 + 1]::DOUBLE AS g, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
@@ -91,7 +91,7 @@ b AS (SELECT d.*, t.source_size, t.target, t.g, CAST(coalesce(sum(size) OVER (PA
 k AS (SELECT *, greatest(0, least(size, round(target)::BIGINT - done)) AS one, greatest(0, least(size, round(target)::BIGINT - done - source_size)) AS two FROM b)
 SELECT doc_id, source, size, source_size, target, (one + two)::BIGINT AS taken,
   CASE WHEN one > 0 THEN CASE WHEN g = 0 THEN done / target ELSE (sqrt((1 - g) * (1 - g) + 4 * g * (done / target)) - (1 - g)) / (2 * g) + 0.0 END END::DOUBLE AS position,
-  CASE WHEN two > 0 THEN CASE WHEN g = 0 THEN (done + source_size) / target ELSE (sqrt((1 - g) * (1 - g) + 4 * g * ((done + source_size) / target)) - (1 - g)) / (2 * g) + 0.0 END END::DOUBLE AS position_again
+  CASE WHEN two > 0 THEN CASE WHEN g = 0 THEN (done + source_size) / target ELSE (sqrt((1 - g) * (1 - g) + 4 * g * ((done + source_size) / target)) - (1 - g)) / (2 * g) + 0.0 END END::DOUBLE AS position_again, mark
 FROM k
 """
 
