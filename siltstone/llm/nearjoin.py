@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise
+from siltstone.llm.common import fresh, materialise
 from siltstone.llm.components import components
 from siltstone.llm.families import ITEM, family_links, forest
 from siltstone.llm.repeats import BATCH_BYTES, LAST, U, Batch, mixed
@@ -213,6 +213,15 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     return out.select("doc_id", "n_shingles", F.nullif(own, F.lit(LAST)).alias("component_id"), (F.col("id") == own).alias("kept"), "text_key")
 
 
+def keep_first(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: of each group of near copies those with the smallest id. Rows are told apart by
+    id and text, so rows that repeat both stay or go together; a null id stays only if all of its group have none."""
+    key, id_, same = fresh(docs, "key", "id", "same")
+    kept = near_groups(docs, percent, size, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(same)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(kept, keyed[id_col].eqNullSafe(kept[id_]) & (keyed[key] == kept[same]), "left_semi").select(*docs.columns)
+
+
 def _links(texts: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
     """Links (a, b) between nodes, confirmed on full sets, that give the components of all. texts: id, text; nodes: node, id, signature."""
     together = components(materialise(_candidates(nodes.select("node", "signature"), percent), "near-candidates"))

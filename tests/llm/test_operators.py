@@ -47,25 +47,48 @@ def docs():
     return [(r[0], r[1] or "") for r in rows()]
 
 
-def test_exact(spark):
+@pytest.mark.parametrize("capacity, key_bits", [(None, 64), (4, 64), (1, 64), (2, 3), (1, 0)])
+def test_exact(spark, capacity, key_bits):
+    """With few key bits texts collide, so chains are told apart by bytes."""
     groups = defaultdict(list)
     for i, t in docs():
         groups[t.translate(FOLD)].append(i)
     want = sorted(((i, max(groups[n := t.translate(FOLD)]), len(groups[n]), i == max(groups[n]), hashlib.sha256(n.encode()).hexdigest()) for i, t in docs()), key=str)
-    assert as_rows(exact.exact_groups(frame(spark), capacity=4), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
-    kept = exact.keep_one(frame(spark))
-    assert kept.columns == frame(spark).columns and kept.count() == len(groups)
+    assert as_rows(exact.exact_groups(frame(spark), capacity=capacity, key_bits=key_bits or 1), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    kept = exact.keep_one(frame(spark), capacity=capacity, key_bits=key_bits or 1)
+    assert kept.columns == frame(spark).columns and sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
+
+
+def counted(keys):
+    """What directory() asks for, over plain 64-bit keys."""
+    return lambda bits, below, prefixes: Counter(k >> (64 - bits) for k in keys if prefixes is None or k >> (64 - below) in prefixes)
 
 
 def test_directory_doubles_until_no_bucket_is_overfull():
     rng = random.Random(1)
-    counts = Counter(rng.randrange(64) for _ in range(1000))
-    slots = exact.directory(counts, 6, 40)
-    held = Counter()
-    for key, n in counts.items():
-        held[slots[key >> (6 - (len(slots).bit_length() - 1))]] += n
-    assert len(slots) > 1 and all(n <= 40 or slots.count(b) == len(slots) // 64 for b, n in held.items())
-    assert exact.directory({}, 6, 40) == [0]
+    keys = {rng.randrange(2**64) for _ in range(1000)} | {0xABCDEF << 40 | rng.randrange(2**20) for _ in range(50)}  # some share 44 bits
+    slots = exact.directory(counted({k for k in keys if k >> 40 != 0xABCDEF}), 6, 40)
+    depth = len(slots).bit_length() - 1
+    held = Counter(slots[k >> (64 - depth)] for k in keys if k >> 40 != 0xABCDEF)
+    assert len(slots) == 1 << depth > 1 and max(held.values()) <= 40 and slots == sorted(slots)
+    close = {0xAB << 56 | rng.randrange(2**50) for _ in range(50)}
+    slots = exact.directory(counted(close), 2, 20)  # splits go on below the bits that were counted first
+    depth = len(slots).bit_length() - 1
+    assert depth > 8 and max(Counter(slots[k >> (64 - depth)] for k in close).values()) <= 20
+    assert exact.directory(counted(set()), 6, 40) == [0]
+
+
+def test_owners_hold_whole_buckets(spark):
+    """The index lies bucket by bucket, each within its capacity and in one file, and a key is found in its bucket only."""
+    from pyspark.sql import functions as F
+
+    own = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2000).alias("text"))
+    bucket, buckets = exact.place(own, "text", 50, 64)
+    found = exact.index(own, bucket, buckets).withColumn("file", F.input_file_name())
+    by = found.groupBy("bucket").agg(F.countDistinct("key").alias("keys"), F.countDistinct("file").alias("files"), F.min(F.col("key").bitwiseXOR(F.lit(-(2**63)))).alias("low"), F.max(F.col("key").bitwiseXOR(F.lit(-(2**63)))).alias("high")).collect()
+    assert buckets > 30 and all(r.keys <= 50 and r.files == 1 for r in by)
+    ranges = sorted((r.low, r.high) for r in by)  # with the sign flipped, key ranges don't overlap
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
 
 
 def test_words(spark):
@@ -444,6 +467,42 @@ def test_mixing(spark):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert as_rows(mixing.mix(frame(spark)), "doc_id", "taken", "position") == sorted(((r.doc_id, r.taken, r.position) for r in got), key=str)
+    spots = [r.position for r in got]
+    assert spots == sorted(spots, key=lambda x: (x is not None, x))  # range-sorted, as it is collected
+
+
+def test_sequence_takes_whole_documents_in_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 1)  # more buckets than the least number
+    own = mixing.mix(frame(spark)).collect()
+    want = Counter()
+    for r in own:
+        first = min(r.taken, r.size)
+        want[r.doc_id] += (r.taken > 0) * ((2 * first >= r.size) + (r.position_again is not None and 2 * (r.taken - r.size) >= r.size))
+    got = mixing.sequence(frame(spark))
+    assert got.columns == frame(spark).columns
+    assert Counter(r.doc_id for r in got.collect()) == +want
+    words_, target = Counter(), {r.source: r.target for r in own}
+    longest = {s: max(r.size for r in own if r.source == s) for s in target}
+    for r in got.collect():
+        words_[r.source] += len(WORD.findall(r.text or ""))
+    assert all(abs(words_[s] - target[s]) <= longest[s] / 2 + 1 for s in target)
+
+
+def test_sequence_of_a_source_with_one_long_document(spark):
+    own = [(1, "w " * 1000, "en", "a", 0, *["x"] * 5), (2, "v " * 10, "en", "b", 0, *["x"] * 5)]
+    got = mixing.sequence(frame(spark, own), weights=(1, 1), share=0.03).collect()
+    assert [r.doc_id for r in got] == [2, 2]  # 3 % of a's words are less than half of its document
+
+
+CLASH = "doc_id long, text string, source string, _key long, _sha string, key string, bucket int, sha string, keep_id long, group_size long, norm string, mark string, spot double, at int, same string, _size long, _keep long, id string, node long"
+
+
+def test_columns_of_any_name_pass(spark):
+    own = [(i, t, "s", 7, "mine", "k", 1, "s", 5, 9, "n", "m", 0.5, 3, "same", 4, 6, "id", 8) for i, t in ((1, "a b c d e f"), (2, "A B C D E F"), (3, None), (4, ""), (4, ""))]
+    rows_ = spark.createDataFrame(own, CLASH)
+    for kept in (exact.keep_one(rows_), nearjoin.keep_first(rows_), mixing.sequence(rows_)):
+        assert kept.columns == rows_.columns
+        assert {tuple(r)[2:] for r in kept.collect()} <= {o[2:] for o in own}
 
 
 def test_chat(spark):
@@ -487,7 +546,7 @@ def test_pooling_long_texts_in_pieces(monkeypatch):
 def test_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    for df in (exact.exact_groups(none), exact.keep_one(none), substring.repeated_words(none), suffix.repeated_bytes(none), nearjoin.near_groups(none), fingerprint.fingerprints(none), mixing.mix(none),
+    for df in (exact.exact_groups(none), exact.keep_one(none), nearjoin.keep_first(none), mixing.sequence(none), substring.repeated_words(none), suffix.repeated_bytes(none), nearjoin.near_groups(none), fingerprint.fingerprints(none), mixing.mix(none),
                tokenfile.through_file(none, vocabulary("word_bpe_49k.json")), packing.pack(none, vocabulary("byte_bpe_50k.json")), quality.quality_scores(none, labels),
                chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))):
         assert df.count() == 0
