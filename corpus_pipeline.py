@@ -2,15 +2,18 @@
 
 STAGES holds (name, function of (spark, docs, sf_dir)); each works on all that the one before it kept. run() writes each
 stage's rows to the shared folder and rereads them, so a lost executor costs a reread. All but the last return the
-columns they are given."""
+columns they are given, whatever their names.
+
+Defined cases, in every stage: null text is the empty text; very long texts are read whole; an empty table gives an empty one; ties
+go by id as each stage says. Rows that repeat an id but not the text are documents of their own; of rows that repeat both, exact
+dedup keeps one. Rows without an id are scored and deduplicated like others: exact dedup keeps them only where all equal texts have none."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.llm import exact, mixing, nearjoin, packing, quality
-from siltstone.llm.common import materialise, parts
+from siltstone.llm.common import materialise
 from siltstone.llm.tokens import vocabulary
 
 #: SQL can't run the trained classifier; the stages are tested against plain Python instead.
@@ -29,21 +32,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity of 0.8 or more; of each group the smallest id stays."""
-    kept = nearjoin.near_groups(docs, percent=80, size=5).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (key == kept["_key"]), "left_semi")
+    """Shingles of five words, similarity of 0.8 or more; of each group the smallest id stays. Texts without words stay."""
+    return nearjoin.keep_first(docs, percent=80, size=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (a take counts if it is at least half the words), in order of position."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    takes = mixing.mix(keyed, keep=["_key"])
-    spots = F.filter(F.array(F.when(2 * F.least("taken", "size") >= F.col("size"), F.col("position")), F.when(2 * (F.col("taken") - F.col("size")) >= F.col("size"), F.col("position_again"))), lambda x: x.isNotNull())
-    takes = takes.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_same"), spots.alias("_spots")).where("size(_spots) > 0").dropDuplicates(["_id", "_same"])
-    mixed = keyed.join(takes, keyed["doc_id"].eqNullSafe(takes["_id"]) & (keyed["_key"] == takes["_same"]))
-    placed = mixed.select(*docs.columns, F.explode("_spots").alias("_spot"))
-    return placed.repartitionByRange(parts(docs), "_spot", "doc_id").sortWithinPartitions("_spot", "doc_id").select(*docs.columns)
+    """Documents as often as the mix takes them (a take counts if it is at least half the words), in order of position. Documents
+    without words are never taken."""
+    return mixing.sequence(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
