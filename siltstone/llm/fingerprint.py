@@ -83,7 +83,7 @@ def with_next(rows: DataFrame, derived: dict[str, Column], columns: list[str], n
                      F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("bigint")), F.array(F.struct(F.lit(0).alias("range"), F.lit(2).alias("turn")))).otherwise(F.array().cast(dealt_type)))
     copies = rows.select("*", F.explode(dealt).alias("_dealt")).select("*", F.col("_dealt.range").alias("_range"), F.col("_dealt.turn").alias("_turn")).drop("_dealt")
     order = [F.col("_turn"), F.col("doc_id").desc_nulls_last(), F.col("text")]
-    sorted_ = copies.repartition(n, "_range").sortWithinPartitions("_range", *order).withColumns(derived)
+    sorted_ = copies.repartitionById(n, "_range").sortWithinPartitions("_range", *order).withColumns(derived)
     down = Window.partitionBy("_range").orderBy(*order)
     return sorted_.select("*", *[F.lead(c).over(down).alias(f"next_{c}") for c in columns]).where("_turn = 0").drop("_range", "_turn")
 
