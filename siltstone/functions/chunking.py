@@ -121,7 +121,7 @@ RUST = [
     *[(rf"(?P<at>(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?{w}\b(?:<[^{{}};]*?>)?\s+(?P<name>[\w:]+)[^{{}};]*)[{{;]", f"{w}_item", "class") for w in ("struct", "enum", "trait", "impl", "union")],
 ]
 C = [
-    (r"^(?P<at>(?:[A-Za-z_][\w*]*[\s*]+)+(?P<name>\w+)\s*\([^;{}]*\)\s*)\{", "function_definition", "function"),
+    (r"^(?P<at>(?:[A-Za-z_]\w*(?:\s+|\s*\*[\s*]*))+(?P<name>\w+)\s*\([^;{}]*\)\s*)\{", "function_definition", "function"),
     *[(rf"(?P<at>\b{w}\s+(?P<name>\w+)\s*)\{{", f"{w}_specifier", "class") for w in ("struct", "union", "enum")],
 ]
 

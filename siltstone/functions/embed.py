@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 DIM = 256
-_TOKEN = re.compile(rb"[a-z0-9_]+")
+TOKEN = re.compile(rb"[a-z0-9_]+")
 _cells: dict[bytes, tuple[int, int]] = {}
 # FNV-1a with 64 bits.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -58,7 +58,7 @@ def cell(term: bytes) -> tuple[int, int]:
 
 def embed_counts(text: str | None) -> np.ndarray:
     """Signed counts of each bucket."""
-    found = [cell(t) for t in _TOKEN.findall((text or "").encode().lower())]
+    found = [cell(t) for t in TOKEN.findall((text or "").encode().lower())]
     if not found:
         return np.zeros(DIM)
     at, sign = zip(*found)

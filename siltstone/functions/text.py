@@ -117,6 +117,20 @@ def fence_query(raw: Column, limit: int = 500) -> Column:
     return F.nullif(unicode_trim(F.left(F.regexp_replace(raw, r"[\x00-\x1f\x7f-\x9f]", " "), F.lit(limit))), F.lit(""))
 
 
+def percent_decoded(raw: Column) -> Column:
+    """Plus signs and %xx of a URL's query as text; a per cent sign that begins no byte stays."""
+    return F.url_decode(F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def trimmed(content: Column, tokens: Column) -> Column:
+    """What of a text fits a number of tokens, cut between characters."""
+    def head(n: Column) -> Column:
+        own = F.substring(F.encode(content, "UTF-8"), F.lit(1), F.greatest(n.cast("int"), F.lit(0)))
+        return F.when(F.is_valid_utf8(own), F.decode(own, "UTF-8"))
+
+    return F.when(token_count(content) <= tokens, content).otherwise(F.coalesce(*[head(tokens * 4 - back) for back in range(4)]))
+
+
 def extension(path: Column) -> Column:
     """With its dot, lower-cased; a leading dot makes none."""
     return F.nullif(ascii_lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)), F.lit(""))
@@ -135,13 +149,20 @@ def thousands(n: Column) -> Column:
 
 
 def abbreviated(n: Column) -> Column:
-    """Plain below 1,000; 7.9k below 100,000; 123k above."""
-    return F.when(n < 1000, n.cast("string")).when(n < 100000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(F.concat(F.floor(n / 1000).cast("string"), F.lit("k")))
+    """Plain below 1,000; 7.9k below 100,000, rounded as the binary number n / 1000 lies (half to even only if it is exact); 123k above."""
+    tenths, x = F.floor(n / 100), n / 1000.0
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of its bits, so that products are exact
+    off = (high * 20 - x * 20) + (x - high) * 20 + (x * 20 - (tenths * 2 + 1))  # on which side of the tie x lies
+    up = (n % 100 > 50) | ((n % 100 == 50) & ((off > 0) | ((off == 0) & (tenths % 2 == 1))))
+    v = tenths + up.cast("int")
+    short = F.concat(F.floor(v / 10).cast("string"), F.lit("."), (v % 10).cast("string"), F.lit("k"))
+    return F.when(n < 1000, n.cast("string")).when(n < 100000, short).otherwise(F.concat(F.floor(n / 1000).cast("string"), F.lit("k")))
 
 
 def quoted(line: Column) -> Column:
-    """The first string literal of a line, by its own kind of quote."""
-    return F.nullif(F.coalesce(F.regexp_extract(line, r"""^[^"']*(?:"([^"]*)"|'([^']*)')""", 1), F.lit("")), F.lit("")).substr(1, 1 << 20)
+    """The first string literal of a line, by its own kind of quote; null without one or if it is empty."""
+    body = F.regexp_extract(line, r"""^[^"']*("[^"]*"|'[^']*')""", 1)
+    return F.nullif(F.substring(body, F.lit(2), F.greatest(F.length(body) - 2, F.lit(0))), F.lit(""))
 
 
 def iso_seconds(text: Column) -> Column:

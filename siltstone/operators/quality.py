@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,13 +97,19 @@ def two_sided(t: float, df: float) -> float:
 
 
 def critical(df: float, level: float = 0.95) -> float:
-    lo, hi = 0.0, 1.0
-    while two_sided(hi, df) > 1 - level:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if two_sided(mid, df) > 1 - level else (lo, mid)
-    return (lo + hi) / 2
+    """The t that level of the distribution lies within: Newton steps from the normal quantile, on the logarithm so that heavy tails converge too."""
+    x = math.log(NormalDist().inv_cdf(0.5 + level / 2))
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    for _ in range(60):
+        t = math.exp(x)
+        density = scale * (1 + t * t / df) ** (-(df + 1) / 2)
+        # the tail falls with t, so its logarithm is nearly a line in log t
+        tail = two_sided(t, df)
+        step = math.log(tail / (1 - level)) * tail / (2 * density * t)
+        x += max(-2.0, min(2.0, step))
+        if abs(step) < 1e-15:
+            break
+    return math.exp(x)
 
 
 def paired_test(n: int, mean: float, sd: float, scale: float) -> tuple:

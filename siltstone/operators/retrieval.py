@@ -2,12 +2,14 @@
 
 A corpus has ord, chunk_id, file_path, start_line, end_line, chunk_type, kind, language, content (further columns pass); queries have q_id,
 query, k. A batch of queries is one plan. The query side is what is asked for: its terms and vectors are
-gathered on the driver, after a check of their number, in blocks of QUERY_BLOCK; documents are never gathered.
+gathered on the driver and meets the corpus in blocks of QUERY_BLOCK; documents are never gathered. Scans score chunks where they are
+read and keep a running best of each query in a task, so what is shuffled does not grow with queries times chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,21 +47,96 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """q_id, ord, bm25 for every chunk that holds a word of the query. Only the words asked for are counted: they meet the
-    exploded tokens before any shuffle of those (Spark broadcasts the words if they are few)."""
-    asked = prepared(queries).select("q_id", F.explode("words").alias("term"))
-    stats = corpus_stats(corpus).first()
-    rows = corpus.select("ord", text.tokens(F.col("content")).alias("t")).select("ord", F.explode("t").alias("term"), F.size("t").alias("doc_len"))
-    found = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = idf(F.lit(float(stats["n_docs"])), F.col("df"))
-    length = 1 - text.B + text.B * (F.col("doc_len") / (stats["avg_len"] or 1.0))
-    part = weight * (F.col("tf") * (text.K1 + 1)) / (F.col("tf") + text.K1 * length)
-    each = found.join(df, "term").select("ord", "term", part.alias("part")).join(asked, "term")
-    # added up in order of the term, so that the sum does not depend on partitions
-    ordered = F.array_sort(F.collect_list(F.struct("term", "part")))
-    return each.groupBy("q_id", "ord").agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["part"]).alias("bm25"))
+class Best:
+    """The best rows of each query among those seen so far: at most limits[q] of query q, by key, then chunk id, then ord."""
+
+    COLUMNS = ["q", "key", "chunk_id", "ord", "score"]
+
+    def __init__(self, limits: np.ndarray):
+        self.limits, self.held, self.n = limits, [], 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, ords: np.ndarray, scores: np.ndarray, least: float | None = None) -> None:
+        """keys, scores: a row a chunk, a column a query. least: keys up to it don't count."""
+        most = int(self.limits.max(initial=1))
+        keep = np.ones(keys.shape, bool) if least is None else keys > least
+        if len(keys) > most:  # whatever is below the most-th key of its query in this batch alone is out
+            keep &= keys >= np.partition(keys, len(keys) - most, axis=0)[len(keys) - most]
+        row, q = np.nonzero(keep)
+        self.held.append(pd.DataFrame({"q": q, "key": keys[row, q], "chunk_id": ids[row], "ord": ords[row], "score": scores[row, q]}))
+        self.n += len(row)
+        if self.n > 4 * int(self.limits.sum()) + 100_000:
+            self.held = [self.rows()]
+            self.n = len(self.held[0])
+
+    def rows(self) -> pd.DataFrame:
+        every = pd.concat(self.held) if self.held else pd.DataFrame(columns=self.COLUMNS)
+        every = every.sort_values(["q", "key", "chunk_id", "ord"], ascending=[True, False, True, True], kind="stable")
+        nth = every.groupby("q").cumcount().to_numpy()
+        return every[nth < self.limits[every["q"].to_numpy(np.int64)]]
+
+
+def millionths(scores: np.ndarray) -> np.ndarray:
+    return np.floor(np.abs(scores) * 1e6 + 0.5) * np.sign(scores)
+
+
+def _tokens(content: str | None) -> list[bytes]:
+    return embed.TOKEN.findall((content or "").encode().lower())
+
+
+def _term_counts(vocabulary: dict[bytes, int], contents: pd.Series) -> tuple[np.ndarray, ...]:
+    """row, term, count of each word asked for in each text, and the length of each text in tokens."""
+    at, lengths = [], np.zeros(len(contents), np.int64)
+    for i, content in enumerate(contents):
+        found = _tokens(content)
+        lengths[i] = len(found)
+        at.append(np.fromiter((x for x in map(vocabulary.get, found) if x is not None), np.int64))
+    row = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    cells, count = np.unique(row * max(len(vocabulary), 1) + np.concatenate(at or [np.zeros(0, np.int64)]), return_counts=True)
+    return cells // max(len(vocabulary), 1), cells % max(len(vocabulary), 1), count, lengths
+
+
+def _bm25_block(corpus: DataFrame, asked: list, pool: int) -> DataFrame:
+    """Two scans without a shuffle of texts: one counts the words asked for (a number a word and task), one scores each chunk where it is
+    read and keeps what is best for each query in its task."""
+    if not asked:
+        return corpus.where("false").select(F.lit(None).cast("string").alias("q_id"), "ord", "chunk_id", F.lit(0.0).alias("bm25"))
+    vocabulary = {w.encode(): i for i, w in enumerate(sorted({w for r in asked for w in r["words"]}))}
+    kind = "long" if isinstance(asked[0]["q_id"], int) else "string"
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, docs, length = np.zeros(len(vocabulary), np.int64), 0, 0
+        for frame in frames:
+            _, term, _, lengths = _term_counts(vocabulary, frame["content"])
+            df += np.bincount(term, minlength=len(vocabulary))
+            docs, length = docs + len(frame), length + int(lengths.sum())
+        yield pd.DataFrame({"term": [-2, -1, *np.flatnonzero(df)], "n": [docs, length, *df[df > 0]]})
+
+    sums = {r["term"]: r["n"] for r in corpus.select("content").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a word asked for
+    docs, length = sums.pop(-2, 0), sums.pop(-1, 0)
+    df = np.zeros(len(vocabulary))
+    df[list(sums)] = list(sums.values())
+    weight, mean = np.log(1.0 + (docs - df + 0.5) / (df + 0.5)), (length / docs if length else 1.0)
+    # the queries that hold each word
+    pairs = sorted((vocabulary[w.encode()], q) for q, r in enumerate(asked) for w in r["words"])
+    owner = np.array([q for _, q in pairs], np.int64)
+    first = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(vocabulary) + 1))
+    limits = np.array([r["k"] * pool for r in asked], np.int64)
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(limits)
+        for frame in frames:
+            for lo in range(0, len(frame), step := max(1, (1 << 22) // len(asked))):
+                own = frame[lo : lo + step]
+                row, term, tf, lengths = _term_counts(vocabulary, own["content"])
+                part = weight[term] * (tf * (text.K1 + 1)) / (tf + text.K1 * (1 - text.B + text.B * (lengths[row] / mean)))
+                many = first[term + 1] - first[term]
+                to = owner[np.repeat(first[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                scores = np.bincount(np.repeat(row, many) * len(asked) + to, np.repeat(part, many), len(own) * len(asked)).reshape(len(own), len(asked))
+                best.add(millionths(scores), own["chunk_id"].to_numpy(), own["ord"].to_numpy(), scores, 0)
+        out = best.rows()
+        yield pd.DataFrame({"q_id": [asked[q]["q_id"] for q in out["q"]], "ord": out["ord"], "chunk_id": out["chunk_id"], "bm25": out["score"]})
+
+    return corpus.select("ord", "chunk_id", "content").mapInPandas(score, f"q_id {kind}, ord long, chunk_id string, bm25 double")
 
 
 def _best(scored: DataFrame, score: str, limit: Column, rank: str) -> DataFrame:
@@ -69,8 +146,10 @@ def _best(scored: DataFrame, score: str, limit: Column, rank: str) -> DataFrame:
 
 def bm25_ranked(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) -> DataFrame:
     """q_id, ord, chunk_id, bm25, frank: the best pool * k with a score above zero at six decimals."""
-    scored = bm25_scores(corpus, queries).where(text.score_key(F.col("bm25")) > 0)
-    return _best(scored.join(corpus.select("ord", "chunk_id"), "ord").join(queries.select("q_id", F.col("k").cast("long").alias("k")), "q_id"), "bm25", F.col("k") * pool, "frank").drop("k")
+    asked = prepared(queries).select("q_id", "k", "words").collect()
+    parts = [_bm25_block(corpus, asked[at : at + QUERY_BLOCK], pool) for at in range(0, max(len(asked), 1), QUERY_BLOCK)]
+    limits = queries.select("q_id", F.col("k").cast("long").alias("k"))
+    return _best(reduce(DataFrame.unionByName, parts).join(limits, "q_id"), "bm25", F.col("k") * pool, "frank").drop("k")
 
 
 # --- vectors
@@ -87,7 +166,7 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def nearest(corpus: DataFrame, vectors: list[tuple], column: str = "counts", hashed: bool = True) -> DataFrame:
-    """q_id, ord, chunk_id, cosine: the n nearest chunks of each query in each task, all candidates for the nearest overall.
+    """q_id, ord, chunk_id, cosine: the n nearest chunks of each query in each task (one running best), all candidates for the nearest overall.
     vectors: (q_id, n, vector). hashed: whole-number vectors, whose products are exact; else a plain dot product."""
     names, counts = [v[0] for v in vectors], [int(v[1]) for v in vectors]
     wanted = np.array([v[2] for v in vectors], np.float64)
@@ -96,6 +175,7 @@ def nearest(corpus: DataFrame, vectors: list[tuple], column: str = "counts", has
     kind = "long" if not names or isinstance(names[0], int) else "string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(np.array(counts, np.int64))
         for frame in frames:
             if not len(frame) or not len(names):
                 continue
@@ -105,14 +185,9 @@ def nearest(corpus: DataFrame, vectors: list[tuple], column: str = "counts", has
             if hashed:
                 both = np.sqrt((own * own).sum(1))[:, None] * sizes[None, :]
                 scores = np.divide(scores, both, out=np.zeros_like(scores), where=both > 0)
-            keys = np.floor(np.abs(scores) * 1e6 + 0.5) * np.sign(scores)
-            out = []
-            ids, ords = frame["chunk_id"].to_numpy(), frame["ord"].to_numpy()
-            tie = np.lexsort((ords, ids))
-            for q, n in enumerate(counts):
-                best = tie[np.argsort(-keys[tie, q], kind="stable")[:n]]
-                out.append(pd.DataFrame({"q_id": names[q], "ord": ords[best], "chunk_id": ids[best], "cosine": scores[best, q]}))
-            yield pd.concat(out)
+            best.add(millionths(scores), frame["chunk_id"].to_numpy(), frame["ord"].to_numpy(), scores)
+        out = best.rows()
+        yield pd.DataFrame({"q_id": [names[q] for q in out["q"]], "ord": out["ord"], "chunk_id": out["chunk_id"], "cosine": out["score"].astype(float)})
 
     return corpus.select("ord", "chunk_id", column).mapInPandas(run, f"q_id {kind}, ord long, chunk_id string, cosine double")
 
@@ -157,12 +232,14 @@ def candidates(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) ->
 
 
 def ranked(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) -> DataFrame:
-    """The hybrid result: q_id, rank, score, and the chunk's columns."""
-    corpus = corpus if "counts" in corpus.columns else embedded(corpus)
-    found = candidates(corpus, queries, pool).join(corpus, "ord")
-    asked = F.udf(lambda q: embed.embed_counts(q).tolist(), "array<double>")
-    vectors = prepared(queries).select("q_id", asked("query").alias("q_counts"))
-    found = found.join(vectors, "q_id").withColumn("cosine", F.coalesce("cosine", embed.cosine_counts(F.col("counts"), F.col("q_counts"))))
+    """The hybrid result: q_id, rank, score, and the chunk's columns. Lists hold ids and scores; contents join the candidates alone, and
+    only candidates that words alone have found are embedded again."""
+    known = "counts" in corpus.columns
+    found = candidates(corpus if known else embedded(corpus), queries, pool).join(corpus, "ord")
+    vectors = prepared(queries).select("q_id", embed.hash_counts("query").alias("q_counts"))
+    found = found.join(vectors, "q_id")
+    own = F.col("counts") if known else embed.hash_counts(F.when(F.col("cosine").isNull(), F.col("content")))
+    found = found.withColumn("_own", own).withColumn("cosine", F.coalesce("cosine", embed.cosine_counts(F.col("_own"), F.col("q_counts")))).drop("_own")
     distance = text.keyword_distance(F.col("content"), F.col("file_path"), F.col("words"), F.col("hints"))
     score = 0.5 * confidence(F.col("cosine"), distance) + 0.5 * F.col("relative")
     score = F.when(text.penalised(F.col("file_path")), score * text.PENALTY).otherwise(score)
@@ -223,8 +300,7 @@ def expand(results: DataFrame, corpus: DataFrame, edges: DataFrame, queries: Dat
 
 def _bonus(results: DataFrame, corpus: DataFrame, queries: DataFrame, groups: DataFrame, match: Column, group: str) -> DataFrame:
     """Two chunks of each group by cosine, at 0.85 of it, after the results."""
-    asked = F.udf(lambda q: embed.embed_counts(q).tolist(), "array<double>")
-    rows = groups.join(corpus, match).join(prepared(queries).select("q_id", "k", asked("query").alias("_v")), "q_id").withColumn("cosine", embed.cosine_counts(F.col("counts"), F.col("_v")))
+    rows = groups.join(corpus, match).join(prepared(queries).select("q_id", "k", embed.hash_counts("query").alias("_v")), "q_id").withColumn("cosine", embed.cosine_counts(F.col("counts"), F.col("_v")))
     best = Window.partitionBy("q_id", group).orderBy(text.score_key(F.col("cosine")).desc(), "chunk_id", "ord")
     rows = rows.withColumn("_n", F.row_number().over(best)).where("_n <= 2")
     spans = results.select("q_id", "file_path", "start_line", "end_line").distinct()

@@ -137,7 +137,8 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact.redacted(F.coalesce("text", F.lit(""))).alias("redacted"))
 
 
-@query()
+@query(f"""SELECT page_id, {LOW('n')} IN ({', '.join(repr(x) for x in redact.SENSITIVE_NAMES)}) OR regexp_matches({LOW('n')}, '^.+\\.({'|'.join(redact.SENSITIVE_EXTENSIONS)})$')
+OR (regexp_matches({LOW('n')}, '^\\.env(\\..*)?$') AND NOT regexp_matches({LOW('n')}, '(\\.example|\\.sample|\\.template|\\.dist)$')) AS sensitive FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS n FROM pages)""")
 def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", redact.sensitive(F.regexp_extract("url", "[^/]*$", 0)).alias("sensitive"))
 

@@ -6,14 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import redact
 
 MAX_BYTES = 2 * 1024 * 1024
 # Folders that are never entered, besides those whose names begin with a dot.
-PRUNED = ("node_modules", "target", "dist", "build", "vendor", "__pycache__", "venv", "coverage")
+PRUNED = ("node_modules", "venv", "__pycache__", "dist", "build")
 
 
 def gitignore(lines: list[str], base: str = "") -> list[tuple[str, bool, bool]]:
@@ -42,55 +42,62 @@ def gitignore(lines: list[str], base: str = "") -> list[tuple[str, bool, bool]]:
     return out
 
 
-def ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
-    """Whether rules exclude a relative path, or a folder above it."""
-    out = F.lit(False)
-    for body, folder, back in rules:
-        hit = path.rlike(f"^{body}/.+$" if folder else f"^{body}(/.*)?$")
-        out = F.when(hit, F.lit(not back)).otherwise(out)
+def excluded(path: str, folder: bool, rules: list[tuple[str, bool, bool]]) -> bool:
+    """Whether the last of the rules that matches a relative path excludes it."""
+    out = False
+    for body, folders_only, back in rules:
+        if (folder or not folders_only) and re.fullmatch(body, path):
+            out = not back
     return out
 
 
-def pruned(path: Column) -> Column:
-    return path.rlike(r"(?:^|/)(?:" + "|".join(map(re.escape, PRUNED)) + r"|\.[^/]+)/")
-
-
-def hidden(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:
-    """path, length, content of files whose names begin with . or _, which Spark's readers pass over. Names are listed on the
-    driver; contents are read by the tasks."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found, names = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
-    while found.hasNext():
-        f = found.next()
-        if f.getPath().getName()[0] in "._" and not f.getPath().getName().endswith(".crc"):
-            names.append((f.getPath().toString(), f.getLen()))
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
-
-        def content(path: str, size: int) -> bytes:
-            if size > max_bytes:
-                return b""
-            fs, own = FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
-            with fs.open_input_stream(own) as f:
-                return f.read()
-
-        for frame in frames:
-            yield frame.assign(content=[content(p, n) for p, n in zip(frame["path"], frame["length"])])
-
-    return spark.createDataFrame(names, "path string, length long").mapInPandas(read, "path string, length long, content binary")
+def listed(spark: SparkSession, root: str, rules: list[tuple[str, bool, bool]] = ()) -> list[tuple[str, str, int]]:
+    """(path, relative path, length) of each file below root. Folders are entered one by one on the driver: never pruned or excluded ones,
+    and each adds its own .gitignore to the rules of what is below it."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    out, left = [], [(fs_path(root), "", list(rules))]
+    while left:
+        at, base, known = left.pop()
+        entries = {f.getPath().getName(): f for f in fs.listStatus(at)}
+        own = entries.get(".gitignore")
+        if own is not None and not own.isDirectory():
+            stream = fs.open(own.getPath())
+            try:
+                known = known + gitignore(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n"), base)
+            finally:
+                stream.close()
+        for name, f in entries.items():
+            path = base + name
+            if f.isDirectory():
+                if name not in PRUNED and not name.startswith(".") and not excluded(path, True, known):
+                    left.append((f.getPath(), path + "/", known))
+            elif not name.endswith(".crc") and not excluded(path, False, known):
+                out.append((f.getPath().toString(), path, f.getLen()))
+    return sorted(out, key=lambda x: x[1])
+
+
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSystem
+
+    def content(path: str) -> bytes:
+        fs, own = FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
+        with fs.open_input_stream(own) as f:
+            return f.read()
+
+    for frame in frames:
+        yield frame.assign(content=[content(p) if r is None else b"" for p, r in zip(frame["path"], frame["reason"])])
 
 
 def scan(spark: SparkSession, root: str, rules: list[tuple[str, bool, bool]] = (), protect: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
     """file_path, reason (null: read; else sensitive, large, skipped or binary), content (null unless read). Names and sizes decide
-    before contents are looked at."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content").unionByName(hidden(spark, root, max_bytes))
-    base = "^" + re.escape(re.sub(r"^\w+:/*", "/", root).rstrip("/")) + "/"
-    own = files.withColumn("file_path", F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), base, ""))
-    own = own.where(~pruned(F.col("file_path")) & ~ignored(F.col("file_path"), list(rules)))
+    before anything is read; tasks read only what is left."""
+    names = spark.createDataFrame(listed(spark, root, rules), "path string, file_path string, length long")
     name = F.regexp_extract("file_path", "[^/]*$", 0)
-    reason = F.when(F.lit(protect) & redact.sensitive(name), "sensitive").when(F.col("length") > max_bytes, "large").when(name.endswith(".jsonl") | name.startswith("."), "skipped").when(~F.is_valid_utf8("content"), "binary")
-    return own.select("file_path", reason.alias("reason"), "content").select("file_path", "reason", F.when(F.col("reason").isNull(), F.decode("content", "UTF-8")).alias("content"))
+    reason = F.when(F.lit(protect) & redact.sensitive(name), "sensitive").when(name.rlike(r".\.jsonl$"), "skipped").when(F.col("length") > max_bytes, "large")
+    read = names.withColumn("reason", reason).mapInPandas(_read, "path string, file_path string, length long, reason string, content binary")
+    why = F.coalesce("reason", F.when(~F.is_valid_utf8("content"), "binary"))
+    return read.select("file_path", why.alias("reason"), F.when(why.isNull(), F.decode("content", "UTF-8")).alias("content"))
 
 
 def read_texts(scanned: DataFrame) -> DataFrame:

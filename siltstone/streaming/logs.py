@@ -32,11 +32,12 @@ def sessions(events: DataFrame, key: str = "source") -> DataFrame:
 
 
 def trends_each_trigger(events: DataFrame, now, sink, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch to sink (a folder of Parquet) and recomputes the trailing windows: they end at now(), so they can't be kept
-    as state."""
+    """Writes each micro-batch to its own folder of sink, so that one that is tried again replaces itself, and recomputes the trailing
+    windows: they end at now(), so they can't be kept as state. Only the two windows' events are read again."""
     def step(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(f"{sink}/events")
-        every = batch.sparkSession.read.parquet(f"{sink}/events")
+        batch.withColumn("day", F.to_date(F.timestamp_seconds("secs"))).write.mode("overwrite").partitionBy("day").parquet(f"{sink}/events/batch={epoch}")
+        every = batch.sparkSession.read.option("basePath", f"{sink}/events").parquet(f"{sink}/events")
+        every = every.where(F.col("day") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(now()))), 15)).drop("batch", "day")
         metrics.savings_trend(every, now()).unionByName(metrics.quality_trend(every, now())).write.mode("overwrite").parquet(f"{sink}/trends")
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()

@@ -16,7 +16,7 @@ ROWS = [("a.py", "alpha beta"), ("b.py", "alpha alpha gamma"), ("tests/c.py", "a
 
 
 def test_bm25_by_hand(spark):
-    got = {(r.q_id, r.ord): r.bm25 for r in retrieval.bm25_scores(corpus(spark, ROWS), asked(spark, "beta")).collect()}
+    got = {(r.q_id, r.ord): r.bm25 for r in retrieval.bm25_ranked(corpus(spark, ROWS), asked(spark, "beta")).collect()}
     idf, avg = math.log(1 + (5 - 2 + 0.5) / 2.5), 8 / 5
     want = idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / avg))
     assert set(got) == {(0, 0), (0, 2)} and all(abs(v - want) < 1e-12 for v in got.values())
@@ -98,3 +98,17 @@ def test_saturating_sum(spark):
 
     big = spark.createDataFrame([("18446744073709551615",), ("5",)], "x string").select(F.col("x").cast("decimal(38,0)").alias("x"))
     assert int(big.agg(metrics.saturating(F.col("x")).alias("s")).first()["s"]) == metrics.U64
+
+
+def test_running_best_is_that_of_a_sort():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 6, (500, 3)).astype(float)
+    ids, ords = np.array([f"c{i % 70}" for i in range(500)], object), np.arange(500)
+    best = retrieval.Best(np.array([5, 1, 40]))
+    for lo in range(0, 500, 60):
+        best.add(keys[lo : lo + 60], ids[lo : lo + 60], ords[lo : lo + 60], keys[lo : lo + 60], 0)
+    got = [(r.q, r.ord) for r in best.rows().itertuples()]
+    want = [(q, o) for q, n in enumerate((5, 1, 40)) for _, _, o in sorted((-keys[i, q], ids[i], int(ords[i])) for i in range(500) if keys[i, q] > 0)[:n]]
+    assert got == want

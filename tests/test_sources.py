@@ -131,3 +131,46 @@ def test_compression():
     assert chunking.compressed("a.js", js, "compact", reg) == "class A\n  m(a)\n  n()"
     assert chunking.compressed("a.txt", "\nfirst\nsecond\n", "compact", reg) == "first\n… (+1 lines)"
     assert retrieval.QUERY_BLOCK > 0
+
+
+def test_scan_keeps_dot_files_and_finds_nested_rules(spark, tmp_path):
+    made = {"vendor/a.py": "a", "target/b.py": "b", "coverage/c.py": "c", ".env.example": "A=", ".eslintrc.js": "x", "_under/d.py": "d", "build/no.py": "n", ".hidden/no.py": "n", "events.jsonl": "{}", "big.txt": "x" * 3_000_000,
+            ".gitignore": "*.log\n/only_root.txt\nskipped/\n", "a.log": "no", "only_root.txt": "no", "sub/only_root.txt": "yes", "sub/.gitignore": "!a.log\nown.txt\n", "sub/a.log": "back", "sub/own.txt": "no", "skipped/x.py": "no", "sub/skipped/y.py": "no", "own.txt": "yes"}
+    for path, body in made.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(body)
+    (tmp_path / "bin.dat").write_bytes(b"\xff\xfe")
+    got = {r.file_path: (r.reason, r.content) for r in files.scan(spark, str(tmp_path)).collect()}
+    read = {p for p, (why, _) in got.items() if why is None}
+    assert read == {"vendor/a.py", "target/b.py", "coverage/c.py", ".env.example", ".eslintrc.js", "_under/d.py", ".gitignore", "sub/only_root.txt", "sub/.gitignore", "sub/a.log", "own.txt"}
+    assert {p: why for p, (why, _) in got.items() if why} == {"events.jsonl": "skipped", "big.txt": "large", "bin.dat": "binary"}
+    assert got["sub/a.log"][1] == "back" and got["big.txt"][1] is None
+
+
+def test_a_batch_that_is_tried_again_replaces_itself(spark, tmp_path):
+    from siltstone.streaming import logs
+
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.jsonl").write_text("\n".join(json.dumps({"event": "search", "ts": "2026-07-04T10:00:00Z", "tokens_saved": 10, "savings_ratio": r}) for r in (0.25, 0.5)))
+    for state in ("s1", "s2"):  # the same batch twice, as after a failure between sink and checkpoint
+        logs.trends_each_trigger(logs.lines(spark, str(tmp_path / "log")), lambda: 1783245600, str(tmp_path / "sink"), str(tmp_path / state)).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "sink/events")).count() == 2
+    got = {r.metric: r.current for r in spark.read.parquet(str(tmp_path / "sink/trends")).collect()}
+    assert got["savings_ratio"] == 0.375
+
+
+def test_critical_values_of_t():
+    from siltstone.operators import quality
+
+    for df, want in ((1, 12.706204736), (2, 4.30265273), (10, 2.228138852), (120, 1.979930405)):
+        assert abs(quality.critical(df) - want) < 1e-8
+    assert abs(quality.two_sided(quality.critical(7, 0.99), 7) - 0.01) < 1e-12
+
+
+def test_c_definitions_do_not_backtrack():
+    import time
+
+    start = time.time()
+    chunking.code_chunks("a.c", "p** " * 3000, chunking.Registry())
+    assert time.time() - start < 5
+    assert [r[1:3] for r in chunking.code_chunks("a.c", "static char **names(int a) {\n  return 0;\n}\n", chunking.Registry())] == [(1, 3)]

@@ -73,3 +73,46 @@ def test_forms(spark):
     assert value(spark, text.repo_id(F.col("o")), o="git@host.example:a/b.git") == value(spark, text.repo_id(F.col("o")), o="https://host.example/a/b") == "host.example__a__b"
     assert value(spark, text.provenance(F.col("t"), F.col("s"), F.lit(None).cast("string"), F.col("u")), t="T", s="open", u="") == "[knowledge] T — open"
     assert value(spark, text.snippet(F.col("t")), t="One. " + "x" * 600) == "One."
+
+
+def test_first_string_literal_by_either_quote(spark):
+    rows = [("gem 'billing', \"x\"", "billing"), ('gem "a\'s" # \'b\'', "a's"), ("none", None), ("''", None), ("'open", None), ("say \"it's\"", "it's")]
+    got = spark.createDataFrame([(x,) for x, _ in rows], "line string").select(text.quoted(F.col("line")).alias("q")).collect()
+    assert [r.q for r in got] == [want for _, want in rows]
+
+
+def test_abbreviated_rounds_as_the_binary_number_lies(spark):
+    values = [0, 999, 1000, 7949, 7950, 46250, 46350, 46450, 46750, 99949, 100000, 123999]
+    got = spark.createDataFrame([(v,) for v in values], "n long").select(text.abbreviated(F.col("n")).alias("a")).collect()
+    assert [r.a for r in got] == [str(v) if v < 1000 else f"{v / 1000:.1f}k" if v < 100000 else f"{v // 1000}k" for v in values]
+
+
+def test_trimmed_to_tokens_on_a_character_boundary(spark):
+    rows = ["", "short", "é" * 50, "日" * 9 + "x" * 40, "😀" * 30]
+    got = spark.createDataFrame([(x,) for x in rows], "t string").select("t", text.trimmed(F.col("t"), F.lit(5)).alias("cut")).collect()
+    for r in got:
+        whole = r.t.encode()
+        assert r.cut == (r.t if max(1, len(whole) // 4) <= 5 else whole[:20].decode(errors="ignore"))
+
+
+def test_cutoffs():
+    import pytest
+
+    from siltstone.functions import control
+
+    now = 1_000_000_000
+    assert [control.cutoff(s, now) for s in ("90m", " 24H ", "7d", "4w", "2001-09-09", "2001-09-09T00:00:00Z", "2001-09-09T02:00:00+02:00")] == [now - 5400, now - 86400, now - 7 * 86400, now - 28 * 86400, 999993600, 999993600, 999993600]
+    for bad in ("", "0d", "7", "d", "7y", "-1d", "2001-13-01", "99999999999999999999w", "yesterday"):
+        with pytest.raises(ValueError):
+            control.cutoff(bad, now)
+
+
+def test_suggestions_notes_and_settings():
+    from siltstone.functions import control
+
+    assert control.suggestions("functon", ["function", "class", "fiction", "method"]) == ["function", "fiction"]
+    notes = "# Log\n\n## [Unreleased]\nx\n\n## [1.2.0]\nb\n\n## [1.1.0]\na\n\n## [1.0.0]\nold\n"
+    assert control.release_notes(notes, "1.0.0", "1.2.0") == "## [1.2.0]\nb\n\n## [1.1.0]\na"
+    assert control.release_notes(notes, "0.9.0", "v1.2.0", 1).endswith("... and 2 more releases")
+    body = "retrieval:\n  top_k: 7  # seven\n  graph: false\noutput:\n  detail: 'full'\n  min_score: 0.5\n"
+    assert control.yaml_block(body, "retrieval") == {"top_k": 7, "graph": False} and control.yaml_block(body, "output") == {"detail": "full", "min_score": 0.5}
