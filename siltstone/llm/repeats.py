@@ -5,10 +5,12 @@ start in its first `reach` items, the one with the smallest hash (the first of e
 equal offsets, and neighbouring windows share an anchor, so a document has about 2 / (reach + 1) anchors an item. An anchor's
 context is the span of all windows it serves; equal contexts mean that all those windows are equal.
 
-1. find: every task collapses equal contexts it has itself, and deals one of each to the owner of its k-gram.
+1. survivors: rounds over growing lengths. A task deals each anchor's run of that length once to the owner of its hash; what occurs
+   nowhere else is gone, and only the rest is looked at at the next length.
+2. find: every task collapses equal contexts it has itself, and deals one of each to the owner of its k-gram (of the last level).
    The owner settles contexts that occur again. What is left are k-grams with several different contexts, whose
    windows may still be equal in part (edges of passages): one of each such context is open.
-2. Windows of open contexts are compared one by one, through hashes of the whole window (settle_windows here), or by
+3. Windows of open contexts are compared one by one, through hashes of the whole window (settle_windows here), or by
    the caller's own means. A k-gram with so many contexts in one task that its owner would be flooded always goes by hashes.
 
 Tasks collapse what they can before they deal, so an owner gets a few rows a task of any key, however frequent. All
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, parts
+from siltstone.llm.common import forget, materialise, parts
 
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93))
@@ -119,9 +121,12 @@ def contexts(batch: Batch, window: int, k: int, reach: int) -> tuple[np.ndarray,
     np.add.at(valid, end[has], -1)
     at = np.flatnonzero(np.cumsum(valid[:-1]))
     low = U((1 << PLACE_BITS) - 1)
-    grams = batch.spans.all(k)
-    ranked = (grams & ~low) | np.arange(len(grams), dtype=U)
-    anchor = (sliding_min(ranked, reach)[at] & low).astype(np.int64)
+    grams = batch.spans.all(k) & ~low
+    places = np.arange(len(grams), dtype=U)
+    if len(grams) > int(low):  # places don't fit beside the hashes: their order among themselves does
+        low = U((1 << len(grams).bit_length()) - 1)
+        grams = np.unique(grams, return_inverse=True)[1].astype(U) << U(len(grams).bit_length())
+    anchor = (sliding_min(grams | places, reach)[at] & low).astype(np.int64)
     edge = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
     first, last = at[np.concatenate([[0], edge])], at[np.concatenate([edge - 1, [len(at) - 1]])]
     anchor = anchor[np.concatenate([[0], edge])]
@@ -129,7 +134,7 @@ def contexts(batch: Batch, window: int, k: int, reach: int) -> tuple[np.ndarray,
 
 
 # Records travel as columns of byte planes: high bytes that hardly vary then compress to nothing.
-CONTEXT = {"k": "<u8", "k2": "<u8", "a": "<u8", "b": "<u4", "text": "<u4", "lo": "<u4", "n": "<u2", "crowded": "<u1"}
+CONTEXT = {"k": "<u8", "a": "<u8", "b": "<u4", "text": "<u4", "lo": "<u4", "n": "<u2", "crowded": "<u1"}
 OPEN = {"a": "<u8", "b": "<u4", "text": "<u4", "lo": "<u4"}
 TEXTS = {"t": "<i8", "u": "<i4", "id": "<i8"}
 
@@ -231,7 +236,7 @@ def pairs_of(raw) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Windows:
-    """window, mode: see above. levels: the lengths at which an anchor is looked up in turn, one or two; only what repeats
+    """window, mode: see above. levels: the lengths at which anchors are looked up, a round each; only what repeats
     at one length is looked at at the next, and what repeats at the last at the length of the window. sequence: makes
     a batch of texts (as bytes)."""
 
@@ -240,11 +245,6 @@ class Windows:
     mode: str
     sequence: Callable[[list[bytes]], Batch]
 
-    @property
-    def types(self) -> dict[str, str]:
-        """Of the columns of a context."""
-        return {c: t for c, t in CONTEXT.items() if c != "k2" or len(self.levels) > 1}
-
     @property
     def reach(self) -> int:
         """Anchors of which the longest level lies in the window."""
@@ -259,7 +259,7 @@ class Windows:
                 yield own, self.sequence(list(own["text"]))
 
     def _survey(self, owners: int):
-        types = self.types
+        types = CONTEXT
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, count = [], 0
@@ -289,8 +289,11 @@ class Windows:
 
             for own, batch in self.batches(frames):
                 text, anchor, first, last = contexts(batch, self.window, self.levels[0], self.reach)
+                if "spots" in own:
+                    alive = np.isin((text << 40) | (anchor - batch.starts[text]), _spots(own))
+                    text, anchor, first, last = text[alive], anchor[alive], first[alive], last[alive]
                 end, shape = last + self.window, mixed(((anchor - first).astype(U) << U(32)) | (last - first).astype(U))
-                rows = {"k": batch.spans.of(anchor, anchor + self.levels[0]), "k2": batch.spans.of(anchor, anchor + self.levels[-1]), "a": batch.spans.of(first, end) ^ shape, "b": (batch.spans.of(first, end, 1) >> U(32)).astype(np.uint32),
+                rows = {"k": batch.spans.of(anchor, anchor + self.levels[-1]), "a": batch.spans.of(first, end) ^ shape, "b": (batch.spans.of(first, end, 1) >> U(32)).astype(np.uint32),
                         "text": text, "lo": first - batch.starts[text], "n": last - first, "crowded": np.zeros(len(text), np.uint8)}
                 held.append(({c: own[c].to_numpy() for c in TEXTS}, rows))
                 count += len(text)
@@ -303,7 +306,7 @@ class Windows:
         return run
 
     def _own(self, frame: pd.DataFrame) -> pd.DataFrame:
-        texts, rows = gather(frame, self.types)
+        texts, rows = gather(frame, CONTEXT)
         rows, done, firsts = settle(rows, self.mode)
         # any row tells that its k-gram is crowded: the first of a context may come from a flush where it isn't
         grams, of = np.unique(rows["k"], return_inverse=True)
@@ -313,44 +316,73 @@ class Windows:
         many = np.bincount(of, minlength=len(grams))
         opened, crowded = np.zeros(len(done), bool), np.zeros(len(done), bool)
         crowded[firsts] = (crowd > 0)[of]
-        alive = firsts[((many > 1) & (crowd == 0))[of]]
-        if len(self.levels) > 1:
-            _, of, many = np.unique(rows["k2"][alive], return_inverse=True, return_counts=True)
-            alive = alive[(many > 1)[of]]
-        opened[alive] = True
+        opened[firsts[((many > 1) & (crowd == 0))[of]]] = True
         return replies(texts, rows, done=done, open=opened, crowded=crowded)
 
+    def survivors(self, texts: DataFrame) -> DataFrame | None:
+        """The rounds before the last level: t, u, spots (array of binaries: places of anchors that repeat at every length so far).
+        None if there is no such round; empty as soon as nothing survives a length."""
+        alive = None
+        for length in self.levels[:-1]:
+            rows = texts if alive is None else texts.join(alive, ["t", "u"])
+            found = self._compared(rows, length)
+            alive = materialise(found.where(F.length("done") > 0).groupBy("t", "u").agg(F.collect_list("done").alias("spots")), "repeats-alive")
+            if alive.isEmpty():
+                break
+        return alive
+
     def find(self, texts: DataFrame) -> DataFrame:
         """texts: t, u, id, text (binary). A row a text: t, u, id, and what is done, open and crowded, as arrays of binaries."""
         owners = parts(texts, 32 << 20)
         shape = f"owner int, texts binary, rows binary, {REPLY}"
-        dealt = materialise(texts.mapInPandas(self._survey(owners), shape), "repeats-dealt", "lz4")
+        alive = self.survivors(texts)
+        rows = texts if alive is None else texts.join(alive, ["t", "u"])
+        dealt = materialise(rows.mapInPandas(self._survey(owners), shape), "repeats-dealt", "lz4")
         owned = dealt.where("owner >= 0").select("owner", "texts", "rows").groupBy("owner").applyInPandas(lambda frame: self._own(frame), REPLY)
         local = dealt.where("owner < 0").select("t", "u", "id", "done", "open", "crowded")
-        return materialise(by_text(owned.unionByName(local)), "repeats-found")
+        found = materialise(by_text(owned.unionByName(local)), "repeats-found")
+        forget(texts.sparkSession, dealt)
+        return found
 
     def settle_windows(self, texts: DataFrame, opened: DataFrame) -> DataFrame:
         """opened: t, u, ranges (array of binaries). Compares each window of the ranges with all others by a hash of its items.
         t, u, done: the repeated ones."""
-        owners = parts(texts, 32 << 20)
-        rows = texts.join(opened, ["t", "u"])
-        dealt = materialise(rows.mapInPandas(self._open(owners), f"owner int, texts binary, rows binary, {REPLY}"), "repeats-open", "lz4")
-        owned = dealt.where("owner >= 0").select("owner", "texts", "rows").groupBy("owner").applyInPandas(lambda frame: self._own_windows(frame), REPLY)
-        return owned.unionByName(dealt.where("owner < 0").select("t", "u", "id", "done", "open", "crowded")).select("t", "u", "done")
+        return self._compared(texts.join(opened, ["t", "u"]), self.window).select("t", "u", "done")
+
+    def _compared(self, rows: DataFrame, length: int) -> DataFrame:
+        """Runs of one length that occur more than once, from places that the rows name (ranges or spots) or else from all anchors."""
+        owners = parts(rows, 32 << 20)
+        dealt = materialise(rows.mapInPandas(self._open(owners, length), f"owner int, texts binary, rows binary, {REPLY}"), "repeats-open", "lz4")
+        owned = dealt.where("owner >= 0").select("owner", "texts", "rows").groupBy("owner").applyInPandas(lambda frame: self._own_windows(frame, length), REPLY)
+        found = materialise(owned.unionByName(dealt.where("owner < 0").select("t", "u", "id", "done", "open", "crowded")).select("t", "u", "done"), "repeats-compared")
+        forget(rows.sparkSession, dealt)
+        return found
+
+    def _places(self, own: pd.DataFrame, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """text, place of what is to be compared."""
+        if "ranges" in own:
+            ranges = [pairs_of(x) for x in own["ranges"]]
+            text = np.repeat(np.arange(len(own)), [len(x) for x in ranges])
+            ranges = np.concatenate(ranges)
+            n = ranges[:, 1] + 1
+            return np.repeat(text, n), np.repeat(ranges[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if "spots" in own:
+            codes = _spots(own)
+        else:
+            text, anchor, _, _ = contexts(batch, self.window, self.levels[0], self.reach)
+            codes = np.unique((text << 40) | (anchor - batch.starts[text]))
+        return codes >> 40, codes & ((1 << 40) - 1)
+
+    def _open(self, owners: int, length: int):
+        mode = self.mode if length == self.window else "all"  # before the last length every occurrence survives
 
-    def _open(self, owners: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for own, batch in self.batches(frames):
-                ranges = [pairs_of(x) for x in own["ranges"]]
-                text = np.repeat(np.arange(len(own)), [len(x) for x in ranges])
-                ranges = np.concatenate(ranges)
-                n = ranges[:, 1] + 1
-                place = np.repeat(ranges[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                text = np.repeat(text, n)
+                text, place = self._places(own, batch)
                 at = place + batch.starts[text]
-                rows = {"a": batch.spans.of(at, at + self.window), "b": (batch.spans.of(at, at + self.window, 1) >> U(32)).astype(np.uint32), "text": text, "lo": place}
+                rows = {"a": batch.spans.of(at, at + length), "b": (batch.spans.of(at, at + length, 1) >> U(32)).astype(np.uint32), "text": text, "lo": place}
                 texts, rows = unify({c: own[c].to_numpy() for c in TEXTS}, rows)
-                rows, done, firsts = settle(rows, self.mode)
+                rows, done, firsts = settle(rows, mode)
                 found = replies(texts, rows, done=done)
                 if len(found):
                     yield found.assign(owner=-1, texts=b"", rows=b"")
@@ -360,12 +392,18 @@ class Windows:
 
         return run
 
-    def _own_windows(self, frame: pd.DataFrame) -> pd.DataFrame:
+    def _own_windows(self, frame: pd.DataFrame, length: int) -> pd.DataFrame:
         texts, rows = gather(frame, OPEN)
-        rows, done, _ = settle(rows, self.mode)
+        rows, done, _ = settle(rows, self.mode if length == self.window else "all")
         return replies(texts, rows, done=done)
 
 
+def _spots(own: pd.DataFrame) -> np.ndarray:
+    """text << 40 | place of the surviving anchors of a batch, in order."""
+    spots = [pairs_of(x)[:, 0] for x in own["spots"]]
+    return np.unique((np.repeat(np.arange(len(own)), [len(x) for x in spots]) << 40) | np.concatenate(spots))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t, u, id, text: the text as bytes and its key; a null id orders last, a null text is empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -379,15 +417,31 @@ def by_text(found: DataFrame) -> DataFrame:
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """t, u, id (the smallest), text: each text once. Tasks collapse copies before they are dealt."""
-    return rows.groupBy("t", "u").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    """t, u, id (the smallest), text, copies: each text once. Tasks collapse copies before they are dealt."""
+    return rows.groupBy("t", "u").agg(F.min("id").alias("id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+
 
+def finish(rows: DataFrame, texts: DataFrame, covered: DataFrame, each: Callable, columns: str, all_copies: bool = False) -> DataFrame:
+    """doc_id and the columns of each row. covered: t, u, done, any number of rows a text. each(text, covered pairs, whole) gives the columns
+    of a text; whole says whether all of it repeats an equal text that counts before it: of the rows of a text those with other than
+    its smallest id or, with all_copies, all if there are several.
 
-def with_covered(rows: DataFrame, covered: DataFrame) -> DataFrame:
-    """rows and, by text: first_id, copies, done (array of binaries). covered: t, u, done, any number of rows a text."""
-    info = rows.groupBy("t", "u").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    Texts are finished once each, as a first occurrence and, if there are copies, as a later one; rows then fetch their result without carrying
+    their text, so copies of one text never meet with it in one task."""
     done = covered.groupBy("t", "u").agg(F.flatten(F.collect_list("done")).alias("done"))
-    return rows.join(info.join(done, ["t", "u"], "left"), ["t", "u"])
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                pairs = pairs_of(r.done)
+                out += [(r.t, r.u, r.id, whole, *each(r.text, pairs, whole)) for whole in ((False,) if r.copies == 1 else (True,) if all_copies else (False, True))]
+            yield pd.DataFrame(out, columns=["t", "u", "first_id", "whole", *names])
+
+    finished = materialise(texts.join(done, ["t", "u"], "left").select("t", "u", "id", "copies", "text", "done").mapInPandas(run, f"t long, u int, first_id long, whole boolean, {columns}"), "repeats-finished")
+    own = rows.select("doc_id", "t", "u", "id").join(finished, ["t", "u"])
+    return own if all_copies else own.where(F.col("whole") == (F.col("id") != F.col("first_id")))
 
 
 def spread(covered: np.ndarray, n: int, window: int) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Substring dedup: words covered by windows that repeat, found by level-wise doubling.
 
-Windows of 9 words are looked up at their anchors; those that repeat are extended to twice that length, and those that
-repeat again to the full window of 35 (twice 18, cut to what is asked for); what repeats alone survives a level.
-See repeats.py for how each level is dealt.
+Rounds: runs of 9 words at anchors are compared with all others; only those that occur again are extended to twice that length and
+compared in the next round, and what repeats again to the full window of 35 (twice 18, cut to what is asked for), until nothing
+survives. See repeats.py for how a round is dealt. Words are compared by 64-bit hashes and windows by 96 bits of those: among n
+different windows some two are taken for equal with a chance of n^2 / 2^97 (5e-8 for 10^11).
 
 Words are runs of anything but ASCII white space, unchanged. Windows are judged on the input. Defined cases: null
 text has no words; the digest of no kept words is that of the empty string; a text that occurs in several rows
@@ -13,14 +14,11 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.repeats import U, Batch, Spans, Windows, distinct_texts, keyed, mixed, pairs_of, spread, with_covered
+from siltstone.llm.repeats import U, Batch, Spans, Windows, distinct_texts, finish, keyed, mixed, spread
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -38,24 +36,6 @@ def words(texts: list[bytes]) -> Batch:
     return Batch(mixed(values), np.searchsorted(begin, places))
 
 
-def _finish(window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                own = row.text.split()
-                n = len(own)
-                if row.copies > 1 and n >= window:
-                    kept = []
-                else:
-                    gone = spread(pairs_of(row.done), n, window)
-                    kept = [w for w, g in zip(own, gone) if not g] if gone.any() else own
-                out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=frame["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_words", "n_removed", "kept_sha256"]]
-
-    return run
-
-
 def repeated_words(docs: DataFrame, window: int = 35, first: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256. first: the shortest length looked up; window is more than twice that."""
     find = Windows(window, (first, 2 * first), "all", words)
@@ -65,5 +45,15 @@ def repeated_words(docs: DataFrame, window: int = 35, first: int = 9, id_col: st
     opened = found.select("t", "u", F.concat("open", "crowded").alias("ranges")).where("size(ranges) > 0")
     more = find.settle_windows(texts, opened)
     covered = found.select("t", "u", "done").where("size(done) > 0").unionByName(more.select("t", "u", F.array("done").alias("done")))
-    every = with_covered(rows, covered)
-    return every.select("doc_id", "text", "copies", "done").mapInPandas(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    def each(raw: bytes, pairs: np.ndarray, whole: bool) -> tuple:
+        own = raw.split()
+        if whole and len(own) >= window:
+            kept = []
+        else:
+            gone = spread(pairs, len(own), window)
+            kept = [w for w, g in zip(own, gone) if not g] if gone.any() else own
+        return len(own), len(own) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    # of a text that occurs more than once every occurrence repeats
+    every = finish(rows, texts, covered, each, "n_words long, n_removed long, kept_sha256 string", all_copies=True)
+    return every.select("doc_id", "n_words", "n_removed", "kept_sha256")

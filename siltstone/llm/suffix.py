@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, parts
-from siltstone.llm.repeats import REPLY, TEXTS, U, Batch, Spans, Windows, columns_of, distinct_texts, keyed, mixed, pairs_of, planes, replies, spread, unify, with_covered
+from siltstone.llm.common import forget, materialise, parts
+from siltstone.llm.repeats import REPLY, TEXTS, U, Batch, Spans, Windows, columns_of, distinct_texts, finish, keyed, mixed, pairs_of, planes, replies, spread, unify
 
 BYTES = mixed(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 CYCLE = 31
@@ -149,24 +149,6 @@ def _sort(window: int):
     return run
 
 
-def _finish(window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                n = len(row.text)
-                if row.id != row.first_id and n >= window:
-                    gone = np.ones(n, bool)
-                else:
-                    gone = spread(pairs_of(row.done), n, window)
-                kept = np.frombuffer(row.text, np.uint8)[~gone] if gone.any() else row.text
-                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(doc_id=frame["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
-
-    return run
-
-
 def repeated_bytes(docs: DataFrame, window: int = 100, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     find = Windows(window, (k,), "later", sequence)
@@ -177,8 +159,15 @@ def repeated_bytes(docs: DataFrame, window: int = 100, k: int = 20, id_col: str
     opened = found.select("t", "u", F.col("open").alias("ranges")).where("size(ranges) > 0")
     shipped = materialise(texts.join(opened, ["t", "u"]).mapInPandas(_ship(window, k, owners), "owner int, texts binary, rows binary, bytes binary"), "suffix-buckets")
     sorted_ = materialise(shipped.groupBy("owner").applyInPandas(_sort(window), REPLY).select("t", "u", "done"), "suffix-done")
+    forget(docs.sparkSession, shipped)
     crowded = found.select("t", "u", F.col("crowded").alias("ranges")).where("size(ranges) > 0")
     hashed = find.settle_windows(texts, crowded).select("t", "u", "done")
     covered = found.select("t", "u", "done").where("size(done) > 0").unionByName(sorted_.unionByName(hashed).select("t", "u", F.array("done").alias("done")))
-    every = with_covered(rows, covered)
-    return every.select("doc_id", "id", "first_id", "text", "done").mapInPandas(_finish(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def each(raw: bytes, pairs: np.ndarray, whole: bool) -> tuple:
+        n = len(raw)
+        gone = np.ones(n, bool) if whole and n >= window else spread(pairs, n, window)
+        kept = np.frombuffer(raw, np.uint8)[~gone] if gone.any() else raw
+        return n, n - len(kept), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()
+
+    every = finish(rows, texts, covered, each, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return every.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -168,6 +168,47 @@ def test_crowded_k_gram_whose_contexts_are_first_in_another_flush():
             assert repeats.spread(hashed, len(whole[6]), 100)[80:190].all()
 
 
+def test_rounds_keep_what_repeats_at_each_length(spark):
+    """An anchor survives a round if its run occurs again; what shares 9 words but not 18 is gone after the second length."""
+    rng = random.Random(31)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    short, long = [[word() for _ in range(17)] for _ in range(12)], [word() for _ in range(60)]
+    own = [(i, " ".join([w for passage in (short if i < 4 else [long]) for w in [*[word() for _ in range(30)], *passage, *[word() for _ in range(30)]]])) for i in range(8)]
+    texts = repeats.distinct_texts(repeats.keyed(frame(spark, [(i, t, *[None] * 8) for i, t in own]), "doc_id", "text"))
+    ids = {(r.t, r.u): r.id for r in texts.collect()}
+    left = {}
+    for levels in ((9, 18), (9, 18, 36)):
+        alive = repeats.Windows(40, levels, "all", substring.words).survivors(texts).collect()
+        left[levels] = {ids[r.t, r.u] for r in alive}
+    assert left[9, 18] >= {4, 5, 6, 7} and left[9, 18] & {0, 1, 2, 3} and left[9, 18, 36] == {4, 5, 6, 7}
+    lone = texts.where("id in (0, 4)")
+    assert repeats.Windows(40, (9, 18, 36), "all", substring.words).survivors(lone).isEmpty()
+
+
+def test_anchors_of_sequences_longer_than_the_place_bits(monkeypatch):
+    rng = np.random.default_rng(5)
+    raw = bytes(rng.integers(97, 99, 700, dtype=np.uint8)) + b"a" * 200
+    monkeypatch.setattr(repeats, "PLACE_BITS", 12)
+    want = [x.tolist() for x in repeats.contexts(suffix.sequence([raw]), 100, 20, 81)]
+    # the same hashes, with places that no longer fit beside them
+    batch = suffix.sequence([raw])
+    monkeypatch.setattr(repeats, "PLACE_BITS", 12)
+    padded = suffix.sequence([raw, bytes(rng.integers(97, 123, 5000, dtype=np.uint8))])
+    got = [x.tolist() for x in repeats.contexts(padded, 100, 20, 81)]
+    first = [i for i, t in enumerate(got[0]) if t == 0]
+    assert len(batch.values) < 1 << 12 < len(padded.values)
+    assert [[column[i] for i in first] for column in got] == want
+
+
+def test_copies_fetch_their_result_without_their_text(spark):
+    """Many copies of one text, with and without repeated ids."""
+    rng = random.Random(8)
+    t = text(rng, 80, [str(i) for i in range(5000)])
+    own = [(5, t), (5, t), *[(10 + i, t) for i in range(30)], (3, text(rng, 80, [str(i) for i in range(5000)]))]
+    got = suffix.repeated_bytes(frame(spark, [(i, x, *[None] * 8) for i, x in own]))
+    assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(own)
+
+
 def test_cover_ranks_separate_long_ties():
     rng = random.Random(2)
     base = bytes(rng.randrange(97, 123) for _ in range(150))
