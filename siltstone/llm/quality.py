@@ -4,7 +4,7 @@ A text's UTF-8 bytes are embedded (fixed byte classes and hashed signs, EMBED nu
 chunks of WINDOW bytes at every STRIDE bytes, so chunks overlap and cover the whole document; their responses pass a
 rectifier and are pooled over all chunks, by maximum and by mean. A logistic layer combines the pooled values into one
 probability. Training is Adam on the log loss over labelled rows: those whose crc32(id as text) mod `folds` is not
-`held_out`, at most `sample` of them, taken in order of a hash of the id. Labels, language, source and id are
+`held_out`, at most `sample` of them and `sample_bytes` of text, taken in order of a hash of the id. Labels, language, source and id are
 never inputs.
 
 Defined cases: null and empty texts are scored as one chunk of zeros; labels that are null are left out, several of
@@ -104,6 +104,33 @@ def pool(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def pieces_of(rows: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
+    """The rows in order, in parts of up to PIECE bytes of text (or one text)."""
+    sizes = np.cumsum([len(texts[i]) for i in rows])
+    return [part for part in np.split(rows, np.flatnonzero(np.diff(sizes // PIECE)) + 1) if len(part)]
+
+
+def gradients(model: Model, texts: list[bytes], labels: np.ndarray, n_batch: int) -> list[np.ndarray]:
+    """Of the log loss over some texts of a batch: filters, bias, weights, base."""
+    buffer, firsts, counts = layout(texts)
+    steps, a = responses(model, buffer)
+    n = len(a)
+    pooled, tops = np.zeros((len(texts), 2 * FILTERS), np.float32), []
+    for r, (first, count) in enumerate(zip(firsts, counts)):
+        part = a[first : first + count]
+        best = part.argmax(0)
+        tops.append(first + best)
+        pooled[r, :FILTERS], pooled[r, FILTERS:] = part[best, np.arange(FILTERS)], part.mean(0)
+    off = (model.score(pooled) - labels).astype(np.float32) / n_batch
+    back = off[:, None] * model.weights
+    da = np.zeros((n, FILTERS), np.float32)
+    for r, (first, count) in enumerate(zip(firsts, counts)):
+        da[first : first + count] += back[r, FILTERS:] / count
+        da[tops[r], np.arange(FILTERS)] += back[r, :FILTERS]
+    da *= a > 0
+    return [np.stack([steps[j : j + n].T @ da for j in range(STEPS)]), da.sum(0), pooled.T @ off, np.asarray([off.sum()], np.float32)]
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 1) -> Model:
     """Fits filters and weights by gradient descent through the pooling."""
     rng = np.random.default_rng(seed)
@@ -122,24 +149,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
         rng.shuffle(order)
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            buffer, firsts, counts = layout([texts[i] for i in own])
-            steps, a = responses(model, buffer)
-            n = len(a)
-            pooled, tops = np.zeros((len(own), 2 * FILTERS), np.float32), []
-            for r, (first, count) in enumerate(zip(firsts, counts)):
-                part = a[first : first + count]
-                best = part.argmax(0)
-                tops.append(first + best)
-                pooled[r, :FILTERS], pooled[r, FILTERS:] = part[best, np.arange(FILTERS)], part.mean(0)
             model.base = float(values[3][0])
-            off = (model.score(pooled) - labels[own]).astype(np.float32) / len(own)
-            back = off[:, None] * model.weights
-            da = np.zeros((n, FILTERS), np.float32)
-            for r, (first, count) in enumerate(zip(firsts, counts)):
-                da[first : first + count] += back[r, FILTERS:] / count
-                da[tops[r], np.arange(FILTERS)] += back[r, :FILTERS]
-            da *= a > 0
-            grads = [np.stack([steps[j : j + n].T @ da for j in range(STEPS)]), da.sum(0), pooled.T @ off + 1e-4 * model.weights, np.asarray([off.sum()], np.float32)]
+            grads = [np.zeros_like(v) for v in values]
+            for part in pieces_of(own, texts):  # gradients add up over parts, which bound what is held at once
+                for total, g in zip(grads, gradients(model, [texts[i] for i in part], labels[part], len(own))):
+                    total += g
+            grads[2] += (1e-4 * model.weights).astype(np.float32)
             step += 1
             for v, g, m, s in zip(values, grads, firsts_, seconds_):
                 m += 0.1 * (g - m)
@@ -153,13 +168,21 @@ def fold(doc_id: Column, folds: int = 3) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, sample: int = 3000) -> Model:
-    """Trains on at most `sample` labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, sample: int = 3000, sample_bytes: int = 64 << 20) -> Model:
+    """Trains on at most `sample` labelled rows outside the held-out fold, with at most `sample_bytes` of text together."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     known = known.where(fold(F.col("_id"), folds) != held_out).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample).collect()  # sample rows at most
-    return train([r["_text"].encode() for r in rows], np.asarray([r["_label"] for r in rows], np.float64))
+    rows = texts.join(F.broadcast(known), "_id").withColumn("_mark", F.xxhash64("_text"))  # known has `sample` rows at most
+    sizes = rows.select("_id", "_mark", F.octet_length("_text").alias("n")).orderBy(F.xxhash64("_id"), "_id", "_mark").limit(sample).collect()
+    taken, held = [], 0
+    for r in sizes:  # texts that would not fit the bytes are passed over
+        if held + r["n"] <= sample_bytes:
+            taken.append((r["_id"], r["_mark"]))
+            held += r["n"]
+    wanted = docs.sparkSession.createDataFrame(taken, "_id long, _mark long").distinct()
+    found = rows.join(F.broadcast(wanted), ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).orderBy(F.xxhash64("_id"), "_id", "_mark").collect()
+    return train([r["_text"].encode() for r in found], np.asarray([r["_label"] for r in found], np.float64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:

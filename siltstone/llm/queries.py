@@ -69,9 +69,9 @@ OP5 = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT DISTINCT conv_id, role AS speaker FROM t),
 s AS (SELECT t.conv_id, speaker, turn, role, text, role = speaker AS trained,
-  CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS header
+  CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(replace(replace(role, '%', '%25'), '|', '%7C'), chr(10), '%0A') || '|>' || chr(10) END AS header
   FROM t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id),
-r AS (SELECT *, header || text || chr(10) || '<|end|>' || chr(10) AS rendered FROM s),
+r AS (SELECT *, header || replace(text, '<|', '<||') || chr(10) || '<|end|>' || chr(10) AS rendered FROM s),
 o AS (SELECT *, length(rendered)::BIGINT AS n_chars, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM r)
 SELECT conv_id, speaker, turn, role, rendered, start, n_chars, trained,
