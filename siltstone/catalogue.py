@@ -13,7 +13,7 @@ from siltstone.functions import chunking, control, redact, text
 from siltstone.operators import metrics, quality, reports, retrieval
 from siltstone.plans.tables import NOW, corpus, log, table
 from siltstone.queries import CORPUS, COUNT, LOG, SIX, query
-from siltstone.sources import artifacts, ndjson, workspace
+from siltstone.sources import artifacts, ndjson, remote, workspace
 from siltstone.streaming import logs
 
 SCORE = "((ord % 1000)::DOUBLE / 1000)"
@@ -471,6 +471,40 @@ def store_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.store_audit(c, files, redact.redacted(F.col("content")) != F.col("content"))
 
 
+@query("SELECT n_name AS record_id, 'text of ' || n_name AS content, 'published, unchanged, shrinks, published' AS steps, 25::BIGINT AS removed, 'behind, current' AS seen FROM nation WHERE n_nationkey >= 5")
+def sync_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus pushed, pushed again, refused as it would lose records, forced, and pulled back."""
+    def chunks(prefix: str) -> DataFrame:
+        name = F.concat(F.lit(prefix), "n_name")
+        return table(spark, sf_dir, "nation").select(name.alias("record_id"), name.alias("file_path"), F.lit(1).cast("long").alias("start_line"), F.md5(name).alias("chunk_id"), F.concat(F.lit("text of "), name).alias("content"), "n_nationkey")
+
+    at = remote.FolderRemote(spark, folder(spark))
+    first, later = chunks("old ").drop("n_nationkey"), chunks("").where("n_nationkey >= 5").drop("n_nationkey")
+    done = [remote.push(at, "c", first), remote.push(at, "c", first), remote.push(at, "c", later)]
+    seen = [remote.status(at, "c", later)]
+    done.append(remote.push(at, "c", later, force=True))
+    seen.append(remote.status(at, "c", later))
+    return remote.pull(at, "c").select("record_id", "content", F.lit(", ".join(d["reason"] for d in done)).alias("steps"), F.lit(done[3]["removed"]).cast("long").alias("removed"), F.lit(", ".join(seen)).alias("seen"))
+
+
+@query("""SELECT * FROM (VALUES ('retrieval', '{"detail": "full"}'), ('output', '{"level": "standard"}'), ('memory', '{"enabled": false}'), ('summarization', '{"auto_tokens": 900}'), ('mcp', '{"result_footer": "on"}'), ('markdown', '{"max_section_tokens": 400}'),
+('knowledge', '{"enabled": true, "min_score": 0.5, "default_source": "code"}')) t(block, found)""")
+def settings_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = "retrieval:\n  detail: Full\noutput:\n  level: loud\nmemory:\n  enabled: false\nsummarization:\n  auto_tokens: 900\nmcp:\n  result_footer: true\nmarkdown:\n  max_section_tokens: -3\nknowledge:\n  enabled: 1\n  min_score: 0.5  # half\n  default_source: code\n"
+    return spark.createDataFrame([(block, json.dumps(own)) for block, own in control.settings(body).items()], "block string, found string")
+
+
+@query("""WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, 'docs/a' || doc_id % 7 || CASE WHEN doc_id % 3 = 0 THEN '#function' ELSE '' END AS anchor, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'docs/a' || doc_id % 7 END AS file_path, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 'function' END AS kind,
+CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN doc_id % 9 + 1 END AS lo, CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN doc_id % 9 + 3 END AS hi FROM s""")
+def anchor_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    path = F.concat(F.lit("docs/a"), (n % 7).cast("string"))
+    base = F.concat(path, F.when(n % 3 == 0, "#function").otherwise(""))
+    spans = F.concat(F.lit("@"), (n % 9 + 1).cast("string"), F.lit("-"), (n % 9 + 3).cast("string"))
+    form = F.when(n % 5 == 0, F.concat(base, F.lit("@9-2"))).when(n % 2 == 0, F.concat(base, spans)).otherwise(base)
+    return table(spark, sf_dir, "documents").select("doc_id", base.alias("anchor"), quality.anchors(form).alias("a")).select("doc_id", "anchor", "a.file_path", "a.kind", "a.lo", "a.hi")
+
+
 # --- workspaces
 
 

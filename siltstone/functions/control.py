@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import datetime, timezone
 
@@ -90,3 +91,39 @@ def scalar(raw: str) -> object:
         except ValueError:
             pass
     return raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"" else raw
+
+
+# Each block's settings with their defaults and what they may be.
+LEVELS, OUTPUTS, FOOTERS, ORIGINS = ("signature", "compact", "full"), ("off", "lite", "standard", "max"), ("off", "on", "session"), ("code", "knowledge", "both")
+BLOCKS = {
+    "retrieval": {"detail": ("compact", LEVELS)},
+    "output": {"level": ("standard", OUTPUTS)},
+    "memory": {"enabled": (True, bool)},
+    "summarization": {"auto_tokens": (None, int)},
+    "mcp": {"result_footer": ("off", FOOTERS)},
+    "markdown": {"max_section_tokens": (400, int)},
+    "knowledge": {"enabled": (True, bool), "min_score": (0.30, float), "default_source": ("both", ORIGINS)},
+}
+
+
+def _fits(value: object, kind: object) -> object | None:
+    """The value as the setting has it, None if it isn't one."""
+    if isinstance(kind, tuple):
+        own = {True: "on", False: "off"}.get(value, value) if isinstance(value, bool) else value
+        return own.lower() if isinstance(own, str) and own.lower() in kind else None
+    if kind is bool:
+        return value if isinstance(value, bool) else None
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return None
+    if kind is int:
+        return value if isinstance(value, int) and value > 0 else None
+    return float(value) if math.isfinite(value) else None
+
+
+def settings(text: str) -> dict[str, dict[str, object]]:
+    """All blocks of a settings file; a value that is missing or doesn't fit leaves the default."""
+    out: dict[str, dict[str, object]] = {}
+    for block, known in BLOCKS.items():
+        found = yaml_block(text, block)
+        out[block] = {name: default if (own := _fits(found.get(name), kind)) is None else own for name, (default, kind) in known.items()}
+    return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -89,3 +90,18 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_counts(a: Column, b: Column) -> Column:
     size = norm(a) * norm(b)
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+class Embedder(Protocol):
+    """What turns texts into vectors: a name that stores are keyed by, and a column of vectors of a column of texts."""
+
+    name: str
+
+    def column(self, texts: Column) -> Column: ...
+
+
+class HashEmbedder:
+    name = "hash"
+
+    def column(self, texts: Column) -> Column:
+        return hash_counts(texts)

@@ -155,9 +155,9 @@ def bm25_ranked(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) ->
 # --- vectors
 
 
-def embedded(corpus: DataFrame) -> DataFrame:
-    """The corpus with its hash embedding, as counts."""
-    return corpus.withColumn("counts", embed.hash_counts(F.col("content")))
+def embedded(corpus: DataFrame, embedder: embed.Embedder | None = None) -> DataFrame:
+    """The corpus with its embedding, as counts: hashed unless another embedder is given."""
+    return corpus.withColumn("counts", (embedder or embed.HashEmbedder()).column(F.col("content")))
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:

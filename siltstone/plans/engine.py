@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, redact, text
-from siltstone.operators import metrics, quality, retrieval
-from siltstone.sources import artifacts, files, ndjson
+from siltstone.operators import metrics, quality, reports, retrieval
+from siltstone.plans.cache import Held
+from siltstone.sources import artifacts, files, ndjson, remote
 
 RECORDS = "id string, title string, body string, source string, url string, state string, state_reason string, updated_at string, labels array<string>, `group` string, links array<string>"
 
@@ -15,6 +16,7 @@ RECORDS = "id string, title string, body string, source string, url string, stat
 class Engine:
     def __init__(self, spark: SparkSession, registry: chunking.Registry | None = None):
         self.spark, self.registry = spark, registry or chunking.Registry()
+        self.held = Held(spark, lambda path: artifacts.load_store(spark, path))
 
     # ingest
     def index(self, root: str, rules: list = (), protect: bool = True) -> dict[str, DataFrame]:
@@ -70,7 +72,7 @@ class Engine:
         else:
             k = queries.agg(F.max("k")).first()[0]
             found = retrieval.blend(self.search(tables, queries), self.ask(documents, queries), k)
-        return retrieval.within_budget(found, limit) if limit else found
+        return reports.budgeted(found, limit) if limit else found
 
     def expand_chunk(self, tables: dict[str, DataFrame], chunk_id: str, scope: str = "chunk") -> DataFrame:
         """A chunk, all of its file, or the chunks next to it in its file."""
@@ -113,3 +115,18 @@ class Engine:
 
     def doctor(self, tables: dict[str, DataFrame]) -> DataFrame:
         return quality.doctor(tables["chunks"])
+
+    def ask_suite(self, chunks: DataFrame, cases: list[dict], floor: float = 0.30, share: float | None = None) -> DataFrame:
+        """One row: means of a suite of questions (id, query, k, expect: records) and whether it passes."""
+        asked = self.spark.createDataFrame([(c["id"], c["query"], c.get("k") or 5, c["expect"]) for c in cases], "q_id string, query string, k long, expect array<string>")
+        return reports.suite_gate(reports.suite_scores(self.ask(chunks, asked).select("q_id", "rank", "record_id"), asked), share)
+
+    def audit(self, tables: dict[str, DataFrame], files_: DataFrame) -> DataFrame:
+        """What doctor looks at, and what a store has that its files or its redaction no longer bear out."""
+        return quality.doctor(tables["chunks"]).crossJoin(reports.store_audit(tables["chunks"], files_, redact.redacted(F.col("content")) != F.col("content")))  # a row each
+
+    def push(self, root: str, corpus: str, chunks: DataFrame, **options) -> dict:
+        return remote.push(remote.FolderRemote(self.spark, root), corpus, chunks, **options)
+
+    def pull(self, root: str, corpus: str) -> DataFrame:
+        return remote.pull(remote.FolderRemote(self.spark, root), corpus)

@@ -174,3 +174,45 @@ def test_c_definitions_do_not_backtrack():
     chunking.code_chunks("a.c", "p** " * 3000, chunking.Registry())
     assert time.time() - start < 5
     assert [r[1:3] for r in chunking.code_chunks("a.c", "static char **names(int a) {\n  return 0;\n}\n", chunking.Registry())] == [(1, 3)]
+
+
+def test_what_is_pulled_is_checked(spark, tmp_path):
+    from siltstone.sources import remote
+
+    at = remote.FolderRemote(spark, str(tmp_path))
+    rows = spark.createDataFrame([(f"r{i}", f"r{i}", 1, f"c{i}", f"text {i}") for i in range(20)], "record_id string, file_path string, start_line long, chunk_id string, content string")
+    done = remote.push(at, "c", rows)
+    assert done["pushed"] and remote.status(at, "c", rows) == "current" and at.list("c") == sorted([f"c/{done['address']}", "c/current"])
+    assert remote.push(at, "c", rows.limit(5), dry_run=True, force=True)["reason"] == "dry run" and remote.pull(at, "c").count() == 20
+    rows.limit(19).write.mode("overwrite").parquet(at.path(f"c/{done['address']}/chunks"))
+    with pytest.raises(ValueError):
+        remote.pull(at, "c")
+    with pytest.raises(ValueError):
+        at.get("../escape")
+
+
+def test_held_stores_follow_their_files(spark, tmp_path):
+    engine = Engine(spark)
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(str(tmp_path / "store/chunks"))
+        first = engine.held(str(tmp_path / "store"))
+        assert first["chunks"].count() == n and engine.held(str(tmp_path / "store")) is first
+    engine.held.release(str(tmp_path / "store"))
+    assert not engine.held.known
+
+
+def test_another_embedder_can_be_given(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.functions import embed
+    from siltstone.operators import retrieval
+
+    class Lengths:
+        name = "lengths"
+
+        def column(self, texts):
+            return F.array(F.length(texts).cast("double"), F.lit(1.0))
+
+    rows = spark.createDataFrame([(0, "abc")], "ord long, content string")
+    assert retrieval.embedded(rows, Lengths()).first()["counts"] == [3.0, 1.0]
+    assert embed.HashEmbedder().name == "hash" and len(retrieval.embedded(rows).first()["counts"]) == 256
