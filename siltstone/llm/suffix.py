@@ -2,8 +2,8 @@
 
 Two suffixes matter to each other if their first `window` bytes agree. Suffixes go into buckets by their anchor, which
 equal windows share (repeats.py); equal contexts are collapsed, and buckets with one context left need no sorting. The
-others are sorted one block of buckets at a time: suffixes are ordered by their first v bytes and the last v of their
-window; where those agree (long ties), the ranks of a cover sample decide. The sample holds the places whose residue
+others are sorted one block of buckets at a time: suffixes are ordered by their first v bytes; where those agree (long ties), the
+ranks of a cover sample decide, and then the last v bytes of the window. The sample holds the places whose residue
 modulo v is in a difference cover, ranked once for each block by their next window - v bytes: for any two suffixes
 some d < v leads to sampled places in both, and the ranks there compare all bytes between the two ends. A block holds a
 few MB, so memory is bounded; a bucket too crowded for one owner is settled by hashes of whole windows.
@@ -50,28 +50,55 @@ def sequence(texts: list[bytes]) -> Batch:
     return Batch(BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0, *map(len, texts)]))
 
 
-def classes(data: bytes, places: np.ndarray, buckets: np.ndarray, window: int) -> np.ndarray:
-    """For each suffix (a place in data, in a bucket) the index of one that stands for all with the same window."""
-    raw = np.frombuffer(data + bytes(window), np.uint8)
+def text_words(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The CYCLE bytes from each place on as numbers that order as the bytes do, a row each."""
+    cells = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    starts = [*range(0, CYCLE - 8, 8), CYCLE - 8]
+    return np.stack([np.ascontiguousarray(cells[places + at]).view(">u8").ravel().astype(U) for at in starts])
+
+
+def suffix_order(data: bytes, places: np.ndarray, buckets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes (places in data, in buckets) sorted by bucket and their first `window` bytes (zeros behind the end), and in that
+    order which of them differs from the one before it.
+
+    Buckets and the first v bytes are sorted at once. Runs that agree on them, the long ties, are split in three about their first suffix,
+    all runs in one step, until each holds equals only: the sample's ranks at a common distance d compare all bytes but the last v - d,
+    and the last v bytes decide what the ranks leave."""
+    raw = np.frombuffer(data + bytes(window + 8), np.uint8)
     long = window - CYCLE
     sampled = np.flatnonzero(np.isin(np.arange(len(data)) % CYCLE, COVER))
     cells = np.lib.stride_tricks.sliding_window_view(raw, long)[sampled]
     rank = np.zeros(len(raw), np.int64)
     rank[sampled] = np.unique(np.ascontiguousarray(cells).view(f"V{long}").ravel(), return_inverse=True)[1]
-    spans = Spans(BYTES[raw], two=False)
-    head, tail = spans.of(places, places + CYCLE), spans.of(places + long, places + window)
-    order = np.lexsort((tail, head, buckets))
-    same = (head[order][1:] == head[order][:-1]) & (tail[order][1:] == tail[order][:-1]) & (buckets[order][1:] == buckets[order][:-1])
-    run = np.concatenate([[0], np.cumsum(~same)])
-    found = np.empty(len(places), np.int64)
-    while len(order):  # the first suffix left in each run takes its equals out
-        new = np.concatenate([[True], run[1:] != run[:-1]])
-        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        d = STEPS[places[lead] % CYCLE, places[order] % CYCLE]
-        equal = rank[places[lead] + d] == rank[places[order] + d]
-        found[order[equal]] = lead[equal]
-        order, run = order[~equal], run[~equal]
-    return found
+    head = text_words(raw, places)
+    order = np.lexsort((*head[::-1], buckets))
+    at, head = places[order], head[:, order]
+    run = np.cumsum(np.concatenate([[True], (buckets[order][1:] != buckets[order][:-1]) | (head[:, 1:] != head[:, :-1]).any(0)])) - 1
+    sizes = np.bincount(run, minlength=len(order))
+    work = np.flatnonzero(sizes[run] > 1)  # of the sorted suffixes
+    # where in its run a suffix goes: runs are kept apart by where they begin, and split runs begin behind what precedes them
+    begin = np.searchsorted(run, run)
+    fresh = np.concatenate([[True], run[1:] != run[:-1]])
+    tail = np.lexsort(text_words(raw, at[work] + long)[::-1]) if len(work) else work
+    tails = np.zeros(len(order), np.int64)
+    if len(work):
+        words = text_words(raw, at[work[tail]] + long)
+        tails[work[tail]] = np.cumsum(np.concatenate([[False], (words[:, 1:] != words[:, :-1]).any(0)]))
+    while len(work):
+        key = begin[work]
+        lead = work[np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])[np.cumsum(np.concatenate([[False], np.diff(key) != 0]))]]
+        d = STEPS[at[lead] % CYCLE, at[work] % CYCLE]
+        side = np.sign(rank[at[work] + d] - rank[at[lead] + d])
+        side = np.where(side == 0, np.sign(tails[work] - tails[lead]), side)
+        parts = np.lexsort((side, key))
+        moved, key, side = work[parts], key[parts], side[parts]
+        # the suffixes of a run change places among themselves
+        order[work], at[work], tails[work] = order[moved], at[moved], tails[moved]
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])
+        fresh[work[first]] = True
+        begin[work] = work[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        work = work[side != 0]
+    return order, fresh
 
 
 def _ship(window: int, k: int, owners: int):
@@ -138,7 +165,9 @@ def _sort(window: int):
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             of = np.repeat(np.arange(len(i)), n)
             text, lo = rows["text"][i][of], rows["lo"][i][of].astype(np.int64) + step
-            group = classes(chunk, starts[of] + step, bucket[block == b][of], window)
+            order_, fresh = suffix_order(chunk, starts[of] + step, bucket[block == b][of], window)
+            group = np.empty(len(order_), np.int64)
+            group[order_] = np.cumsum(fresh)
             by = np.lexsort((lo, text, group))
             again = np.concatenate([[False], group[by][1:] == group[by][:-1]])
             own = {"text": text[by][again], "lo": lo[by][again]}

@@ -209,18 +209,35 @@ def test_copies_fetch_their_result_without_their_text(spark):
     assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(own)
 
 
-def test_cover_ranks_separate_long_ties():
+def test_suffixes_are_in_order():
     rng = random.Random(2)
     base = bytes(rng.randrange(97, 123) for _ in range(150))
     middle = bytearray(base)
     middle[50] ^= 1
-    data = base + bytes(middle) + base
-    places = np.array([0, 150, 300, 3, 303])
-    got = suffix.classes(data, places, np.array([0, 0, 0, 1, 1]), 100)
-    assert got[0] == got[2] != got[1] and got[3] == got[4]
+    late = bytearray(base)
+    late[97] ^= 3
+    periodic = b"abc" * 90
+    data = base + bytes(middle) + base + bytes(late) + b"a" * 300 + periodic + base[:99]
+    places = np.array([*range(0, len(data) - 100, 1), 0, 150, 300])
+    buckets = np.array([rng.randrange(2) for _ in places])
+    order, fresh = suffix.suffix_order(data, places, buckets, 100)
+    got = [(buckets[i], (data + bytes(100))[places[i] : places[i] + 100]) for i in order]
+    assert got == sorted(got) and sorted(order.tolist()) == list(range(len(places)))
+    assert fresh.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(len(got))]
     assert all(suffix.STEPS.ravel() < suffix.CYCLE)
 
 
+def test_long_ties_need_the_cover(monkeypatch):
+    """With ranks that say nothing, windows that differ in the middle alone are taken for equal."""
+    base = bytes(random.Random(3).randrange(97, 123) for _ in range(150))
+    middle = bytearray(base)
+    middle[50] ^= 1
+    places, buckets = np.array([0, 150]), np.zeros(2, np.int64)
+    assert suffix.suffix_order(base + bytes(middle), places, buckets, 100)[1].tolist() == [True, True]
+    monkeypatch.setattr(suffix, "COVER", ())
+    assert suffix.suffix_order(base + bytes(middle), places, buckets, 100)[1].tolist() == [True, False]
+
+
 def shingles(t, size):
     w = WORD.findall(t.translate(FOLD))
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
