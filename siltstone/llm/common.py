@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: The words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How much goes to a Python worker at once; a session that sets its own keeps it.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20))}
 UNKNOWN = 1 << 60  # bytes; what Catalyst assumes of a size it does not know is above
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,10 +36,19 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def steady(spark: SparkSession) -> None:
+    """Bounds the batches that this session's Python workers get, where it has Spark's own defaults."""
+    own = spark.sparkContext.getConf()
+    for key, (default, value) in BATCHES.items():
+        if not own.contains(key) and (default is None or spark.conf.get(key, default) == default):
+            spark.conf.set(key, value)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, so a lost executor costs a
     reread, and partition ids or row positions recorded in the rows stay what they were."""
     spark = df.sparkSession
+    steady(spark)
     path, before = scratch(spark, tag), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files of this job go when it ends, not when the driver collects garbage
     try:

@@ -197,7 +197,7 @@ def postings(element: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return element[starts], np.concatenate([starts, [len(element)]]), owner
 
 
-def meet(asks: list[np.ndarray], ours: np.ndarray, home: list[np.ndarray], theirs: np.ndarray, unit_: int, labels: np.ndarray, tile: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def meet(asks: list[np.ndarray], ours: np.ndarray, home: list[np.ndarray], theirs: np.ndarray, unit_: int, labels: np.ndarray, tile: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Links of sets that ask with sets at home, one for each two labels they bring together. labels: of asks, then of home."""
     n = len(home)
     values, starts, owner = postings(np.concatenate(home), np.repeat(np.arange(n), [len(s) for s in home]))

@@ -22,9 +22,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import steady
+
 WINDOW, STRIDE, EMBED, FILTERS = 16, 4, 8, 24
 STEPS = WINDOW // STRIDE
-PIECE = 1 << 20  # bytes that are in work at once
+PIECE = 1 << 18  # bytes that are in work at once
 
 
 def byte_table() -> np.ndarray:
@@ -187,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns in keep, and the score of each whole text."""
+    steady(docs.sparkSession)
     schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator) -> Iterator:
@@ -209,6 +212,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 
 def accepted(docs: DataFrame, model: Model, floor: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text scores at least floor."""
+    steady(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
