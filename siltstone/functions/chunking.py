@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import control
+
 CHUNK = "file_path string, start_line long, end_line long, chunk_type string, kind string, name string, language string, content string, chunk_id string, token_count long, ord long"
 SECTION_BUDGET, NESTING_LIMIT = 400, 192  # fixed values: tokens of a section, depth of quotes and indents
 
@@ -169,6 +171,9 @@ PACKS = [
 ]
 
 
+TYPES = ("function", "class")
+
+
 class Registry:
     """Packs by extension; a name or an extension is taken once."""
 
@@ -189,12 +194,21 @@ class Registry:
         return self.by_extension.get("." + name.rsplit(".", 1)[1].lower()) if "." in name[1:] else None
 
     def validate(self) -> dict[str, list[str]]:
-        """What is wrong with each pack: its shape, and what it finds in its own sample."""
+        """What is wrong with each pack: its shape; what it finds in its own sample, by types that are known; and whether the chunks of
+        the sample lie in it, in order and each with an id of its own."""
         out = {}
         for p in self.packs:
             wrong = [f"extension {e!r} is no lower-case suffix" for e in p.extensions if not re.fullmatch(r"\.[a-z0-9]+", e)]
-            wrong += [] if p.definitions(p.sample) else ["no definition found in the sample"]
+            wrong += [] if p.name and p.extensions else ["a pack needs a name and an extension"]
+            found = p.definitions(p.sample)
+            wrong += [] if found else ["no definition found in the sample"]
             wrong += [] if p.imports(p.sample) else ["no import found in the sample"]
+            for type_ in dict.fromkeys(f.type for f in found if f.type not in TYPES):
+                near = control.suggestions(type_, list(TYPES))
+                wrong.append(f"type {type_!r} is not known" + (f"; did you mean {', '.join(map(repr, near))}?" if near else ""))
+            wrong += ["a definition lies outside the sample"] if any(not 0 <= f.begin < f.end <= len(p.sample) for f in found) else []
+            ids = [identity("sample", f.begin, f.end, p.sample[f.begin : f.end]) for f in found]
+            wrong += ["two chunks of the sample have one id"] if len(set(ids)) < len(ids) else []
             out[p.name] = wrong
         return out
 

@@ -25,6 +25,12 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", (F.col("at") + 1).cast("long").alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
 
 
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """ord, value: lines of text files, which many tasks may read, with a place that orders them: file, where the block begins, row in it."""
+    rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"))
+    return rows.select("ord", F.regexp_replace("value", r"\r\z", "").alias("value"))
+
+
 def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
@@ -63,8 +69,7 @@ def events(lines: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The events of a log, and one row with how many lines were skipped."""
-    lines = numbered(spark, path).select(F.struct("file", "line").alias("ord"), "value")
-    parsed = events(lines)
+    parsed = events(placed(spark, path))
     return parsed.where("kind is not null"), parsed.agg(F.count_if(F.col("kind").isNull()).alias("skipped"))
 
 

@@ -216,3 +216,12 @@ def test_another_embedder_can_be_given(spark):
     rows = spark.createDataFrame([(0, "abc")], "ord long, content string")
     assert retrieval.embedded(rows, Lengths()).first()["counts"] == [3.0, 1.0]
     assert embed.HashEmbedder().name == "hash" and len(retrieval.embedded(rows).first()["counts"]) == 256
+
+
+def test_packs_are_checked_in_three_layers():
+    good = chunking.Registry()
+    assert all(wrong == [] for wrong in good.validate().values())
+    typo = chunking.Pack("odd", (".ODD",), lambda t: [chunking.Found(0, 99, 3, "k", "functon", "f")], lambda t: [], "sample")
+    wrong = chunking.Registry([typo]).validate()["odd"]
+    assert "type 'functon' is not known; did you mean 'function'?" in wrong and "a definition lies outside the sample" in wrong
+    assert "no import found in the sample" in wrong and any(".ODD" in w for w in wrong)
