@@ -134,5 +134,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """The rows of docs, all columns, that stay: of each group of equal texts one with the largest id."""
     rows, (b, k, sha, keep, size, _) = look_up(docs, id_col, text_col, capacity, key_bits)
     rows = rows.where(F.col(id_col).eqNullSafe(F.col(keep)))
+    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    twins = docs.groupBy(F.col(id_col).alias("id"), _key(text, key_bits).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if twins.isEmpty():  # no id comes twice with one key, so each group has one row left
+        return rows.select(*docs.columns)
     alone, several = rows.where(F.col(size) == 1), rows.where(F.col(size) > 1).dropDuplicates([b, k, sha])
     return alone.unionByName(several).select(*docs.columns)
