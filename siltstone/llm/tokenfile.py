@@ -9,7 +9,7 @@ find every offset with select(i), which reads a sample and a few bytes after it;
 blocks come from sums of the blocks' totals, by shard and within a shard.
 
 Defined cases: null text is the empty text, of which only the end id is stored; rows with one doc_id stay rows of
-their own, in order of their text; rows without an id come first and read back as null; an empty table makes an
+their own, in order of a hash of their text; rows without an id come first and read back as null; an empty table makes an
 empty file; other columns are ignored.
 """
 
@@ -107,7 +107,8 @@ def _packer(path: str, kind: str, end_id: int, block_ids: int, block_docs: int):
 def write_ids(docs: DataFrame, target: str, vocabulary: str, kind: str = "word", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 20, block_docs: int = 1 << 16) -> None:
     """Encodes every whole text, appends end_id and writes a token-id file at target, in ascending order of id."""
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long").alias("id"), F.col(id_col).isNotNull().alias("has_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts(docs), "id").sortWithinPartitions("id", "has_id", "text")
+    # rows of one id (or of none) spread by a hash of their text
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(parts(docs), "id", "has_id", "mark").sortWithinPartitions("id", "has_id", "mark").drop("mark")
     # shard: the number of a range of ids, so shards in order hold ids in order
     rows.mapInPandas(_packer(vocabulary, kind, end_id, block_ids, block_docs), SCHEMA).write.option("compression", "zstd").parquet(target)
 
