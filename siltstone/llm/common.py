@@ -77,6 +77,20 @@ def parts(df: DataFrame, target: int = 8 << 20) -> int:
     return own if size >= UNKNOWN else max(own, -(-size // target))
 
 
+HEAVY = 512  # keys with more than this share of the rows are heavy, so there are at most as many
+
+
+def meet(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left joined with right on key, of which right has one row each; rows: how many left has. Keys that hold more than rows / HEAVY rows
+    of left, at most HEAVY, reach them by a broadcast of their rows of right, so that no key gathers left in one task."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(rows // HEAVY, 1 << 12))
+    heavy = [r[0] for r in counts.collect()]
+    if not heavy:
+        return left.join(right, key)
+    is_heavy = F.col(key).isin(heavy)
+    return left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), key).unionByName(left.where(~is_heavy).join(right.where(~is_heavy), key))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has (Spark compares them without case), made from these."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise
+from siltstone.llm.common import forget, materialise, meet
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long), in one direction. node, label: the smallest node that each node reaches; nodes without an
     edge are absent. A round takes the smallest label of the neighbours, then the label of that label, so a path of n
-    edges needs about log n rounds; labels are written to the shared folder after each."""
+    edges needs about log n rounds; labels are written to the shared folder after each, and those of the round before go. A label or node
+    that many rows name (a giant component, a star) meets them by broadcast, see meet()."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "component-edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "component-labels")
+    n_edges, n_nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
+        near = meet(both, labels.select(F.col("node").alias("b"), "label"), "b", n_edges).groupBy("a").agg(F.min("label").alias("near"))
+        low = materialise(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low")), "component-lows")
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        after = materialise(low.join(jump, "low").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("was")).alias("moved")), "component-labels")
+        after = materialise(meet(low, jump, "low", n_nodes).select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("was")).alias("moved")), "component-labels")
+        moved = not after.where("moved").isEmpty()
+        forget(both.sparkSession, low)
+        forget(both.sparkSession, labels)
         labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
+        if not moved:
+            forget(both.sparkSession, both)
             return labels

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat, exact, fingerprint, mixing, nearjoin, packing, quality, substring, suffix, tokenfile
+from siltstone.llm import chat, dualtree, exact, fingerprint, mixing, nearjoin, packing, quality, signs, structure, substring, suffix, tokenfile
 from siltstone.llm.tokens import vocabulary
 
 
@@ -54,8 +54,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_bytes(_table(spark, sf_dir, "documents"), window=100)
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return structure.report(turns, structure.damage(turns))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.clusters(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64)
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signs.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_substring_dedup, op3_minhash_dedup, op4_exact_dedup, op5_chat_perspectives, op6_token_ids, op7_packing, op8_quality, op9_mixing, op10_suffix_dedup)
+    own = (op1_fingerprints, op2_substring_dedup, op3_minhash_dedup, op4_exact_dedup, op5_chat_perspectives, op6_token_ids, op7_packing, op8_quality, op9_mixing, op10_suffix_dedup, op11_structure_repair, op12_centroid_clusters, op13_near_vectors)
     return {f.__name__: f for f in own}
 
 
@@ -96,5 +109,32 @@ FROM k
 """
 
 
+ROUND = """
+a{r} AS (SELECT v.n, arg_min(c.num, struct_pack(d := list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), num := c.num)) AS num FROM v CROSS JOIN c{p} c GROUP BY v.n),
+m{r} AS (SELECT num, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS k FROM (SELECT a.num, unnest(v.q) AS x, unnest(range(1, 65)) AS pos FROM a{r} a JOIN v USING (n)) GROUP BY num, pos),
+t{r} AS (SELECT num, list((s - ((s % k) + k) % k) // k ORDER BY pos) AS q FROM m{r} GROUP BY num),
+c{r} AS (SELECT num, coalesce(t{r}.q, c{p}.q) AS q FROM c{p} LEFT JOIN t{r} USING (num)),"""
+
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS num, q FROM v QUALIFY num < 16),""" + "".join(ROUND.format(r=r, p=r - 1) for r in (1, 2, 3)) + """
+f AS (SELECT v.n, v.vec_id, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), num := c.num)) AS best FROM v CROSS JOIN c3 c GROUP BY v.n, v.vec_id)
+SELECT vec_id, CAST(best.num AS INTEGER) AS "cluster", best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.num) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.q, ',')) AS centroid_sha256 FROM f JOIN c3 ON c3.num = best.num
+"""
+
+OP13 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x,
+  len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+o AS (SELECT n, x FROM v WHERE ok),
+l AS (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.n <> b.n AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT n AS root, n FROM v UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.n),
+g AS (SELECT r.root AS n, min(v.vec_id) AS component_id FROM r JOIN v ON v.n = r.n GROUP BY r.root),
+k AS (SELECT a AS n, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN g USING (n) LEFT JOIN k USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op5_chat_perspectives": OP5, "op9_mixing": OP9}
+    return {"op4_exact_dedup": OP4, "op5_chat_perspectives": OP5, "op9_mixing": OP9, "op12_centroid_clusters": OP12, "op13_near_vectors": OP13}
