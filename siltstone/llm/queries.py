@@ -125,7 +125,7 @@ SELECT vec_id, CAST(best.num AS INTEGER) AS "cluster", best.d AS distance, CAST(
 """
 
 OP13 = """
-WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x,
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: coalesce(CAST(x AS DOUBLE), CAST('nan' AS DOUBLE))) AS x,
   len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
 o AS (SELECT n, x FROM v WHERE ok),
 l AS (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.n <> b.n AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
