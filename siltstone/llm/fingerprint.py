@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers (DataFrame operations only).
 
-A text is read as pieces: each word of up to `piece` characters is one, and longer runs without white space (scripts without spaces,
-junk) go character by character. A k-mer is k consecutive pieces; its s-mers are the runs of two pieces in it, hashed with xxhash64. A
+A text is read as pieces: each word of up to `piece` characters is one, and in longer runs without white space (scripts without spaces,
+sequences, junk) every character starts one, of GRAM characters of the run, so that a k-mer spans as much there as its alphabet may need and an edit
+in front shifts nothing. A k-mer is k consecutive pieces; its s-mers are the runs of two pieces in it, hashed with xxhash64. A
 k-mer is an anchor (a closed syncmer) if its smallest s-mer is the first or the last; that looks at the k-mer alone, so an
 edit changes no anchor but those of the k-mers around its own word. About half of all k-mers are anchors. The
 fingerprint is all anchors of the text, each with its position, in that order: 12 hex digits of the hash of the k-mer, '@', the
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import parts
 
 ANCHORS = "array<struct<at:int,hash:bigint>>"
+GRAM = 8
+MOST = 1 << 15  # ranges of ids; the cuts between them are part of the plan
 SOLID = r"[^\x20\x09-\x0D]"
 
 
@@ -34,7 +37,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def pieces(text: Column, piece: int = 12) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?<!{SOLID}){SOLID}{{1,{piece}}}(?!{SOLID})|{SOLID}"), F.lit(0))
+    """Group 1 looks ahead, so that pieces of a long run overlap; the rest of the pattern says how far to go on."""
+    return F.regexp_extract_all(text, F.lit(rf"(?=((?<!{SOLID}){SOLID}{{1,{piece}}}(?!{SOLID})|{SOLID}{{1,{GRAM}}}))(?:(?<!{SOLID}){SOLID}{{1,{piece}}}(?!{SOLID})|{SOLID})"), F.lit(1))
 
 
 def _closed(h: Column, pairs: Column, k: int) -> Column:
@@ -77,9 +81,11 @@ def with_next(rows: DataFrame, derived: dict[str, Column], columns: list[str], n
     spans = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10 * n)).alias("cuts") if n > 1 else F.array().cast("array<bigint>").alias("cuts"), F.max("doc_id").alias("top")).first()
     cuts, top = sorted(set(spans["cuts"] or [])), spans["top"]
     cut_at = F.from_json(F.lit(str(cuts)), "array<bigint>")
-    own = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cut_at, lambda c: c < F.col("doc_id"))))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    below = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.get(cut_at, at + s - 1) < F.col("doc_id"), s).otherwise(0))  # cuts below the id, by halving
+    own = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below)
     dealt = F.array(F.struct(own.alias("range"), F.lit(0).alias("turn")))
-    dealt = F.concat(dealt, F.when(F.array_contains(cut_at, F.col("doc_id")), F.array(F.struct((own + 1).alias("range"), F.lit(1).alias("turn")))).otherwise(F.array().cast(dealt_type := "array<struct<range:int,turn:int>>")),
+    dealt = F.concat(dealt, F.when(F.get(cut_at, own) == F.col("doc_id"), F.array(F.struct((own + 1).alias("range"), F.lit(1).alias("turn")))).otherwise(F.array().cast(dealt_type := "array<struct<range:int,turn:int>>")),
                      F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("bigint")), F.array(F.struct(F.lit(0).alias("range"), F.lit(2).alias("turn")))).otherwise(F.array().cast(dealt_type)))
     copies = rows.select("*", F.explode(dealt).alias("_dealt")).select("*", F.col("_dealt.range").alias("_range"), F.col("_dealt.turn").alias("_turn")).drop("_dealt")
     order = [F.col("_turn"), F.col("doc_id").desc_nulls_last(), F.col("text")]
@@ -93,7 +99,7 @@ def fingerprints(docs: DataFrame, k: int = 5, piece: int = 12, id_col: str = "do
     last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document, in
     descending order of id; after the last comes the first."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows, {"own": anchors(F.col("text"), k, piece)}, ["text", "own"], parts(docs))
+    rows = with_next(rows, {"own": anchors(F.col("text"), k, piece)}, ["text", "own"], min(parts(docs), MOST))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
