@@ -80,15 +80,23 @@ def parts(df: DataFrame, target: int = 8 << 20) -> int:
 HEAVY = 512  # keys with more than this share of the rows are heavy, so there are at most as many
 
 
-def meet(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, key: str | list[str], rows: int, heavy: list | None = None) -> DataFrame:
     """left joined with right on key, of which right has one row each; rows: how many left has. Keys that hold more than rows / HEAVY rows
-    of left, at most HEAVY, reach them by a broadcast of their rows of right, so that no key gathers left in one task."""
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(rows // HEAVY, 1 << 12))
-    heavy = [r[0] for r in counts.collect()]
+    of left, at most HEAVY, reach them by a broadcast of their rows of right, so that no key gathers left in one task. heavy: the values
+    of these keys (of the last column of several), where they are known already."""
+    keys = [key] if isinstance(key, str) else key
+    if heavy is None:
+        counts = left.groupBy(keys[-1]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd(rows))
+        heavy = [r[0] for r in counts.where(F.col(keys[-1]).isNotNull()).collect()]
     if not heavy:
-        return left.join(right, key)
-    is_heavy = F.col(key).isin(heavy)
-    return left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), key).unionByName(left.where(~is_heavy).join(right.where(~is_heavy), key))
+        return left.join(right, keys)
+    is_heavy = F.col(keys[-1]).isin(heavy)
+    return left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), keys).unionByName(left.where(~is_heavy).join(right.where(~is_heavy), keys))
+
+
+def crowd(rows: int) -> int:
+    """More rows than this make a key heavy."""
+    return max(rows // HEAVY, 1 << 12)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -8,7 +8,7 @@ directory has some 2^15 slots at any size.
 
 Copies are collapsed in each map task and by their bytes: texts whose keys collide stay separate entries. Entries are dealt to the owner
 of their bucket, which chains the entries of a key, and written to the shared folder bucket by bucket. A document looks
-itself up by bucket and key. A chain of one entry is its text, as every document was indexed; in longer chains it finds
+itself up by bucket and key; the entries of texts that a 512th of all rows share are broadcast, so those rows don't meet in one task. A chain of one entry is its text, as every document was indexed; in longer chains it finds
 its entry by comparing bytes.
 
 Defined cases: null text is the empty text; an empty table gives an empty result; rows that repeat both id and text
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import ascii_lower, fresh, materialise
+from siltstone.llm.common import ascii_lower, crowd, fresh, materialise, meet
 
 ROOM = 20_000  # distinct keys that a bucket may always hold
 SHARE = 1 << 14
@@ -114,7 +114,9 @@ def look_up(docs: DataFrame, id_col: str, text_col: str, capacity: int | None, k
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.withColumn(k, _key(text, key_bits)).withColumn(b, bucket(F.col(k)))
     hold = lambda df: df.select(F.col("bucket").alias(b), F.col("key").alias(k), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    out = rows.withColumn(sha, F.sha2(text, 256)).join(hold(found.where("chain = 1")), [b, k])
+    total = found.agg(F.sum("group_size")).first()[0] or 0
+    heavy = [r["key"] for r in found.where((F.col("chain") == 1) & (F.col("group_size") > crowd(total))).select("key").collect()]  # texts of a 512th of all rows and more
+    out = meet(rows.withColumn(sha, F.sha2(text, 256)), hold(found.where("chain = 1")), [b, k], total, heavy)
     chains = found.where("chain > 1").select(F.col("bucket").alias(b), F.col("key").alias(k)).distinct()
     if not chains.isEmpty():  # keys that collide: the few texts of these chains are compared byte by byte
         several = rows.withColumn(norm, text).join(chains, [b, k], "left_semi")
