@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise
+from siltstone.llm.common import materialise, parts
 from siltstone.llm.repeats import U
 
 MEMBERS = 1024  # of a family that one task solves
@@ -140,13 +140,11 @@ def _solve(unit_: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def beside(items: DataFrame, known: DataFrame) -> DataFrame:
     """Items after what is known about their family (family, n, base, head, core), which is dealt to each of its salts.
     Only the first row of a salt carries it, so it isn't repeated for each item."""
-    spark = items.sparkSession
     blank = {"n": "long", "base": "long", "head": "long", "core": "array<bigint>"}
     left = items.select("family", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("kind"), "node", "t", "members", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
     have = [F.col(c).cast(t).alias(c) if c in known.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()]
     right = known.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("t"), F.lit(b"").alias("members"), *have)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return left.unionByName(right).repartition(n, "family", "salt").sortWithinPartitions("family", "salt", "kind")
+    return left.unionByName(right).repartition(parts(items), "family", "salt").sortWithinPartitions("family", "salt", "kind")
 
 
 def _each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series | None, pd.DataFrame]]:
@@ -270,7 +268,7 @@ def family_links(items: DataFrame, percent: int, members: int | None = None, blo
     """items: see ITEM. a, b: links that give the components of all links of each family."""
     unit_, most = unit(percent), members or MEMBERS
     held = materialise(items, "families", "lz4")
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts(held)
     sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("members")).alias("bytes"))
     wide = materialise(sizes.where((F.col("n") > most) | ((F.col("bytes") > BYTES) & (F.col("n") > 2))).select("family", "n"), "families-wide")
     found = []

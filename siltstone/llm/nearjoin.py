@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fresh, materialise
+from siltstone.llm.common import crowd, forget, fresh, materialise, meet, parts
 from siltstone.llm.components import components
 from siltstone.llm.families import ITEM, family_links, forest
 from siltstone.llm.repeats import BATCH_BYTES, LAST, U, Batch, mixed
@@ -202,15 +202,18 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     rows = rows.select("doc_id", "id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     shape = "doc_id long, id long, text_key long, n_shingles long, node long, signature binary"
     sketches = materialise(rows.mapInPandas(partial(_sketch, size), shape), "near-sketches")
-    # the text of a node's set is that of its row with the smallest id; an id may have several texts, so node and id both count
-    nodes = materialise(sketches.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "signature")).alias("m")).select("node", "m.id", "m.signature"), "near-nodes")
-    edges = _links(rows.select("id", "text"), nodes, percent, size)
+    # the text of a node's set is that of its row with the smallest id and text key; an id may have several texts, and a text several rows
+    nodes = materialise(sketches.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "text_key", "signature")).alias("m")).select("node", "m.id", "m.text_key", "m.signature"), "near-nodes")
+    total = sketches.count()
+    row = F.xxhash64("id", "text_key").alias("row")
+    heavy = [r["row"] for r in sketches.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd(total)).collect()]  # rows that repeat id and text
+    edges = _links(rows.select(row, "text"), nodes.select("node", row, "signature"), percent, size, heavy, total)
     labels = components(edges)
     least = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = least.join(least.groupBy("label").agg(F.min("id").alias("component")), "label").select("node", "component")
-    out = sketches.select("doc_id", "id", "text_key", "n_shingles", "node").join(least, "node", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", F.nullif(own, F.lit(LAST)).alias("component_id"), (F.col("id") == own).alias("kept"), "text_key")
+    least = meet(least, least.groupBy("label").agg(F.min("id").alias("component")), "label", total).select("node", "component")
+    full, empty = sketches.where("n_shingles > 0"), sketches.where("n_shingles = 0")
+    out = meet(full.select("doc_id", "id", "text_key", "n_shingles", "node"), least, "node", total).unionByName(empty.select("doc_id", "id", "text_key", "n_shingles", "node", F.col("id").alias("component")))
+    return out.select("doc_id", "n_shingles", F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), "text_key")
 
 
 def keep_first(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,31 +225,34 @@ def keep_first(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str =
     return keyed.join(kept, keyed[id_col].eqNullSafe(kept[id_]) & (keyed[key] == kept[same]), "left_semi").select(*docs.columns)
 
 
-def _links(texts: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) between nodes, confirmed on full sets, that give the components of all. texts: id, text; nodes: node, id, signature."""
-    together = components(materialise(_candidates(nodes.select("node", "signature"), percent), "near-candidates"))
-    named_ = nodes.select("node", "id").join(together.select("node", F.col("label").alias("family")), "node")
-    sets = texts.join(named_, "id").mapInPandas(partial(_sets, size, percent), ITEM).dropDuplicates(["node"])
+def _links(texts: DataFrame, nodes: DataFrame, percent: int, size: int, heavy: list[int], rows: int) -> DataFrame:
+    """Links (a, b) between nodes, confirmed on full sets, that give the components of all. texts: row, text; nodes: node, row (the one whose text
+    is its), signature; heavy: rows that many of texts share."""
+    found = materialise(_candidates(nodes.select("node", "signature"), percent), "near-candidates")
+    together = components(found)
+    forget(nodes.sparkSession, found)
+    named_ = nodes.select("node", "row").join(together.select("node", F.col("label").alias("family")), "node")
+    sets = meet(texts, named_, "row", rows, heavy).mapInPandas(partial(_sets, size, percent), ITEM).dropDuplicates(["node"])
     return family_links(sets, percent)
 
 
 def _candidates(keyed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of which the components hold every link: forests of what agrees in leaves, and stars around the pivots of large nodes."""
     threshold = percent / 100
-    far, n = COORDINATES - agree(threshold), int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    far = COORDINATES - agree(threshold)
     front = materialise(keyed.mapInPandas(partial(_plant, threshold), "path long, node long"), "near-paths")
     found = None
     for level in range(LEVELS):
         many = front.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
-        held = materialise(front.join(many, "path").join(keyed, "node"), "near-leaves", "lz4")
-        leaves_ = held.where(F.col("n") <= LEAF).select("path", "node", "signature").repartition(n, "path").sortWithinPartitions("path")
+        held = materialise(meet(front, many, "path", front.count()).join(keyed, "node"), "near-leaves", "lz4")
+        leaves_ = held.where(F.col("n") <= LEAF).select("path", "node", "signature").repartition(parts(held), "path").sortWithinPartitions("path")
         pairs = leaves_.mapInPandas(partial(_leaves, COORDINATES - far), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
         large = held.where((F.col("n") > LEAF))
         if large.isEmpty():
             break
         pivots = large.where("node = pivot").select("path", F.col("signature").alias("pivot_signature")).dropDuplicates(["path"])
-        told = materialise(large.drop("n").join(pivots, "path").mapInPandas(partial(_apart, far, level == LEVELS - 1), "path long, node long, pivot long, joins boolean, goes boolean"), "near-large", "lz4")
+        told = materialise(meet(large.drop("n"), pivots, "path", large.count()).mapInPandas(partial(_apart, far, level == LEVELS - 1), "path long, node long, pivot long, joins boolean, goes boolean"), "near-large", "lz4")
         found = found.unionByName(told.where("joins and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
         front = materialise(told.where("goes").select("path", "node").join(keyed, "node").mapInPandas(partial(_grow, threshold), "path long, node long").distinct(), "near-paths")
     return found

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from siltstone.llm import chat, exact, families, fingerprint, mixing, nearjoin, packing, quality, repeats, substring, suffix, tokenfile
+from siltstone.llm import chat, common, exact, families, fingerprint, mixing, nearjoin, packing, quality, repeats, substring, suffix, tokenfile
 from siltstone.llm.tokens import encoder, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -254,7 +254,7 @@ def brute_near(own, percent, size):
             shared = len(a & b)
             if shared and 100 * shared >= percent * (len(a) + len(b) - shared):
                 parent[root(i)] = root(j)
-    low = defaultdict(lambda: 10**9)
+    low = defaultdict(lambda: 2**63)
     for i, (d, _) in enumerate(own):
         low[root(i)] = min(low[root(i)], d)
     return sorted(((d, len(s), low[root(i)] if s else d, d == (low[root(i)] if s else d)) for i, ((d, _), s) in enumerate(zip(own, sets))), key=str)
@@ -265,6 +265,28 @@ def test_near(spark, percent, size):
     assert as_rows(nearjoin.near_groups(frame(spark), percent, size), "doc_id", "n_shingles", "component_id", "kept") == brute_near(docs(), percent, size)
 
 
+def test_near_rows_without_id_or_with_one_id_stay_linear(spark, monkeypatch):
+    """As many rows reach the sets as there are, and all are told apart by their text."""
+    met = []
+    monkeypatch.setattr(nearjoin, "family_links", lambda sets, percent, own=nearjoin.family_links: (met.append(sets.count()), own(sets, percent))[1])
+    for id_ in (None, 7):
+        for n in (40, 80):
+            words_ = [f"w{j}" for j in range(60)]
+            own = [" ".join([*words_[:30], f"edit{i // 2}", *words_[30:]]) for i in range(n)]
+            got = nearjoin.near_groups(frame(spark, [(id_, t, *[None] * 8) for t in own]), 80, 5).collect()
+            assert [(r.component_id, r.kept) for r in got] == [(id_, True)] * n and met.pop() == n // 2
+
+
+def test_heavy_keys_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 8)
+    monkeypatch.setattr(common, "crowd", lambda rows: rows // 8)
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(90)] + [(None, -1)], "k long, v long")
+    right = spark.createDataFrame([(i, i * 10) for i in range(90)], "k long, w long")
+    got = common.meet(left, right, "k", 91)
+    assert "Broadcast" in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((1 if i % 3 else i, i, (1 if i % 3 else i) * 10) for i in range(90))
+
+
 def test_near_families_larger_than_a_leaf(spark, monkeypatch):
     monkeypatch.setattr(nearjoin, "LEAF", 8)
     monkeypatch.setattr(families, "MEMBERS", 8)
@@ -361,7 +383,7 @@ def xx(*values):
 
 def plain_anchors(t, k=5, piece=12):
     runs = WORD.findall(t)
-    h = [xx(p) for r in runs for p in ([r] if len(r) <= piece else r)]
+    h = [xx(p) for r in runs for p in ([r] if len(r) <= piece else [r[i : i + 8] for i in range(len(r))])]
     p = [xx(a, b) for a, b in zip(h, h[1:])]
     closed = [(i, xx(p[i], p[i + 2], h[i + 4]) % 2**64 >> 16) for i in range(len(h) - k + 1) if min(p[i : i + k - 1]) in (p[i], p[i + k - 2])]
     closed = [x for i, x in enumerate(closed) if i == 0 or closed[i - 1][1] != x[1]]
@@ -401,6 +423,24 @@ def test_an_edit_in_front_of_an_unspaced_text_leaves_its_anchors():
         assert alike(plain_anchors(t), plain_anchors("X" + t)) > 0.8
 
 
+def test_unspaced_texts_of_few_letters_are_told_apart():
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("ACGT") for _ in range(8000)) for _ in range(2))
+    assert alike(plain_anchors(a), plain_anchors(b)) < 0.2 and alike(plain_anchors(a), plain_anchors("X" + a)) > 0.8
+
+
+def test_ids_are_dealt_over_many_cuts(spark):
+    """The number of a row's range is found by halving the cuts; with most ids a cut, rows still meet the next."""
+    rng = random.Random(8)
+    own = [(i * 3 - 400, f"text {i} {rng.random()}") for i in range(300)] + [(5, "again"), (5, "and again"), (None, "z"), (None, "a")]
+    rows_ = spark.createDataFrame(own, "doc_id long, text string")
+    order = sorted(own, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = {(*r, n[1]) for r, n in zip(order, [*order[1:], order[0]])}
+    for n in (1, 2, 7, 250):
+        got = fingerprint.with_next(rows_, {}, ["text"], n)
+        assert {tuple(r) for r in got.select("doc_id", "text", "next_text").collect()} == want
+
+
 def test_fingerprints_separate_edits_from_strangers(spark):
     rng = random.Random(4)
     own = [(i, text(rng, 200, [f"q{j}" for j in range(5000)]), *[None] * 8) for i in range(30)]
