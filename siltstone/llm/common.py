@@ -85,6 +85,8 @@ def meet(left: DataFrame, right: DataFrame, key: str | list[str], rows: int, hea
     of left, at most HEAVY, reach them by a broadcast of their rows of right, so that no key gathers left in one task. heavy: the values
     of these keys (of the last column of several), where they are known already."""
     keys = [key] if isinstance(key, str) else key
+    if heavy is None and rows <= crowd(rows):
+        heavy = []  # no key can have as many
     if heavy is None:
         counts = left.groupBy(keys[-1]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd(rows))
         heavy = [r[0] for r in counts.where(F.col(keys[-1]).isNotNull()).collect()]
@@ -94,9 +96,9 @@ def meet(left: DataFrame, right: DataFrame, key: str | list[str], rows: int, hea
     return left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), keys).unionByName(left.where(~is_heavy).join(right.where(~is_heavy), keys))
 
 
-def crowd(rows: int) -> int:
-    """More rows than this make a key heavy."""
-    return max(rows // HEAVY, 1 << 12)
+def crowd(rows: int, least: int = 1 << 16) -> int:
+    """More rows than this make a key heavy; least: what a task takes of any key."""
+    return max(rows // HEAVY, least)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

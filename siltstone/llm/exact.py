@@ -115,7 +115,7 @@ def look_up(docs: DataFrame, id_col: str, text_col: str, capacity: int | None, k
     rows = docs.withColumn(k, _key(text, key_bits)).withColumn(b, bucket(F.col(k)))
     hold = lambda df: df.select(F.col("bucket").alias(b), F.col("key").alias(k), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
     total = found.agg(F.sum("group_size")).first()[0] or 0
-    heavy = [r["key"] for r in found.where((F.col("chain") == 1) & (F.col("group_size") > crowd(total))).select("key").collect()]  # texts of a 512th of all rows and more
+    heavy = [r["key"] for r in found.where((F.col("chain") == 1) & (F.col("group_size") > crowd(total, 1 << 12))).select("key").collect()]  # texts of a 512th of all rows and more
     out = meet(rows.withColumn(sha, F.sha2(text, 256)), hold(found.where("chain = 1")), [b, k], total, heavy)
     chains = found.where("chain > 1").select(F.col("bucket").alias(b), F.col("key").alias(k)).distinct()
     if not chains.isEmpty():  # keys that collide: the few texts of these chains are compared byte by byte

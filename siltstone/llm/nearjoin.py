@@ -206,7 +206,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     nodes = materialise(sketches.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "text_key", "signature")).alias("m")).select("node", "m.id", "m.text_key", "m.signature"), "near-nodes")
     total = sketches.count()
     row = F.xxhash64("id", "text_key").alias("row")
-    heavy = [r["row"] for r in sketches.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd(total)).collect()]  # rows that repeat id and text
+    heavy = [r["row"] for r in sketches.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd(total, 1 << 12)).collect()]  # rows that repeat id and text
     edges = _links(rows.select(row, "text"), nodes.select("node", row, "signature"), percent, size, heavy, total)
     labels = components(edges)
     least = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

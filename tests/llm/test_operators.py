@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from siltstone.llm import chat, common, exact, families, fingerprint, mixing, nearjoin, packing, quality, repeats, substring, suffix, tokenfile
+from siltstone.llm import chat, common, components, exact, families, fingerprint, mixing, nearjoin, packing, quality, repeats, substring, suffix, tokenfile
 from siltstone.llm.tokens import encoder, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,7 +279,7 @@ def test_near_rows_without_id_or_with_one_id_stay_linear(spark, monkeypatch):
 
 def test_heavy_keys_meet_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "HEAVY", 8)
-    monkeypatch.setattr(common, "crowd", lambda rows: rows // 8)
+    monkeypatch.setattr(common, "crowd", lambda rows, least=0: rows // 8)
     left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(90)] + [(None, -1)], "k long, v long")
     right = spark.createDataFrame([(i, i * 10) for i in range(90)], "k long, w long")
     got = common.meet(left, right, "k", 91)
@@ -287,6 +287,19 @@ def test_heavy_keys_meet_by_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((1 if i % 3 else i, i, (1 if i % 3 else i) * 10) for i in range(90))
 
 
+def test_components_with_hubs_and_giant_labels(spark, monkeypatch):
+    for module in (common, components):
+        monkeypatch.setattr(module, "crowd", lambda rows, least=0: max(1, rows // 10))
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    root = {n: n for e in edges for n in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame([(a, b) for a, b in edges], "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == root
+
+
 def test_near_families_larger_than_a_leaf(spark, monkeypatch):
     monkeypatch.setattr(nearjoin, "LEAF", 8)
     monkeypatch.setattr(families, "MEMBERS", 8)
