@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from siltstone.functions import chunking, control, redact, text
 from siltstone.operators import metrics, quality, reports, retrieval
 from siltstone.plans.tables import NOW, corpus, log, table
 from siltstone.queries import CORPUS, COUNT, LOG, SIX, query
+from siltstone.session import shared_folder
 from siltstone.sources import artifacts, ndjson, remote, workspace
 from siltstone.streaming import logs
 
@@ -20,16 +19,6 @@ SCORE = "((ord % 1000)::DOUBLE / 1000)"
 NL = "chr(10)"
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="siltstone-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as results: an order asks, its lines are ranked."""
     rows = table(spark, sf_dir, "lineitem")
@@ -358,7 +347,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CORPUS} SELECT ord, chunk_id, file_path, end_line, md5(content) AS digest, (SELECT count(*) FROM corpus) AS chunks FROM corpus")
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store with coded vectors, written and read back."""
-    path = folder(spark)
+    path = shared_folder(spark)
     own = corpus(spark, sf_dir).withColumn("vector", artifacts.encode_vector(F.array(F.col("ord").cast("double"), F.lit(0.5))))
     artifacts.save_store({"chunks": own, "meta": own.agg(F.count(F.lit(1)).alias("chunks"))}, path)
     held = artifacts.load_store(spark, path)
@@ -370,7 +359,7 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exchange file, sorted canonically, written, verified and read back."""
     rows = table(spark, sf_dir, "nation").select(F.concat((F.col("n_regionkey")).cast("string"), F.lit("/"), "n_name").alias("file_path"), F.col("n_nationkey").cast("long").alias("start_line"), F.col("n_name").alias("chunk_id"))
-    path = folder(spark)
+    path = shared_folder(spark)
     artifacts.write_artifact(artifacts.artifact_lines(rows), {"schema": "exchange"}, path)
     back = artifacts.read_artifact(spark, path, "file_path string, start_line long, chunk_id string")[1]
     return back.select(F.col("place").cast("long").alias("place"), F.regexp_replace("file_path", "^[0-9]+/", "").alias("file_path"), "start_line")
@@ -405,7 +394,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, series) -> DataFrame:
-    path = folder(spark)
+    path = shared_folder(spark)
     _log_lines(spark, sf_dir).repartition(4).write.text(f"{path}/log")
 
     def keep(batch: DataFrame, epoch: int) -> None:
@@ -418,7 +407,7 @@ def _streamed(spark: SparkSession, sf_dir: str, series) -> DataFrame:
 
 @query("SELECT count(*) FILTER (event_id % 10 <> 9) AS events, count(*) FILTER (event_id % 10 = 9) AS skipped, count(*) FILTER (event_id % 10 <> 9 AND event_type NOT IN ('click', 'signup')) AS unknown FROM events")
 def tolerant_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = shared_folder(spark)
     _log_lines(spark, sf_dir).coalesce(2).write.text(path)
     rows, skipped = ndjson.read_log(spark, path)
     return rows.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("kind") == "unknown").alias("unknown")).crossJoin(skipped)  # a row each
@@ -426,7 +415,7 @@ def tolerant_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'record' || s_suppkey AS record_id, s_name AS title, s_acctbal AS balance FROM supplier")
 def strict_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = shared_folder(spark)
     rows = table(spark, sf_dir, "supplier").select(F.to_json(F.struct(F.concat(F.lit("record"), "s_suppkey").alias("record_id"), F.col("s_name").alias("title"), F.col("s_acctbal").alias("balance"))).alias("value"))
     rows.write.text(path)
     return ndjson.strict(spark, path, "record_id string, title string, balance double", ["record_id", "title"]).select("record_id", "title", "balance")
@@ -435,7 +424,7 @@ def strict_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT left(sha256(n_name), 16) AS id, n_name AS text, n_regionkey FROM nation) SELECT id, text FROM d""")
 def decision_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions appended in two goes, of which the second repeats the first's."""
-    path = folder(spark)
+    path = shared_folder(spark)
     own = table(spark, sf_dir, "nation").select(text.decision_id(F.col("n_name")).alias("id"), F.col("n_name").alias("text"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("area"), F.lit("2024-01-01T00:00:00Z").alias("ts"), "n_regionkey")
     artifacts.append_decisions(spark, path, own.where("n_regionkey < 3").drop("n_regionkey"), own.where("false"))
     artifacts.append_decisions(spark, path, own.drop("n_regionkey"), ndjson.read_decisions(spark, [path]))
@@ -478,7 +467,7 @@ def sync_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.concat(F.lit(prefix), "n_name")
         return table(spark, sf_dir, "nation").select(name.alias("record_id"), name.alias("file_path"), F.lit(1).cast("long").alias("start_line"), F.md5(name).alias("chunk_id"), F.concat(F.lit("text of "), name).alias("content"), "n_nationkey")
 
-    at = remote.FolderRemote(spark, folder(spark))
+    at = remote.FolderRemote(spark, shared_folder(spark))
     first, later = chunks("old ").drop("n_nationkey"), chunks("").where("n_nationkey >= 5").drop("n_nationkey")
     done = [remote.push(at, "c", first), remote.push(at, "c", first), remote.push(at, "c", later)]
     seen = [remote.status(at, "c", later)]

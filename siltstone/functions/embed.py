@@ -59,7 +59,11 @@ def cell(term: bytes) -> tuple[int, int]:
 
 def embed_counts(text: str | None) -> np.ndarray:
     """Signed counts of each bucket."""
-    found = [cell(t) for t in TOKEN.findall((text or "").encode().lower())]
+    return counted(TOKEN.findall((text or "").encode().lower()))
+
+
+def counted(tokens: list[bytes]) -> np.ndarray:
+    found = [cell(t) for t in tokens]
     if not found:
         return np.zeros(DIM)
     at, sign = zip(*found)

@@ -8,7 +8,7 @@ read and keep a running best of each query in a task, so what is shuffled does n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import embed, text
+from siltstone.operators.inverted import PLACE, Index, build
+from siltstone.session import removed, shared_folder, written
 
 QUERY_BLOCK = 2048
+PENDING = 256  # queries whose candidates the driver holds at once
 HIT = ["ord", "chunk_id", "file_path"]
 
 
@@ -144,10 +147,15 @@ def _best(scored: DataFrame, score: str, limit: Column, rank: str) -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < limit)
 
 
-def bm25_ranked(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) -> DataFrame:
-    """q_id, ord, chunk_id, bm25, frank: the best pool * k with a score above zero at six decimals."""
+def bm25_ranked(corpus: DataFrame | None, queries: DataFrame, pool: int = text.POOL, index: Index | None = None) -> DataFrame:
+    """q_id, ord, chunk_id, bm25, frank: the best pool * k with a score above zero at six decimals. With an index of the corpus, its postings of the
+    queries' words are read and no text is."""
     asked = prepared(queries).select("q_id", "k", "words").collect()
-    parts = [_bm25_block(corpus, asked[at : at + QUERY_BLOCK], pool) for at in range(0, max(len(asked), 1), QUERY_BLOCK)]
+    blocks = [asked[at : at + QUERY_BLOCK] for at in range(0, max(len(asked), 1), QUERY_BLOCK)]
+    if index:
+        own = [[(r["q_id"], r["k"] * pool, r["words"]) for r in block] for block in blocks]
+        return reduce(DataFrame.unionByName, [index.ranked(index.bm25(block), block, "bm25", "frank") for block in own])
+    parts = [_bm25_block(corpus, block, pool) for block in blocks]
     limits = queries.select("q_id", F.col("k").cast("long").alias("k"))
     return _best(reduce(DataFrame.unionByName, parts).join(limits, "q_id"), "bm25", F.col("k") * pool, "frank").drop("k")
 
@@ -192,13 +200,13 @@ def nearest(corpus: DataFrame, vectors: list[tuple], column: str = "counts", has
     return corpus.select("ord", "chunk_id", column).mapInPandas(run, f"q_id {kind}, ord long, chunk_id string, cosine double")
 
 
-def vector_ranked(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) -> DataFrame:
-    """q_id, ord, chunk_id, cosine, vrank: the best max(pool * k, 1). corpus has counts."""
+def vector_ranked(corpus: DataFrame | None, queries: DataFrame, pool: int = text.POOL, index: Index | None = None) -> DataFrame:
+    """q_id, ord, chunk_id, cosine, vrank: the best max(pool * k, 1). corpus has counts; with an index of it, its shells are read instead."""
     rows = prepared(queries).select("q_id", F.greatest(F.col("k") * pool, F.lit(1)).alias("n"), "query").collect()
-    out = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        part = nearest(corpus, [(r["q_id"], r["n"], embed.embed_counts(r["query"])) for r in rows[at : at + QUERY_BLOCK]])
-        out = part if out is None else out.unionByName(part)
+    blocks = [[(r["q_id"], r["n"], embed.embed_counts(r["query"])) for r in rows[at : at + QUERY_BLOCK]] for at in range(0, max(len(rows), 1), QUERY_BLOCK)]
+    if index:
+        return reduce(DataFrame.unionByName, [index.ranked(index.near(block), block, "cosine", "vrank") for block in blocks])
+    out = reduce(DataFrame.unionByName, [nearest(corpus, block) for block in blocks])
     return _best(out.join(queries.select("q_id", F.greatest(F.col("k").cast("long") * pool, F.lit(1)).alias("n")), "q_id"), "cosine", F.col("n"), "vrank").drop("n")
 
 
@@ -221,29 +229,98 @@ def capped(scored: DataFrame, per_file: int = text.MAX_PER_FILE) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*order))).where("rank <= k").drop("_nth")
 
 
-def candidates(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) -> DataFrame:
+def candidates(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL, index: Index | None = None) -> DataFrame:
     """q_id, ord, vrank, frank, cosine (null if only words found it), bm25, weight, relative: the two ranked lists joined on the chunk."""
-    v = vector_ranked(corpus, queries, pool).select("q_id", "ord", "cosine", "vrank")
-    f = bm25_ranked(corpus, queries, pool).select("q_id", "ord", "bm25", "frank")
+    v = vector_ranked(corpus, queries, pool, index).select("q_id", "ord", "cosine", "vrank")
+    f = bm25_ranked(corpus, queries, pool, index).select("q_id", "ord", "bm25", "frank")
     both = v.join(f, ["q_id", "ord"], "full_outer").join(prepared(queries), "q_id")
     both = both.withColumn("fused", rrf(F.col("vrank"), F.col("frank"), F.col("weight")))
     top = F.max("fused").over(Window.partitionBy("q_id"))
     return both.withColumn("relative", F.when(text.score_key(top) != 0, F.col("fused") / top).otherwise(0.0))
 
 
-def ranked(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL) -> DataFrame:
+def ranked(corpus: DataFrame, queries: DataFrame, pool: int = text.POOL, index: Index | None = None) -> DataFrame:
     """The hybrid result: q_id, rank, score, and the chunk's columns. Lists hold ids and scores; contents join the candidates alone, and
     only candidates that words alone have found are embedded again."""
     known = "counts" in corpus.columns
-    found = candidates(corpus if known else embedded(corpus), queries, pool).join(corpus, "ord")
+    found = candidates(corpus if known or index else embedded(corpus), queries, pool, index).join(corpus, "ord")
     vectors = prepared(queries).select("q_id", embed.hash_counts("query").alias("q_counts"))
     found = found.join(vectors, "q_id")
     own = F.col("counts") if known else embed.hash_counts(F.when(F.col("cosine").isNull(), F.col("content")))
     found = found.withColumn("_own", own).withColumn("cosine", F.coalesce("cosine", embed.cosine_counts(F.col("_own"), F.col("q_counts")))).drop("_own")
+    return capped(hybrid(found)).drop("q_counts", *SIDES)
+
+
+SIDES = ["query", "words", "hints", "fused", "relative", "vrank", "frank", "bm25", "weight"]
+
+
+def hybrid(found: DataFrame) -> DataFrame:
+    """Adds the hybrid score of candidates (cosine, relative, the chunk's columns and the query's)."""
     distance = text.keyword_distance(F.col("content"), F.col("file_path"), F.col("words"), F.col("hints"))
     score = 0.5 * confidence(F.col("cosine"), distance) + 0.5 * F.col("relative")
-    score = F.when(text.penalised(F.col("file_path")), score * text.PENALTY).otherwise(score)
-    return capped(found.withColumn("score", score)).drop("q_counts", "query", "words", "hints", "fused", "relative", "vrank", "frank", "bm25", "weight")
+    return found.withColumn("score", F.when(text.penalised(F.col("file_path")), score * text.PENALTY).otherwise(score))
+
+
+def threshold_search(corpus: DataFrame, queries: DataFrame, index: Index, finish: Callable[[DataFrame], DataFrame], floor: float, boost: float = 1.0, depth: int = 128) -> DataFrame:
+    """The hybrid search of whole ranked lists, cut by finish to the k best of a query, without making whole lists (a threshold algorithm).
+
+    Both lists are read to a depth; what they hold is given its exact score and rank in either, which takes scans of the index that return numbers of
+    the candidates alone. A chunk in neither can't score above what the last of the lists would, were it last in both. Queries whose k-th result
+    is above that (or whose results all are, and the bound is below the floor) are done; the others go on at twice the depth, to the
+    end of the corpus if need be. finish: candidates with score -> q_id, rank, score, ... of at most k rows a query; it may raise a score by a
+    factor of up to boost and drop what is below floor before. Candidates stay in proportion to depth, not to the corpus."""
+    asked, done = prepared(queries).select("q_id", "query", "k", "words", "weight").collect(), []
+    level = lambda r: max(depth, 1 << (2 * r["k"] - 1).bit_length())
+    work = [(own[at : at + PENDING], d) for d in sorted({level(r) for r in asked}) for own in [[r for r in asked if level(r) == d]] for at in range(0, len(own), PENDING)]
+    while work:
+        block, at = work.pop()
+        scored, open_bound = _at_depth(corpus, queries, index, block, at)
+        final = written(finish(scored))
+        ends = {r["q_id"]: (r["n"], r["low"]) for r in final.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).collect()}  # a row a query
+        more = []
+        for r in block:
+            n, low = ends.get(r["q_id"], (0, 0.0))
+            bound = open_bound[r["q_id"]]
+            if bound is not None and bound >= floor - 1e-6 and (n < r["k"] or low <= boost * bound + 1e-6):
+                more.append(r)
+        if more:
+            work.append((more, 2 * at))
+            final = final.join(F.broadcast(index.spark.createDataFrame([(r["q_id"],) for r in more], f"q_id {_kind(more)}")), "q_id", "left_anti")
+        done.append(final)
+    return reduce(DataFrame.unionByName, done) if done else written(finish(_at_depth(corpus, queries, index, [], depth)[0]))
+
+
+
+
+
+def _kind(block: list) -> str:
+    return "long" if not block or isinstance(block[0]["q_id"], int) else "string"
+
+
+def _at_depth(corpus: DataFrame, queries: DataFrame, index: Index, block: list, depth: int) -> tuple[DataFrame, dict]:
+    """Scored candidates of a block of queries from lists of that depth, and for each query the most that others can score (None: there are no others)."""
+    by_vector, by_word = [(r["q_id"], depth, embed.embed_counts(r["query"])) for r in block], [(r["q_id"], depth, r["words"]) for r in block]
+    v, f = index.lists(index.near(by_vector), depth, len(block)), index.lists(index.bm25(by_word), depth, len(block))
+    places = [np.union1d(a, b) for (_, a), (_, b) in zip(v, f)]
+    cosine, bm25 = index.standing(index.near, by_vector, places, None), index.standing(index.bm25, by_word, places, 0)
+    frames = [pd.DataFrame({"q_id": r["q_id"], "segment": own >> PLACE, "at": own & ((1 << PLACE) - 1), "cosine": c, "vrank": vr, "bm25": b, "frank": fr}) for r, own, (c, vr), (b, fr) in zip(block, places, cosine, bm25)]
+    rows = pd.concat(frames) if frames else pd.DataFrame([])
+    shape = f"q_id {_kind(block)}, segment long, at long, cosine double, vrank long, bm25 double, frank long"
+    local = index.spark.createDataFrame(rows, shape) if len(rows) else index.spark.createDataFrame([], shape)
+    local = local.withColumn("frank", F.when(F.col("frank") >= 0, F.col("frank"))).withColumn("bm25", F.when(F.col("frank").isNotNull(), F.col("bm25")))
+    found = local.join(index.segments.select("segment", "ords"), "segment").select("*", F.element_at("ords", (F.col("at") + 1).cast("int")).alias("ord")).drop("segment", "at", "ords")
+    found = found.join(prepared(queries), "q_id").withColumn("fused", rrf(F.col("vrank"), F.col("frank"), F.col("weight")))
+    top = F.max("fused").over(Window.partitionBy("q_id"))
+    found = found.withColumn("relative", F.when(text.score_key(top) != 0, F.col("fused") / top).otherwise(0.0))
+    bounds = {}
+    for r, (scores, _), (words, _), (_, vr), (_, fr) in zip(block, v, f, cosine, bm25):
+        if len(scores) < depth:
+            bounds[r["q_id"]] = None
+            continue
+        best = max((1 / (text.RRF_K + a) + (r["weight"] / (text.RRF_K + b) if b >= 0 else 0) for a, b in zip(vr, fr)), default=0)
+        fused = 1 / (text.RRF_K + depth) + (r["weight"] / (text.RRF_K + depth) if len(words) == depth else 0)
+        bounds[r["q_id"]] = 0.5 * (0.25 * (1 + min(1, scores[-1] + 1e-6)) + 0.4) + (0.5 * fused / best if best else 0)
+    return hybrid(found.join(corpus.drop("counts"), "ord")).drop("bm25", "vrank", "frank", "fused", "relative", "weight"), bounds
 
 
 def bm25_only(corpus: DataFrame, queries: DataFrame) -> DataFrame:
@@ -311,11 +388,11 @@ def _bonus(results: DataFrame, corpus: DataFrame, queries: DataFrame, groups: Da
     return results.unionByName(rows.select(*results.columns))
 
 
-def search(corpus: DataFrame, queries: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, edges: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """Hybrid results with bonus rows of neighbouring files where edges are given."""
-    corpus = corpus if "counts" in corpus.columns else embedded(corpus)
-    found = ranked(corpus, queries)
-    return expand(found.persist(), corpus, edges, queries) if edges is not None else found  # k rows a query, read several times
+    own = corpus if "counts" in corpus.columns else embedded(corpus)
+    found = ranked(corpus if index else own, queries, index=index).drop("counts")
+    return expand(written(found), own, edges, queries) if edges is not None else found  # k rows a query, read several times
 
 
 def related(corpus: DataFrame, edges: DataFrame, path: str, k: int) -> DataFrame:
@@ -346,7 +423,7 @@ def expand_members(results: DataFrame, corpus: DataFrame, links: DataFrame, quer
 def federated(members: DataFrame, queries: DataFrame, links: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Hybrid search over the union of members, with both expansions. edges: of namespaced paths."""
     corpus = embedded(union_corpus(members))
-    core = ranked(corpus, queries).persist()
+    core = written(ranked(corpus, queries).drop("counts"))
     found = expand(core, corpus, edges, queries) if edges is not None else core
     return expand_members(found, corpus, links, queries, core)
 
@@ -354,29 +431,54 @@ def federated(members: DataFrame, queries: DataFrame, links: DataFrame, edges: D
 # --- other corpora
 
 
-def search_knowledge(chunks: DataFrame, queries: DataFrame, floor: float = 0.30, boost: float = 1.10) -> DataFrame:
+def live(chunks: DataFrame) -> DataFrame:
+    """Without the sections of stale records, which leave before any statistics."""
+    return chunks.where(~F.coalesce("state_reason", F.lit("")).isin("not_planned", "wontfix"))
+
+
+def search_knowledge(chunks: DataFrame, queries: DataFrame, floor: float = 0.30, boost: float = 1.10, index: Index | None = None) -> DataFrame:
     """Hybrid search over document sections (record_id, title, labels, links, state_reason, updated_at besides the corpus
     columns; file_path is the record): stale records leave before any statistics, scores below the floor and sections
-    that share no word with the query go, records linked to merged changes are boosted, newer ones win ties."""
-    live = chunks.where(~F.coalesce("state_reason", F.lit("")).isin("not_planned", "wontfix"))
-    n = live.count()
-    wide = queries.withColumn("_k", F.col("k")).withColumn("k", F.greatest(F.col("k"), F.lit(n)))
-    found = ranked(embedded(live), wide).drop("k").join(queries.select("q_id", "k", text.tokens(F.col("query")).alias("_words")), "q_id")
+    that share no word with the query go, records linked to merged changes are boosted, newer ones win ties. index: of live(chunks); made
+    for the call if there is none."""
+    corpus = live(chunks)
     own = text.tokens(F.concat_ws(" ", "title", "content", F.array_join(F.coalesce("labels", F.array().cast("array<string>")), " ")))
     merged = F.exists(F.coalesce("links", F.array().cast("array<string>")), lambda x: text.ascii_lower(x).rlike("/(pull|pulls|pr|merge_requests)/"))
-    found = found.where(F.col("score") >= floor).where(F.arrays_overlap(own, "_words")).withColumn("score", F.when(merged, F.col("score") * boost).otherwise(F.col("score")))
-    order = Window.partitionBy("q_id").orderBy(text.score_key(F.col("score")).desc(), F.coalesce("updated_at", F.lit("")).desc(), "chunk_id", "ord")
-    return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").drop("_words")
-
-
-def recall(entries: DataFrame, queries: DataFrame, floor: float = 0.30) -> DataFrame:
-    """Decisions (id, text, tags, area, ord) by hybrid search over all of them, with a floor and a shared word."""
-    corpus = entries.select("ord", F.col("id").alias("chunk_id"), F.col("id").alias("file_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), text.searchable(F.col("text"), F.col("tags"), F.col("area")).alias("content"))
-    n = corpus.count()
-    found = ranked(embedded(corpus), queries.withColumn("k", F.greatest(F.col("k"), F.lit(n)))).drop("k").join(queries.select("q_id", "k", text.tokens(F.col("query")).alias("_words")), "q_id")
-    found = found.where((F.col("score") >= floor) & F.arrays_overlap(text.tokens(F.col("content")), "_words"))
-    order = Window.partitionBy("q_id").orderBy(text.score_key(F.col("score")).desc(), "chunk_id", "ord")
-    return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("q_id", "rank", "chunk_id", "score", "content")
+
+    def finish(scored: DataFrame) -> DataFrame:
+        found = capped(scored.withColumn("_k", F.col("k")).withColumn("k", F.lit(2**31))).drop("rank", "k").withColumnRenamed("_k", "k")
+        found = found.where(F.col("score") >= floor).where(F.arrays_overlap(own, "words")).withColumn("score", F.when(merged, F.col("score") * boost).otherwise(F.col("score")))
+        order = Window.partitionBy("q_id").orderBy(text.score_key(F.col("score")).desc(), F.coalesce("updated_at", F.lit("")).desc(), "chunk_id", "ord")
+        return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").drop("words", "hints", "query")
+
+    return _with_index(corpus, index, lambda own: threshold_search(corpus, queries, own, finish, floor, boost))
+
+
+def decision_corpus(entries: DataFrame) -> DataFrame:
+    return entries.select("ord", F.col("id").alias("chunk_id"), F.col("id").alias("file_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), text.searchable(F.col("text"), F.col("tags"), F.col("area")).alias("content"))
+
+
+def recall(entries: DataFrame, queries: DataFrame, floor: float = 0.30, index: Index | None = None) -> DataFrame:
+    """Decisions (id, text, tags, area, ord) by hybrid search over all of them, with a floor and a shared word. index: of decision_corpus(entries)."""
+    corpus = decision_corpus(entries)
+
+    def finish(scored: DataFrame) -> DataFrame:
+        found = capped(scored.withColumn("_k", F.col("k")).withColumn("k", F.lit(2**31))).drop("rank", "k").withColumnRenamed("_k", "k")
+        found = found.where((F.col("score") >= floor) & F.arrays_overlap(text.tokens(F.col("content")), "words"))
+        order = Window.partitionBy("q_id").orderBy(text.score_key(F.col("score")).desc(), "chunk_id", "ord")
+        return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("q_id", "rank", "chunk_id", "score", "content")
+
+    return _with_index(corpus, index, lambda own: threshold_search(corpus, queries, own, finish, floor))
+
+
+def _with_index(corpus: DataFrame, index: Index | None, run: Callable[[Index], DataFrame]) -> DataFrame:
+    """run's rows are written when it returns, so an index made for it can go."""
+    if index:
+        return run(index)
+    spark, path = corpus.sparkSession, shared_folder(corpus.sparkSession)
+    out = run(build(corpus, path))
+    removed(spark, path)
+    return out
 
 
 def blend(code: DataFrame, documents: DataFrame, k: int) -> DataFrame:

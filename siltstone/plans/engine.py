@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, redact, text
-from siltstone.operators import metrics, quality, reports, retrieval
+from siltstone.operators import inverted, metrics, quality, reports, retrieval
 from siltstone.plans.cache import Held
 from siltstone.sources import artifacts, files, ndjson, remote
 
@@ -50,18 +50,26 @@ class Engine:
     def queries(self, *asked: str, k: int = 10) -> DataFrame:
         return self.spark.createDataFrame([(i, q, k) for i, q in enumerate(asked)], "q_id long, query string, k long")
 
-    def search(self, tables: dict[str, DataFrame], queries: DataFrame, graph: bool = True) -> DataFrame:
-        return retrieval.search(tables["chunks"], queries, self.edges(tables) if graph else None)
+    def build_index(self, chunks: DataFrame, path: str) -> inverted.Index:
+        """Postings and vectors of chunks below path, for the searches that take an index."""
+        return inverted.build(chunks, path)
+
+    def open_index(self, path: str) -> inverted.Index:
+        return inverted.Index(self.spark, path)
+
+    def search(self, tables: dict[str, DataFrame], queries: DataFrame, graph: bool = True, index: inverted.Index | None = None) -> DataFrame:
+        return retrieval.search(tables["chunks"], queries, self.edges(tables) if graph else None, index)
 
     def federated_search(self, members: DataFrame, queries: DataFrame, links: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         return retrieval.federated(members, queries, links, edges)
 
-    def ask(self, chunks: DataFrame, queries: DataFrame, floor: float = 0.30) -> DataFrame:
-        found = retrieval.search_knowledge(chunks.drop("counts"), queries, floor)
+    def ask(self, chunks: DataFrame, queries: DataFrame, floor: float = 0.30, index: inverted.Index | None = None) -> DataFrame:
+        """index: of retrieval.live(chunks)."""
+        found = retrieval.search_knowledge(chunks.drop("counts"), queries, floor, index=index)
         return found.withColumn("provenance", text.provenance(F.col("title"), F.col("state"), F.col("updated_at"), F.col("url")))
 
-    def recall(self, entries: DataFrame, queries: DataFrame) -> DataFrame:
-        return retrieval.recall(entries, queries)
+    def recall(self, entries: DataFrame, queries: DataFrame, index: inverted.Index | None = None) -> DataFrame:
+        return retrieval.recall(entries, queries, index=index)
 
     def context_search(self, tables: dict[str, DataFrame], documents: DataFrame | None, queries: DataFrame, source: str = "both", limit: int | None = None) -> DataFrame:
         """Code, documents or both in one order, cut to a budget of tokens if one is given."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import embed, redact, text
 from siltstone.operators import metrics, quality, retrieval
-from siltstone.plans import tables
+from siltstone.plans import indexes, tables
 from siltstone.plans.tables import NOW, PRICE, corpus, log, questions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,10 +114,10 @@ def path_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.penalised(F.col("url")).alias("penalised"), text.extension(F.col("url")).alias("extension"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'), '^ | $', '', 'g') AS flat, text FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'), '^ | $', '', 'g') AS flat, text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
 SELECT doc_id, left(sha256(flat), 16) AS decision, CASE WHEN length(trim(flat)) > 60 THEN left(trim(flat), 60) || '…' ELSE trim(flat) END AS label FROM t""")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.decision_id(F.col("text")).alias("decision"), text.short_label(F.col("text")).alias("label"))
+    return table(spark, sf_dir, "documents").fillna("", ["text"]).select("doc_id", text.decision_id(F.col("text")).alias("decision"), text.short_label(F.col("text")).alias("label"))
 
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT AS secs, strftime(ts, '%Y-%m-%d') AS day FROM events")
@@ -151,14 +151,26 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.postings(corpus(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+@query(f"WITH {CORPUS}, {ASKED}, {BM25} SELECT term, df::BIGINT AS df, tf::BIGINT AS tf, most::INT AS most, least::INT AS least FROM (SELECT term, count(*) AS df, sum(tf) AS tf, max(tf) AS most, min(doc_len) AS least FROM tf GROUP BY term)")
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the postings hold of each term: chunks, occurrences, and the bounds of its blocks."""
+    return indexes.documents(spark, sf_dir).term_totals()
+
+
+@query(f"WITH {CORPUS} SELECT ord, chunk_id, len({TOKENS('content')})::BIGINT AS n_tokens, row_number() OVER (ORDER BY chunk_id, ord) - 1 AS place FROM corpus")
+def index_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the index in the order of their places."""
+    return indexes.documents(spark, sf_dir).places()
+
+
 @query(f"WITH {CORPUS}, {ASKED}, {BM25} SELECT q_id, ord, frank, {SIX('bm25')} AS bm25 FROM kw")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_ranked(corpus(spark, sf_dir), questions(spark, sf_dir)).select("q_id", "ord", F.col("frank").cast("long").alias("frank"), text.rounded(F.col("bm25")).alias("bm25"))
+    return retrieval.bm25_ranked(None, questions(spark, sf_dir), index=indexes.documents(spark, sf_dir)).select("q_id", "ord", F.col("frank").cast("long").alias("frank"), text.rounded(F.col("bm25")).alias("bm25"))
 
 
 @query(f"WITH {CORPUS}, {ASKED}, {VECTORS} SELECT q_id, ord, vrank, {SIX('cosine')} AS cosine FROM ve")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vector_ranked(retrieval.embedded(corpus(spark, sf_dir)), questions(spark, sf_dir)).select("q_id", "ord", F.col("vrank").cast("long").alias("vrank"), text.rounded(F.col("cosine")).alias("cosine"))
+    return retrieval.vector_ranked(None, questions(spark, sf_dir), index=indexes.documents(spark, sf_dir)).select("q_id", "ord", F.col("vrank").cast("long").alias("vrank"), text.rounded(F.col("cosine")).alias("cosine"))
 
 
 @query(f"""WITH q AS (SELECT vec_id AS q_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q_id, vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM q CROSS JOIN embeddings e),
@@ -174,13 +186,13 @@ def embeddings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CORPUS}, {ASKED}, {BM25}, {VECTORS}, {FUSED} SELECT q_id, ord, vrank, frank, {SIX('fused')} AS fused, {SIX('relative')} AS relative FROM rel")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = retrieval.candidates(retrieval.embedded(corpus(spark, sf_dir)), questions(spark, sf_dir))
+    c = retrieval.candidates(corpus(spark, sf_dir), questions(spark, sf_dir), index=indexes.documents(spark, sf_dir))
     return c.select("q_id", "ord", F.col("vrank").cast("long").alias("vrank"), F.col("frank").cast("long").alias("frank"), text.rounded(F.col("fused")).alias("fused"), text.rounded(F.col("relative")).alias("relative"))
 
 
 @query(f"WITH {HYBRID} SELECT q_id, rank, chunk_id, file_path, {SIX('score')} AS score FROM hy")
 def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ranked(corpus(spark, sf_dir), questions(spark, sf_dir)).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "file_path", text.rounded(F.col("score")).alias("score"))
+    return retrieval.ranked(corpus(spark, sf_dir), questions(spark, sf_dir), index=indexes.documents(spark, sf_dir)).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "file_path", text.rounded(F.col("score")).alias("score"))
 
 
 def file_edges(c: DataFrame) -> DataFrame:
@@ -203,7 +215,7 @@ SELECT q_id, rank, chunk_id, file_path, {SIX('score')} AS score FROM hy UNION AL
 SELECT q_id, (SELECT max(rank) FROM hy WHERE hy.q_id = bonus.q_id) + row_number() OVER (PARTITION BY q_id ORDER BY nth, i) AS rank, chunk_id, file_path, {SIX('greatest(0, cosine) * 0.85::DOUBLE')} AS score FROM bonus""")
 def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return retrieval.search(c, questions(spark, sf_dir), file_edges(c)).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "file_path", text.rounded(F.col("score")).alias("score"))
+    return retrieval.search(c, questions(spark, sf_dir), file_edges(c), indexes.documents(spark, sf_dir)).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "file_path", text.rounded(F.col("score")).alias("score"))
 
 
 @query(f"WITH {CORPUS}, {EDGES} SELECT src, dst FROM near")
@@ -256,10 +268,11 @@ def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
     merged = F.when(F.col("ord") % 3 == 0, F.array(F.lit("https://forge.example/group/project/pull/7"))).otherwise(F.array(F.lit("https://forge.example/issues/7")))
     chunks = c.withColumns({"file_path": F.col("chunk_id"), "record_id": F.col("chunk_id"), "title": F.lit(""), "labels": F.array().cast("array<string>"), "links": merged, "state_reason": F.when(F.length("content") % 7 == 0, "wontfix"), "updated_at": F.lpad((F.col("ord") % 5).cast("string"), 2, "0")})
-    return retrieval.search_knowledge(chunks, questions(spark, sf_dir)).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", text.rounded(F.col("score")).alias("score"))
+    index = indexes.held(spark, "live documents", f"{sf_dir}/documents.parquet", lambda: retrieval.live(chunks))
+    return retrieval.search_knowledge(chunks, questions(spark, sf_dir), index=index).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", text.rounded(F.col("score")).alias("score"))
 
 
-RECALLED = """e AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) AS ord, left(sha256(regexp_replace(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'), '^ | $', '', 'g')), 16) AS id FROM conversations WHERE role = 'system'),
+RECALLED = """e AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) AS ord, left(sha256(regexp_replace(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'), '^ | $', '', 'g')), 16) AS id FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
 corpus AS (SELECT min(ord) AS ord, id AS chunk_id, id AS file_path, 1 AS start_line, 1 AS end_line, '' AS member, min_by(text, ord) AS content FROM e GROUP BY id)"""
 
 
@@ -267,19 +280,20 @@ corpus AS (SELECT min(ord) AS ord, id AS chunk_id, id AS file_path, 1 AS start_l
 SELECT q_id, rank, chunk_id, {SIX('score')} AS score FROM r WHERE rank <= 5""")
 def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = decisions(spark, sf_dir)
-    return retrieval.recall(entries, questions(spark, sf_dir, 5)).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", text.rounded(F.col("score")).alias("score"))
+    index = indexes.held(spark, "decisions", f"{sf_dir}/conversations.parquet", lambda: retrieval.decision_corpus(entries))
+    return retrieval.recall(entries, questions(spark, sf_dir, 5), index=index).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", text.rounded(F.col("score")).alias("score"))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """System turns as remembered decisions; of one text the first counts."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'system'").select("text", F.struct("conv_id", "turn").alias("at"))
+    """Turns as remembered decisions; of one text the first counts."""
+    rows = table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("text"), F.struct("conv_id", "turn").alias("at"))
     own = rows.groupBy(text.decision_id(F.col("text")).alias("id")).agg(F.min_by("text", "at").alias("text"), F.min("at").alias("at"))
     return own.select("id", "text", F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("area"), (F.col("at.conv_id") * 100000 + F.col("at.turn")).alias("ord"))
 
 
 @query(f"""WITH {HYBRID}, w AS (SELECT q_id, rank, chunk_id, 2000 - coalesce(sum({COUNT('content')}) OVER (PARTITION BY q_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS room FROM hy) SELECT * FROM w WHERE room > 0""")
 def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.within_budget(retrieval.ranked(corpus(spark, sf_dir), questions(spark, sf_dir)), 2000).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.col("room").cast("long").alias("room"))
+    return retrieval.within_budget(retrieval.ranked(corpus(spark, sf_dir), questions(spark, sf_dir), index=indexes.documents(spark, sf_dir)), 2000).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.col("room").cast("long").alias("room"))
 
 
 # --- the event log
@@ -371,7 +385,7 @@ own AS (SELECT q_id, count(*) AS result_count, sum({COUNT('content')})::BIGINT A
 def search_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
     files = c.groupBy("file_path").agg(F.sum(text.token_count(F.col("content"))).alias("tokens"))
-    return metrics.search_record(retrieval.ranked(c, questions(spark, sf_dir)), files).select("q_id", "result_count", "baseline_tokens", "served_tokens", "tokens_saved", "savings_ratio", "top_score", "low_confidence")
+    return metrics.search_record(retrieval.ranked(c, questions(spark, sf_dir), index=indexes.documents(spark, sf_dir)), files).select("q_id", "result_count", "baseline_tokens", "served_tokens", "tokens_saved", "savings_ratio", "top_score", "low_confidence")
 
 
 # --- quality
