@@ -355,14 +355,20 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", "chunk_id", "file_path", "end_line", F.md5("content").alias("digest"), F.lit(held["meta"].first()["chunks"]).cast("long").alias("chunks"))
 
 
-@query("SELECT row_number() OVER (ORDER BY n_regionkey, n_name) AS place, n_name AS file_path, n_nationkey::BIGINT AS start_line FROM nation")
+EXCHANGE = "record_id string, file_path string, start_line long, chunk_id string, content string"
+
+
+def exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as chunks to exchange, a record a source and language."""
+    return corpus(spark, sf_dir).select(F.col("file_path").alias("record_id"), "file_path", F.col("ord").alias("start_line"), "chunk_id", "content")
+
+
+@query(f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY file_path, ord) AS place, chunk_id, file_path, md5(content) AS digest FROM corpus")
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exchange file, sorted canonically, written, verified and read back."""
-    rows = table(spark, sf_dir, "nation").select(F.concat((F.col("n_regionkey")).cast("string"), F.lit("/"), "n_name").alias("file_path"), F.col("n_nationkey").cast("long").alias("start_line"), F.col("n_name").alias("chunk_id"))
+    """An exchange artifact of all documents: sorted canonically, written, verified and read back."""
     path = shared_folder(spark)
-    artifacts.write_artifact(artifacts.artifact_lines(rows), {"schema": "exchange"}, path)
-    back = artifacts.read_artifact(spark, path, "file_path string, start_line long, chunk_id string")[1]
-    return back.select(F.col("place").cast("long").alias("place"), F.regexp_replace("file_path", "^[0-9]+/", "").alias("file_path"), "start_line")
+    artifacts.write_artifact(artifacts.artifact_lines(exchange(spark, sf_dir)), {"schema": "exchange"}, path)
+    return artifacts.read_artifact(spark, path, EXCHANGE)[1].select("place", "chunk_id", "file_path", F.md5("content").alias("digest"))
 
 
 @query("SELECT count(DISTINCT doc_id % 5) AS distinct_ids, count(*) AS chunks, true AS order_free, true AS seen FROM documents")
@@ -460,27 +466,19 @@ def store_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.store_audit(c, files, redact.redacted(F.col("content")) != F.col("content"))
 
 
-@query("SELECT n_name AS record_id, 'text of ' || n_name AS content, 'published, unchanged, shrinks, published' AS steps, 25::BIGINT AS removed, 'behind, current' AS seen FROM nation WHERE n_nationkey >= 5")
+@query(f"""WITH {CORPUS} SELECT file_path AS record_id, chunk_id, md5(content) AS digest, 'published, unchanged, shrinks, published' AS steps, (SELECT count(DISTINCT file_path) FROM corpus WHERE file_path LIKE '%/en.txt')::BIGINT AS removed,
+'behind, current' AS seen, 2::BIGINT AS versions FROM corpus WHERE file_path NOT LIKE '%/en.txt'""")
 def sync_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus pushed, pushed again, refused as it would lose records, forced, and pulled back."""
-    def chunks(prefix: str) -> DataFrame:
-        name = F.concat(F.lit(prefix), "n_name")
-        return table(spark, sf_dir, "nation").select(name.alias("record_id"), name.alias("file_path"), F.lit(1).cast("long").alias("start_line"), F.md5(name).alias("chunk_id"), F.concat(F.lit("text of "), name).alias("content"), "n_nationkey")
-
-    at = remote.FolderRemote(spark, shared_folder(spark))
-    first, later = chunks("old ").drop("n_nationkey"), chunks("").where("n_nationkey >= 5").drop("n_nationkey")
+    """All documents pushed, pushed again, those of a language fewer refused, forced, verified and pulled back."""
+    at, first = remote.FolderRemote(spark, shared_folder(spark)), exchange(spark, sf_dir)
+    later = first.where("file_path not like '%/en.txt'")
     done = [remote.push(at, "c", first), remote.push(at, "c", first), remote.push(at, "c", later)]
     seen = [remote.status(at, "c", later)]
     done.append(remote.push(at, "c", later, force=True))
     seen.append(remote.status(at, "c", later))
-    return remote.pull(at, "c").select("record_id", "content", F.lit(", ".join(d["reason"] for d in done)).alias("steps"), F.lit(done[3]["removed"]).cast("long").alias("removed"), F.lit(", ".join(seen)).alias("seen"))
-
-
-@query("""SELECT * FROM (VALUES ('retrieval', '{"detail": "full"}'), ('output', '{"level": "standard"}'), ('memory', '{"enabled": false}'), ('summarization', '{"auto_tokens": 900}'), ('mcp', '{"result_footer": "on"}'), ('markdown', '{"max_section_tokens": 400}'),
-('knowledge', '{"enabled": true, "min_score": 0.5, "default_source": "code"}')) t(block, found)""")
-def settings_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = "retrieval:\n  detail: Full\noutput:\n  level: loud\nmemory:\n  enabled: false\nsummarization:\n  auto_tokens: 900\nmcp:\n  result_footer: true\nmarkdown:\n  max_section_tokens: -3\nknowledge:\n  enabled: 1\n  min_score: 0.5  # half\n  default_source: code\n"
-    return spark.createDataFrame([(block, json.dumps(own)) for block, own in control.settings(body).items()], "block string, found string")
+    told = {"steps": ", ".join(d["reason"] for d in done), "seen": ", ".join(seen)}
+    back = remote.pull(at, "c", EXCHANGE).select("record_id", "chunk_id", F.md5("content").alias("digest"), *[F.lit(v).alias(c) for c, v in told.items()])
+    return back.withColumns({"removed": F.lit(done[3]["removed"]).cast("long"), "versions": F.lit(remote.versions(at, "c").count()).cast("long")})
 
 
 @query("""WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, 'docs/a' || doc_id % 7 || CASE WHEN doc_id % 3 = 0 THEN '#function' ELSE '' END AS anchor, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'docs/a' || doc_id % 7 END AS file_path, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 'function' END AS kind,

@@ -136,5 +136,11 @@ class Engine:
     def push(self, root: str, corpus: str, chunks: DataFrame, **options) -> dict:
         return remote.push(remote.FolderRemote(self.spark, root), corpus, chunks, **options)
 
-    def pull(self, root: str, corpus: str) -> DataFrame:
-        return remote.pull(remote.FolderRemote(self.spark, root), corpus)
+    def pull(self, root: str, corpus: str, schema: str, version: int | None = None) -> DataFrame:
+        return remote.pull(remote.FolderRemote(self.spark, root), corpus, schema, version)
+
+    def versions(self, root: str, corpus: str) -> DataFrame:
+        return remote.versions(remote.FolderRemote(self.spark, root), corpus)
+
+    def verify(self, root: str, corpus: str, version: int | None = None) -> dict:
+        return remote.verify(remote.FolderRemote(self.spark, root), corpus, version)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from siltstone.session import written
+
 TABLES = ("chunks", "imports", "file_tokens", "meta")
 
 
@@ -87,33 +89,89 @@ def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/snapshot={name}")
 
 
-def artifact_lines(chunks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """place, value: canonical lines of chunks in order of (file_path, start_line, chunk_id), then the edges."""
-    order = Window.orderBy("kind_", "a", "b", "c")
+FAN = 4096  # lines of a stretch, and digests of a node of the tree
+
+
+def artifact_rows(chunks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """kind_, a, b, c (the canonical order: chunks by file_path, start_line, chunk_id, then edges), value: each row's JSON."""
     body = chunks.withColumn("embedding", encode_vector("embedding")) if "embedding" in chunks.columns else chunks
     rows = body.select(F.lit(0).alias("kind_"), F.col("file_path").alias("a"), F.col("start_line").cast("long").alias("b"), F.col("chunk_id").alias("c"), F.to_json(F.struct(*sorted(body.columns))).alias("value"))
-    if edges is not None:
-        rows = rows.unionByName(edges.select(F.lit(1).alias("kind_"), F.col("src").alias("a"), F.lit(0).cast("long").alias("b"), F.col("dst").alias("c"), F.to_json(F.struct("src", "dst")).alias("value")))
-    return rows.select(F.row_number().over(order).alias("place"), "value")
+    if edges is None:
+        return rows
+    return rows.unionByName(edges.select(F.lit(1).alias("kind_"), F.col("src").alias("a"), F.lit(0).cast("long").alias("b"), F.col("dst").alias("c"), F.to_json(F.struct("src", "dst")).alias("value")))
+
+
+def artifact_lines(chunks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """place, value: canonical lines, from 1. Lines are range-sorted in tasks and written; a line's place is its place in its part and the sizes of the
+    parts before it (a number a part on the driver), so no task and no window sees them all."""
+    spark, order = chunks.sparkSession, ["kind_", "a", "b", "c", "value"]
+    rows = artifact_rows(chunks, edges)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = own if size >= 1 << 60 else max(own, -(-size // (64 << 20)))
+    spot = F.monotonically_increasing_id()  # the part, and the place in it
+    held = written(rows.repartitionByRange(n, *order[:4]).sortWithinPartitions(*order).select("value", F.shiftright(spot, 33).cast("int").alias("part"), spot.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")))
+    sizes, starts = {r["part"]: r["n"] for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}, []
+    at = 1
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    return held.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").select((F.col("start") + F.col("nth")).alias("place"), "value")
+
+
+def address(lines: DataFrame) -> str:
+    """The root of the tree of digests of canonical lines: SHA-256 of each line, then of each FAN digests in order, level by level in tasks,
+    until one is left. It depends on the lines and their order alone, not on how they are dealt."""
+    level = lines.select((F.col("place") - 1).alias("at"), F.sha2("value", 256).alias("sha"))
+    n = lines.count()
+    while n > 1 or n == 0:
+        if n == 0:
+            return hashlib.sha256(b"").hexdigest()
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sha"))), lambda x: x["sha"]), "")
+        level = level.groupBy(F.floor(F.col("at") / FAN).alias("up")).agg(F.sha2(joined, 256).alias("sha")).select(F.col("up").alias("at"), "sha")
+        n = -(-n // FAN)
+    return hashlib.sha256(level.first()["sha"].encode()).hexdigest()
 
 
 def write_artifact(lines: DataFrame, manifest: dict, path: str) -> str:
-    """Manifest line with the body's digest and length, then the body. For exchange files, which fit one task; returns the digest."""
-    body = [r["value"] for r in lines.orderBy("place").toLocalIterator()]
-    digest = hashlib.sha256("\n".join(body).encode()).hexdigest()
-    head = json.dumps(manifest | {"checksum": digest, "lines": len(body)}, sort_keys=True)
-    lines.sparkSession.createDataFrame([(x,) for x in [head, *body]], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return digest
+    """Lines as text parts, each behind its place and a tab, written in tasks; then the manifest with their number and address, which makes
+    the artifact whole. Returns the address."""
+    spark, root = lines.sparkSession, address(lines)
+    lines.select(F.concat(F.col("place").cast("string"), F.lit("\t"), "value")).write.mode("overwrite").text(f"{path}/lines")
+    head = json.dumps(manifest | {"checksum": root, "lines": lines.count()}, sort_keys=True)
+    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return root
+
+
+def artifact_body(spark: SparkSession, path: str) -> DataFrame:
+    """place, value of an artifact's lines, unchecked."""
+    raw = spark.read.text(f"{path}/lines")
+    cut = F.instr("value", "\t")
+    return raw.select(F.substring("value", F.lit(1), cut - 1).try_cast("long").alias("place"), F.substring("value", cut + 1, F.length("value")).alias("value"))
+
+
+def check_artifact(spark: SparkSession, path: str) -> dict:
+    """The manifest with what was found: lines, whole (every place once) and sound (the address is that of the lines)."""
+    manifest, body = json.loads(spark.read.text(f"{path}/manifest").first()["value"]), artifact_body(spark, path)
+    found = body.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places"), F.min("place").alias("low"), F.max("place").alias("high")).first()
+    n = manifest["lines"]
+    whole = found["n"] == found["places"] == n and (n == 0 or (found["low"], found["high"]) == (1, n))
+    return manifest | {"found": found["n"], "whole": whole, "sound": whole and address(body) == manifest["checksum"]}
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str) -> tuple[dict, DataFrame]:
-    """Manifest and rows of an exchange file; its length and digest must be right."""
-    whole = spark.read.text(path, wholetext=True).first()["value"].rstrip("\n").split("\n")
-    manifest, body = json.loads(whole[0]), whole[1:]
-    if len(body) != manifest["lines"] or hashlib.sha256("\n".join(body).encode()).hexdigest() != manifest["checksum"]:
-        raise ValueError(f"{path}: {len(body)} lines do not match the manifest's length and checksum")
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(body, 1)], "place long, value string")
-    return manifest, rows.select("place", F.from_json("value", schema).alias("r")).select("place", "r.*")
+    """Manifest and rows of an exchange artifact; its length, places and address must be right."""
+    manifest = check_artifact(spark, path)
+    if not manifest["sound"]:
+        raise ValueError(f"{path}: {manifest['found']} lines do not match the manifest's length and checksum")
+    return manifest, artifact_body(spark, path).select("place", F.from_json("value", schema).alias("r")).select("place", "r.*")
+
+
+def record_sums(chunks: DataFrame) -> DataFrame:
+    """record_id, digest: the number of a record's lines and four sums of parts of their hashes; lines of any number add up before they are shuffled."""
+    sha = F.sha2(F.to_json(F.struct("start_line", "chunk_id", "content")), 256)
+    rows = chunks.select("record_id", *[F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"h{i}") for i in range(4)])
+    return rows.groupBy("record_id").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[F.sum(f"h{i}").cast("string") for i in range(4)]).alias("digest"))
 
 
 def fingerprint(chunks: DataFrame, config: dict) -> dict:

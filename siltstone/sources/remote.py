@@ -1,20 +1,25 @@
-"""Published artifacts: a store of blobs by key, and the verbs that push to it and pull from it.
+"""Published artifacts: a store of blobs by key, a log of commits for each corpus, and the verbs that push to it and pull from it.
 
-An artifact lies under its content address and never changes; a pointer names the current one of a corpus. A push of what is
-there already moves nothing; one that would lose records is refused unless it is forced; what is pulled is checked against its
-manifest.
+A commit names everything that it publishes (lines, digests, manifest), which is in place before it; its entry in the log is created under the next
+number, and creation fails if another writer has taken that number. So a pointer moves from the state a writer has seen or not at
+all: a writer that loses reads what is there now, asks again whether its push would lose records, and tries again. After it has won, it reads its entry
+and its artifact back; an entry that a later one has passed over (it appeared while this one was still being written) counts as lost too. File
+systems whose create() without overwriting is atomic (HDFS, stores with conditional puts) give exactly one winner.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
+import time
+import uuid
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import quality, reports
+from siltstone.operators import reports
+from siltstone.session import written
 from siltstone.sources import artifacts
 
 
@@ -69,6 +74,21 @@ class FolderRemote:
         if not fs.rename(aside, p):
             raise OSError(f"cannot write {key}")
 
+    def create(self, key: str, data: bytes) -> bool:
+        """Writes a key that isn't there; False if it is."""
+        p, fs = self._at(key)
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        return True
+
     def put_many(self, entries: dict[str, bytes]) -> None:
         for key, data in entries.items():
             self.put(key, data)
@@ -84,64 +104,124 @@ class FolderRemote:
         fs.delete(p, True)
 
 
-def address(lines: DataFrame) -> str:
-    """The digest of canonical lines, in order: a hash of every stretch of them, made in tasks, and then of those."""
-    sums = lines.groupBy(F.floor(F.col("place") / 4096).alias("at")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n"), 256).alias("sha"))
-    whole = hashlib.sha256()
-    for r in sums.orderBy("at").toLocalIterator():
-        whole.update(r["sha"].encode())
-    return whole.hexdigest()
-
-
-def push(remote: FolderRemote, corpus: str, chunks: DataFrame, force: bool = False, dry_run: bool = False, keep: int = 3) -> dict:
-    """Publishes chunks (record_id besides the corpus columns) and moves the pointer to them. Returns what was done or would be."""
-    lines = artifacts.artifact_lines(chunks)
-    key, pointer = address(lines), f"{corpus}/current"
-    digests = quality.record_digests(chunks)
-    if remote.has(pointer):
-        current = remote.get(pointer).decode()
-        if current == key:
-            return {"address": key, "pushed": False, "reason": "unchanged"}
-        held = remote.spark.read.parquet(remote.path(f"{corpus}/{current}/digests"))
-        plan = reports.push_guard(held, digests, force).first().asDict()
-        if not plan["allowed"]:
-            return plan | {"address": key, "pushed": False, "reason": "shrinks"}
-    else:
+class Conflict(Exception):
+    """Another writer has committed first, again and again."""
+
+
+def init(remote: FolderRemote, corpus: str) -> bool:
+    """Makes an empty corpus; False if there is one."""
+    return remote.create(f"{corpus}/log/{0:012d}.json", json.dumps({"version": 0, "base": None, "address": None, "data": None}).encode())
+
+
+def entries(remote: FolderRemote, corpus: str, waits: int = 20) -> list[dict]:
+    """Commits in order, without those that later ones have passed over. One that can't be read yet is waited for, and then left out."""
+    found = []
+    for key in remote.list(f"{corpus}/log"):
+        if not key.endswith(".json"):
+            continue
+        for nth in range(waits):
+            try:
+                found.append(json.loads(remote.get(key)))
+                break
+            except ValueError:
+                time.sleep(0.05 if nth + 1 < waits else 0)
+    chain, want = [], found[-1]["version"] if found else None
+    for entry in reversed(found):
+        if entry["version"] == want:
+            chain.append(entry)
+            want = entry["base"]
+    return chain[::-1]
+
+
+def head(remote: FolderRemote, corpus: str) -> dict | None:
+    """The current commit, None where nothing is published."""
+    chain = entries(remote, corpus)
+    return chain[-1] if chain and chain[-1]["address"] else None
+
+
+def versions(remote: FolderRemote, corpus: str) -> DataFrame:
+    """version, address, lines, records, current of what has been published, the newest last."""
+    rows = [(e["version"], e["address"], e["lines"], e["records"]) for e in entries(remote, corpus) if e["address"]]
+    return remote.spark.createDataFrame([(*r, i == len(rows) - 1) for i, r in enumerate(rows)], "version long, address string, lines long, records long, current boolean")
+
+
+def corpora(remote: FolderRemote) -> list[str]:
+    return sorted(key for key in remote.list("") if remote.has(f"{key}/log"))
+
+
+def push(remote: FolderRemote, corpus: str, chunks: DataFrame, force: bool = False, dry_run: bool = False, keep: int = 3, tries: int = 5) -> dict:
+    """Publishes chunks (record_id besides the corpus columns). Returns what was done or would be. What is there already moves
+    nothing; a push that would lose records is refused unless it is forced; chunks with an empty embedding are refused."""
+    if "embedding" in chunks.columns and not chunks.where(F.coalesce(F.size("embedding"), F.lit(0)) <= 0).isEmpty():
+        raise ValueError(f"{corpus}: chunks without an embedding can't be published")
+    lines, digests = artifacts.artifact_lines(chunks), written(artifacts.record_sums(chunks))
+    key, data = artifacts.address(lines), None
+    for attempt in range(1, tries + 1):
+        chain = entries(remote, corpus)
+        last = chain[-1] if chain else {"version": -1, "address": None}
         plan = {"added": digests.count(), "removed": 0, "changed": 0}
-    if dry_run:
-        return plan | {"address": key, "pushed": False, "reason": "dry run"}
-    manifest = {"corpus": corpus, "address": key, "lines": lines.count()}
-    chunks.write.mode("overwrite").parquet(remote.path(f"{corpus}/{key}/chunks"))
-    digests.write.mode("overwrite").parquet(remote.path(f"{corpus}/{key}/digests"))
-    remote.put_many({f"{corpus}/{key}/manifest.json": json.dumps(manifest, sort_keys=True).encode(), pointer: key.encode()})
-    retire(remote, corpus, keep)
-    return plan | {"address": key, "pushed": True, "reason": "published"}
+        if last["address"] == key:
+            return {"address": key, "pushed": False, "reason": "unchanged", "tries": attempt}
+        if last["address"]:
+            held = remote.spark.read.parquet(remote.path(f"{last['data']}/digests"))
+            plan = reports.push_guard(held, digests, force).first().asDict()
+            if not plan["allowed"]:
+                return plan | {"address": key, "pushed": False, "reason": "shrinks" if plan["shrinks"] else "unchanged", "tries": attempt}
+        if dry_run:
+            return plan | {"address": key, "pushed": False, "reason": "dry run", "tries": attempt}
+        if data is None:
+            data = f"{corpus}/data/{key}-{uuid.uuid4().hex[:8]}"
+            artifacts.write_artifact(lines, {"corpus": corpus}, remote.path(data))
+            digests.write.parquet(remote.path(f"{data}/digests"))
+        number = max([int(k.rsplit("/", 1)[-1].split(".")[0]) for k in remote.list(f"{corpus}/log") if k.endswith(".json")], default=-1) + 1
+        entry = {"version": number, "base": last["version"], "address": key, "data": data, "lines": lines.count(), "records": digests.count()}
+        if number <= last["version"] or not remote.create(f"{corpus}/log/{number:012d}.json", json.dumps(entry, sort_keys=True).encode()):
+            continue
+        if entry not in entries(remote, corpus):
+            continue
+        if not artifacts.check_artifact(remote.spark, remote.path(data))["sound"]:
+            raise ValueError(f"{corpus}: what was pushed does not read back as {key}")
+        retire(remote, corpus, keep)
+        return plan | {"address": key, "pushed": True, "reason": "published", "tries": attempt, "version": number}
+    raise Conflict(f"{corpus}: {tries} tries, each overtaken")
 
 
 def retire(remote: FolderRemote, corpus: str, keep: int) -> list[str]:
-    """Removes all but the current artifact and the newest others."""
-    p, fs = remote._at(corpus)
-    current = remote.get(f"{corpus}/current").decode()
-    held = sorted((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName() != current)
-    gone = [name for _, name in held[: max(0, len(held) - (keep - 1))]]
-    for name in gone:
-        remote.remove(f"{corpus}/{name}")
+    """Removes the data of commits older than the newest `keep`; what no commit names may be another writer's, and stays."""
+    chain = [e for e in entries(remote, corpus) if e["address"]]
+    used = {e["data"] for e in chain[-keep:]}
+    gone = [e["data"] for e in chain[:-keep] if e["data"] not in used and remote.has(e["data"])]
+    for data in gone:
+        remote.remove(data)
     return gone
 
 
-def pull(remote: FolderRemote, corpus: str, key: str | None = None) -> DataFrame:
-    """The chunks of an artifact, the current one by default, after a check of its address."""
-    key = key or remote.get(f"{corpus}/current").decode()
-    manifest = json.loads(remote.get(f"{corpus}/{key}/manifest.json"))
-    chunks = remote.spark.read.parquet(remote.path(f"{corpus}/{key}/chunks"))
-    lines = artifacts.artifact_lines(chunks)
-    if address(lines) != manifest["address"] or manifest["address"] != key:
-        raise ValueError(f"{corpus}: the artifact is not what its address {key} says")
-    return chunks
+def _commit(remote: FolderRemote, corpus: str, version: int | None) -> dict:
+    chain = [e for e in entries(remote, corpus) if e["address"] and version in (None, e["version"])]
+    if not chain:
+        raise FileNotFoundError(f"{corpus}: nothing is published" + (f" as version {version}" if version is not None else ""))
+    return chain[-1]
+
+
+def verify(remote: FolderRemote, corpus: str, version: int | None = None) -> dict:
+    """What check_artifact finds in a version, the current one by default, and whether it is what its commit names."""
+    entry = _commit(remote, corpus, version)
+    found = artifacts.check_artifact(remote.spark, remote.path(entry["data"]))
+    return found | {"version": entry["version"], "sound": found["sound"] and found["checksum"] == entry["address"] and found["lines"] == entry["lines"]}
+
+
+def pull(remote: FolderRemote, corpus: str, schema: str, version: int | None = None) -> DataFrame:
+    """The chunks of a version, the current one by default, after a check of its address."""
+    entry = _commit(remote, corpus, version)
+    if not verify(remote, corpus, entry["version"])["sound"]:
+        raise ValueError(f"{corpus}: the artifact is not what its address {entry['address']} says")
+    rows = artifacts.artifact_body(remote.spark, remote.path(entry["data"])).select("place", F.from_json("value", schema).alias("r")).select("r.*")
+    return rows.withColumn("embedding", artifacts.decode_vector("embedding")) if dict(rows.dtypes).get("embedding") == "string" else rows
 
 
 def status(remote: FolderRemote, corpus: str, chunks: DataFrame) -> str:
     """"absent", "current" or "behind"."""
-    if not remote.has(f"{corpus}/current"):
+    last = head(remote, corpus)
+    if not last:
         return "absent"
-    return "current" if remote.get(f"{corpus}/current").decode() == address(artifacts.artifact_lines(chunks)) else "behind"
+    return "current" if last["address"] == artifacts.address(artifacts.artifact_lines(chunks)) else "behind"

@@ -176,21 +176,120 @@ def test_c_definitions_do_not_backtrack():
     assert [r[1:3] for r in chunking.code_chunks("a.c", "static char **names(int a) {\n  return 0;\n}\n", chunking.Registry())] == [(1, 3)]
 
 
+CHUNKS = "record_id string, file_path string, start_line long, chunk_id string, content string"
+
+
+def published(spark, ids):
+    return spark.createDataFrame([(f"r{i}", f"r{i}", 1, f"c{i}", f"text {i}\nof\ttwo lines") for i in ids], CHUNKS)
+
+
 def test_what_is_pulled_is_checked(spark, tmp_path):
     from siltstone.sources import remote
 
-    at = remote.FolderRemote(spark, str(tmp_path))
-    rows = spark.createDataFrame([(f"r{i}", f"r{i}", 1, f"c{i}", f"text {i}") for i in range(20)], "record_id string, file_path string, start_line long, chunk_id string, content string")
+    at, rows = remote.FolderRemote(spark, str(tmp_path)), published(spark, range(20))
+    assert remote.init(at, "c") and not remote.init(at, "c") and remote.status(at, "c", rows) == "absent"
+    with pytest.raises(FileNotFoundError):
+        remote.pull(at, "c", CHUNKS)
     done = remote.push(at, "c", rows)
-    assert done["pushed"] and remote.status(at, "c", rows) == "current" and at.list("c") == sorted([f"c/{done['address']}", "c/current"])
-    assert remote.push(at, "c", rows.limit(5), dry_run=True, force=True)["reason"] == "dry run" and remote.pull(at, "c").count() == 20
-    rows.limit(19).write.mode("overwrite").parquet(at.path(f"c/{done['address']}/chunks"))
+    assert done["pushed"] and done["version"] == 1 and remote.status(at, "c", rows.repartition(3)) == "current" and remote.corpora(at) == ["c"]
+    assert remote.push(at, "c", rows.limit(5), dry_run=True, force=True)["reason"] == "dry run"
+    assert sorted(map(tuple, remote.pull(at, "c", CHUNKS).collect())) == sorted(map(tuple, rows.collect()))
+    assert remote.push(at, "c", published(spark, range(25)))["pushed"] and remote.pull(at, "c", CHUNKS, version=1).count() == 20
+    assert [(r.version, r.lines, r.records, r.current) for r in remote.versions(at, "c").collect()] == [(1, 20, 20, False), (2, 25, 25, True)]
+    data = remote.head(at, "c")["data"]
+    assert remote.verify(at, "c")["sound"]
+    spark.read.text(at.path(f"{data}/lines")).limit(24).write.text(at.path(f"{data}/cut"))
+    spark.read.text(at.path(f"{data}/cut")).write.mode("overwrite").text(at.path(f"{data}/lines"))
+    assert not remote.verify(at, "c")["whole"] and remote.verify(at, "c", 1)["sound"]
     with pytest.raises(ValueError):
-        remote.pull(at, "c")
+        remote.pull(at, "c", CHUNKS)
     with pytest.raises(ValueError):
         at.get("../escape")
 
 
+class Overtaken:
+    """A remote whose other users commit just before this one's entries."""
+
+    def __init__(self, at, others):
+        self.at, self.others = at, list(others)
+
+    def __getattr__(self, name):
+        return getattr(self.at, name)
+
+    def create(self, key, data):
+        if self.others:
+            self.others.pop(0)()
+        return self.at.create(key, data)
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both build on the same state; the second to commit sees the first's records, and is refused or goes on from there."""
+    from siltstone.sources import remote
+
+    at = remote.FolderRemote(spark, str(tmp_path))
+    remote.push(at, "c", published(spark, range(3)))
+    both = Overtaken(at, [lambda: remote.push(at, "c", published(spark, range(5)))])
+    done = remote.push(both, "c", published(spark, [*range(3), 9]))
+    assert (done["pushed"], done["reason"], done["tries"]) == (False, "shrinks", 2) and remote.pull(at, "c", CHUNKS).count() == 5
+    both = Overtaken(at, [lambda: remote.push(at, "c", published(spark, range(6)))])
+    done = remote.push(both, "c", published(spark, range(8)))
+    assert (done["pushed"], done["tries"], done["version"]) == (True, 2, 3) and remote.pull(at, "c", CHUNKS).count() == 8
+    with pytest.raises(remote.Conflict):
+        remote.push(Overtaken(at, [lambda n=n: remote.push(at, "c", published(spark, range(n))) for n in (9, 10)]), "c", published(spark, range(20)), tries=2)
+
+
+def test_an_entry_that_was_passed_over_counts_as_lost(spark, tmp_path):
+    """A writer whose entry was still empty when another went past it."""
+    from siltstone.sources import remote
+
+    at = remote.FolderRemote(spark, str(tmp_path))
+    remote.push(at, "c", published(spark, range(3)))
+    base = remote.entries(at, "c")[-1]
+    assert at.create("c/log/000000000001.json", b"")  # taken, nothing in it yet
+    assert [e["version"] for e in remote.entries(at, "c", waits=1)] == [0]
+    done = remote.push(at, "c", published(spark, range(4)))
+    assert done["version"] == 2 and done["pushed"]
+    at.put("c/log/000000000001.json", json.dumps(base | {"version": 1, "base": 0}).encode())  # comes too late
+    assert [e["version"] for e in remote.entries(at, "c")] == [0, 2]
+
+
+def test_retired_data_goes_and_others_stays(spark, tmp_path):
+    from siltstone.sources import remote
+
+    at = remote.FolderRemote(spark, str(tmp_path))
+    at.put("c/data/of-another-writer/x", b"1")
+    for n in range(1, 5):
+        remote.push(at, "c", published(spark, range(n)), keep=2)
+    assert at.has("c/data/of-another-writer/x") and len(at.list("c/data")) == 3
+    assert remote.verify(at, "c", 2)["sound"] and not at.has(remote.entries(at, "c")[0]["data"])
+
+
+def test_address_depends_on_lines_and_order_alone(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(artifacts, "FAN", 4)
+    rows = published(spark, range(23))
+    lines = [r.value for r in artifacts.artifact_lines(rows).orderBy("place").collect()]
+    level = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
+    want = hashlib.sha256(level[0].encode()).hexdigest()
+    assert artifacts.address(artifacts.artifact_lines(rows.repartition(7))) == artifacts.address(artifacts.artifact_lines(rows.coalesce(1))) == want
+    assert artifacts.artifact_lines(rows).agg({"place": "max"}).first()[0] == 23 and len({r.place for r in artifacts.artifact_lines(rows.repartition(5)).collect()}) == 23
+    assert artifacts.address(artifacts.artifact_lines(rows.limit(0))) == hashlib.sha256(b"").hexdigest()
+
+
+def test_chunks_without_embedding_are_not_published(spark, tmp_path):
+    from siltstone.sources import remote
+
+    rows = spark.createDataFrame([("r", "r", 1, "c", "t", [1.0, -0.5]), ("s", "s", 1, "d", "u", [])], CHUNKS + ", embedding array<double>")
+    at = remote.FolderRemote(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        remote.push(at, "c", rows)
+    remote.push(at, "c", rows.limit(1))
+    assert remote.pull(at, "c", CHUNKS + ", embedding string").first()["embedding"] == [1.0, -0.5]
+
+
 def test_held_stores_follow_their_files(spark, tmp_path):
     engine = Engine(spark)
     for n in (3, 5):
