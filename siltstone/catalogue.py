@@ -13,7 +13,7 @@ from siltstone.plans.tables import NOW, corpus, log, table
 from siltstone.queries import CORPUS, COUNT, LOG, SIX, query
 from siltstone.session import shared_folder
 from siltstone.sources import artifacts, ndjson, remote, workspace
-from siltstone.streaming import logs
+from siltstone.streaming import ledger, logs
 
 SCORE = "((ord % 1000)::DOUBLE / 1000)"
 NL = "chr(10)"
@@ -399,6 +399,27 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, logs.sessions).select("source", "searches", "tokens_saved")
 
 
+@query("""WITH e AS (SELECT conv_id::VARCHAR AS session, turn AS ord, role, text, coalesce(length(text), 0) % 50 AS saved FROM conversations), f AS (SELECT session, role, row_number() OVER (PARTITION BY session ORDER BY role) AS i FROM (SELECT DISTINCT session, role FROM e WHERE role IS NOT NULL)),
+t AS (SELECT session, text, row_number() OVER (PARTITION BY session ORDER BY pos, text) AS i FROM (SELECT session, text, min(ord) AS pos FROM e WHERE role = 'user' AND text IS NOT NULL GROUP BY ALL))
+SELECT session, (SELECT count(*) FROM f WHERE f.session = s.session) AS n_files, (SELECT string_agg(role, ',' ORDER BY i) FROM f WHERE f.session = s.session AND i <= 20) AS files, (SELECT count(*) FROM t WHERE t.session = s.session) AS n_queries,
+(SELECT sha256(string_agg(text, chr(10) ORDER BY i)) FROM t WHERE t.session = s.session AND i <= 20) AS queries, (SELECT count(*) FROM e WHERE e.session = s.session AND role = 'user') AS searches, (SELECT coalesce(sum(saved), 0)::BIGINT FROM e WHERE e.session = s.session AND role = 'user') AS tokens_saved FROM (SELECT DISTINCT session FROM e) s""")
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of every session's ledger, of turns that arrive in four files a trigger each."""
+    path, user = shared_folder(spark), F.col("role") == "user"
+    saved = F.coalesce(F.length("text"), F.lit(0)) % 50
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("ord"), F.when(user, "search").otherwise("expand").alias("kind"), F.when(user, F.col("text")).alias("query"), F.col("role").alias("file_path"),
+                                                        F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("id"), F.when(user, saved).cast("long").alias("tokens_saved"), F.when(user, saved).cast("long").alias("served_tokens"))
+    rows.repartition(4).write.parquet(f"{path}/log")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/batch={epoch}")
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    ledger.ledger(stream).writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    last = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out").drop("batch").groupBy("session").agg(F.max_by(F.struct("*"), "epoch").alias("s")).select("s.*")
+    return last.select("session", "n_files", F.array_join("files", ",").alias("files"), "n_queries", F.when(F.size("queries") > 0, F.sha2(F.array_join("queries", "\n"), 256)).alias("queries"), "searches", "tokens_saved")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, series) -> DataFrame:
     path = shared_folder(spark)
     _log_lines(spark, sf_dir).repartition(4).write.text(f"{path}/log")

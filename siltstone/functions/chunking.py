@@ -333,7 +333,7 @@ def markdown_chunks(path: str, text: str, budget: int = SECTION_BUDGET) -> list[
 
 
 def chunk_files(files: DataFrame, registry: Registry | None = None, budget: int = SECTION_BUDGET) -> DataFrame:
-    """files: file_path, content. A row a chunk; ord is unique and in order of place within a file."""
+    """files: file_path, content. A row a chunk; ord is 63 bits of a hash of path and place (two of n chunks share one with a chance of n * n / 2 ** 64)."""
     own = registry or Registry()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,8 +342,7 @@ def chunk_files(files: DataFrame, registry: Registry | None = None, budget: int
             for path, content in zip(frame["file_path"], frame["content"]):
                 content = content or ""
                 rows = markdown_chunks(path, content, budget) if path.lower().endswith((".md", ".markdown")) else code_chunks(path, content, own)
-                base = int(hashlib.sha256(path.encode()).hexdigest()[:10], 16) << 20
-                out += [(*r, base + i) for i, r in enumerate(rows)]
+                out += [(*r, int.from_bytes(hashlib.sha256(f"{path}\0{i}".encode()).digest()[:8]) >> 1) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
 
     return files.select("file_path", "content").mapInPandas(run, CHUNK)

@@ -93,6 +93,36 @@ def quality_trend(log: DataFrame, now: int) -> DataFrame:
     return _trend(log, now, {"top_score": lambda w: mean(F.col("top_score"), s & w & (F.col("result_count") > 0)), "empty_rate": rate("empty", s), "low_confidence_rate": rate("low_confidence", s), "helpful_rate": rate("helpful", f)})
 
 
+def measures() -> dict[str, tuple[Column, Column]]:
+    """What the trends are means of: value and rows that count, by metric."""
+    s, f = is_kind("search"), is_kind("feedback")
+    return {"savings_ratio": (F.col("savings_ratio"), s), "top_score": (F.col("top_score"), s & (F.col("result_count") > 0)), "empty_rate": (F.col("empty").cast("double"), s),
+            "low_confidence_rate": (F.col("low_confidence").cast("double"), s), "helpful_rate": (F.col("helpful").cast("double"), f)}
+
+
+def partials(log: DataFrame, step: int = 3600) -> DataFrame:
+    """at (where a stretch of `step` seconds begins), metric, total, n: sums and counts, which add up over any split of the log."""
+    each = F.array(*[F.struct(F.lit(name).alias("metric"), F.when(when, value).alias("value")) for name, (value, when) in measures().items()])
+    rows = log.where("secs is not null").select((F.floor(F.col("secs") / step) * step).alias("at"), F.inline(each)).where("value is not null")
+    return rows.groupBy("at", "metric").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("at", "metric").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def trends_of(parts: DataFrame, now: int, step: int = 3600) -> DataFrame:
+    """All trends from partials; the windows end at now, rounded down to a whole step."""
+    end = now // step * step
+    inside = lambda lo, hi: (F.col("at") >= lo) & (F.col("at") < hi)
+    sums = parts.groupBy("metric").agg(*[f(F.when(inside(lo, hi), F.col(c))).alias(f"{side}_{c}") for side, lo, hi in (("current", end - WEEK, end), ("previous", end - 2 * WEEK, end - WEEK)) for c, f in (("total", F.sum), ("n", F.sum))])
+    names = parts.sparkSession.createDataFrame([(m,) for m in measures()], "metric string")
+    mean_ = lambda side: text.rounded(F.when(F.col(f"{side}_n") > 0, F.col(f"{side}_total") / F.col(f"{side}_n")).otherwise(0.0)).alias(side)
+    long = names.join(sums, "metric", "left").select("metric", mean_("current"), mean_("previous"))
+    delta = text.rounded(F.col("current") - F.col("previous"))
+    return long.withColumn("delta", delta).withColumn("direction", text.direction(F.col("delta")))
+
+
 def daily(log: DataFrame) -> DataFrame:
     """A row a UTC day with a search or feedback."""
     s, f = is_kind("search"), is_kind("feedback")

@@ -72,7 +72,7 @@ def listed(spark: SparkSession, root: str, rules: list[tuple[str, bool, bool]] =
             if f.isDirectory():
                 if name not in PRUNED and not name.startswith(".") and not excluded(path, True, known):
                     left.append((f.getPath(), path + "/", known))
-            elif not name.endswith(".crc") and not excluded(path, False, known):
+            elif not (name.startswith(".") and name.endswith(".crc")) and not excluded(path, False, known):
                 out.append((f.getPath().toString(), path, f.getLen()))
     return sorted(out, key=lambda x: x[1])
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from siltstone.functions import text
+from siltstone.session import written
 
 KNOWN = ("search", "index", "feedback")
 COUNTERS = ("top_k", "result_count", "baseline_tokens", "served_tokens", "tokens_saved", "files_indexed", "chunks", "index_bytes", "sensitive_skipped")
@@ -19,10 +20,14 @@ LAYERS = ("retrieval", "chunk_compression", "grammar", "output", "memory", "turn
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, line (from 1): lines of text files with where they stand. A file is read as a whole, as its order is data."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    rows = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "value"))
-    return rows.select("file", (F.col("at") + 1).cast("long").alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    """value, file, line (from 1): lines of text files with where they stand. Many tasks read a file, each a range of its bytes; a line's number is its
+    place in its range and the lines of the ranges before it (a row a range)."""
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    held = written(raw.withColumn("at", F.monotonically_increasing_id()))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rows = held.join(starts.select("file", "block", "first", "base"), ["file", "block"])
+    return rows.select("file", (F.col("base") + F.col("at") - F.col("first") + 1).alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
 
 
 def placed(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators import metrics
+from siltstone.session import removed
 from siltstone.sources import ndjson
 
 
@@ -31,13 +32,27 @@ def sessions(events: DataFrame, key: str = "source") -> DataFrame:
     return events.where(metrics.is_kind("search")).groupBy(key).agg(F.count(F.lit(1)).alias("searches"), F.sum("tokens_saved").alias("tokens_saved"), F.sum("served_tokens").alias("served_tokens"))
 
 
-def trends_each_trigger(events: DataFrame, now, sink, checkpoint: str) -> StreamingQuery:
-    """Writes each micro-batch to its own folder of sink, so that one that is tried again replaces itself, and recomputes the trailing
-    windows: they end at now(), so they can't be kept as state. Only the two windows' events are read again."""
-    def step(batch: DataFrame, epoch: int) -> None:
+def trends_each_trigger(events: DataFrame, now, sink, checkpoint: str, step: int = 3600) -> StreamingQuery:
+    """Writes each micro-batch to its own folder of sink, so that one that is tried again replaces itself, and the trends of the trailing windows,
+    which end at now() (rounded down to a step). They come from partials: sums and counts by metric and step, those of the batch before merged
+    with this one's and written under this one's number. A trigger reads no event again, and partials of two windows alone."""
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         batch.withColumn("day", F.to_date(F.timestamp_seconds("secs"))).write.mode("overwrite").partitionBy("day").parquet(f"{sink}/events/batch={epoch}")
-        every = batch.sparkSession.read.option("basePath", f"{sink}/events").parquet(f"{sink}/events")
-        every = every.where(F.col("day") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(now()))), 15)).drop("batch", "day")
-        metrics.savings_trend(every, now()).unionByName(metrics.quality_trend(every, now())).write.mode("overwrite").parquet(f"{sink}/trends")
-
-    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+        parts, before = metrics.partials(batch, step), [n for n in epochs(spark, f"{sink}/partials") if n < epoch]
+        if before:
+            parts = metrics.merged(parts.unionByName(spark.read.parquet(f"{sink}/partials/epoch={max(before)}")))
+        path = f"{sink}/partials/epoch={epoch}"
+        parts.where(F.col("at") >= now() - 2 * metrics.WEEK - step).coalesce(1).write.mode("overwrite").parquet(path)
+        metrics.trends_of(spark.read.parquet(path), now(), step).write.mode("overwrite").parquet(f"{sink}/trends")
+        for n in before:
+            if n < max(before):
+                removed(spark, f"{sink}/partials/epoch={n}")
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+
+
+def epochs(spark: SparkSession, path: str) -> list[int]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(p) if f.getPath().getName().startswith("epoch=")) if fs.exists(p) else []

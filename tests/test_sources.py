@@ -1,4 +1,7 @@
 import json
+import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +162,64 @@ def test_a_batch_that_is_tried_again_replaces_itself(spark, tmp_path):
     assert got["savings_ratio"] == 0.375
 
 
+def test_trends_come_from_partials_of_all_batches(spark, tmp_path):
+    """As over the whole log, though each trigger sees one file; a batch that is tried again adds nothing."""
+    from siltstone.streaming import logs
+
+    now, rng = 1783245600, random.Random(1)
+    body = [json.dumps({"event": rng.choice(["search", "feedback"]), "ts": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now - rng.randrange(16 * 86400))), "savings_ratio": rng.randrange(8) / 8, "top_score": 0.5, "result_count": rng.randrange(3), "empty": rng.random() < 0.3, "low_confidence": rng.random() < 0.5, "helpful": rng.random() < 0.5}) for _ in range(300)]
+    (tmp_path / "log").mkdir()
+    for i in range(3):
+        (tmp_path / f"log/{i}.jsonl").write_text("\n".join(body[i::3]) + "\n")
+    for state in ("s1", "s2"):
+        logs.trends_each_trigger(logs.lines(spark, str(tmp_path / "log"), maxFilesPerTrigger=1), lambda: now, str(tmp_path / "sink"), str(tmp_path / state)).awaitTermination()
+    log, _ = ndjson.read_log(spark, str(tmp_path / "log"))
+    want = sorted(map(tuple, metrics.savings_trend(log, now).unionByName(metrics.quality_trend(log, now)).collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "sink/trends")).collect())) == want
+    assert len([p for p in os.listdir(tmp_path / "sink/partials") if p.startswith("epoch")]) <= 2
+
+
+def test_ledger_stream_forgets_nothing_over_a_restart(spark, tmp_path):
+    from siltstone.streaming import ledger
+
+    events = [("a", i, "search", f"q{i % 4}", f"f{i % 3}.py", None, None, 5, 7) for i in range(9, 0, -1)] + [("a", 20, "decision", None, None, None, "d1", None, None), ("b", 1, "expand", None, "g.py", "c", None, None, None)]
+    schema = "session string, ord long, kind string, query string, file_path string, chunk_id string, id string, tokens_saved long, served_tokens long"
+    got = []
+    for i, part in enumerate((events[:5], events[5:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))  # started again for each part
+        ledger.ledger(stream, most=3, threshold=40).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda batch, _: got.extend(batch.collect())).start().awaitTermination()
+    a = [r for r in got if r.session == "a"]
+    assert [(r.searches, r.served_tokens, r.summarise) for r in a] == [(5, 35, False), (9, 63, True)]
+    assert (a[-1].n_files, a[-1].files, a[-1].queries, a[-1].decisions) == (3, ["f0.py", "f1.py", "f2.py"], ["q1", "q2", "q3"], ["d1"])
+    assert [(r.files, r.chunks) for r in got if r.session == "b"] == [(["g.py"], ["c"])]
+
+
+def test_strict_reader_numbers_lines_over_many_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        lines = [json.dumps({"id": f"r{i}", "title": "t" * (i % 50)}) for i in range(300)]
+        (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+        (tmp_path / "b.jsonl").write_text("\r\n".join([*lines[:9], "", *lines[9:20]]))
+        got = ndjson.numbered(spark, str(tmp_path))
+        assert got.count() == 321 and spark.read.text(str(tmp_path / "a.jsonl")).rdd.getNumPartitions() > 4
+        a = sorted((r.line, r.value) for r in got.collect() if r.file.endswith("a.jsonl"))
+        b = sorted((r.line, r.value) for r in got.collect() if r.file.endswith("b.jsonl"))
+        assert a == list(enumerate(lines, 1)) and b == list(enumerate([*lines[:9], "", *lines[9:20]], 1))
+        (tmp_path / "a.jsonl").write_text("\n".join([*lines[:211], "{broken", *lines[211:]]))
+        with pytest.raises(Exception, match="line 212"):
+            ndjson.strict(spark, str(tmp_path / "a.jsonl"), "id string, title string", ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_only_checksum_files_of_the_file_system_are_left_out(spark, tmp_path):
+    for name in ("a.crc", ".a.crc", "b.py"):
+        (tmp_path / name).write_text("x")
+    assert {r.file_path for r in files.scan(spark, str(tmp_path)).collect()} == {"a.crc", "b.py"}
+
+
 def test_critical_values_of_t():
     from siltstone.operators import quality
 
