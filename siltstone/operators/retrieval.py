@@ -65,14 +65,14 @@ class Best:
         if len(keys) > most:  # whatever is below the most-th key of its query in this batch alone is out
             keep &= keys >= np.partition(keys, len(keys) - most, axis=0)[len(keys) - most]
         row, q = np.nonzero(keep)
-        self.held.append(pd.DataFrame({"q": q, "key": keys[row, q], "chunk_id": ids[row], "ord": ords[row], "score": scores[row, q]}))
+        self.held.append(pd.DataFrame({"q": q, "key": keys[row, q], "chunk_id": pd.Series(ids[row], dtype=object), "ord": ords[row], "score": scores[row, q]}))
         self.n += len(row)
         if self.n > 4 * int(self.limits.sum()) + 100_000:
             self.held = [self.rows()]
             self.n = len(self.held[0])
 
     def rows(self) -> pd.DataFrame:
-        every = pd.concat(self.held) if self.held else pd.DataFrame(columns=self.COLUMNS)
+        every = pd.concat(self.held, ignore_index=True) if self.held else pd.DataFrame(columns=self.COLUMNS)
         every = every.sort_values(["q", "key", "chunk_id", "ord"], ascending=[True, False, True, True], kind="stable")
         nth = every.groupby("q").cumcount().to_numpy()
         return every[nth < self.limits[every["q"].to_numpy(np.int64)]]
@@ -137,7 +137,7 @@ def _bm25_block(corpus: DataFrame, asked: list, pool: int) -> DataFrame:
                 scores = np.bincount(np.repeat(row, many) * len(asked) + to, np.repeat(part, many), len(own) * len(asked)).reshape(len(own), len(asked))
                 best.add(millionths(scores), own["chunk_id"].to_numpy(), own["ord"].to_numpy(), scores, 0)
         out = best.rows()
-        yield pd.DataFrame({"q_id": [asked[q]["q_id"] for q in out["q"]], "ord": out["ord"], "chunk_id": out["chunk_id"], "bm25": out["score"]})
+        yield pd.DataFrame({"q_id": pd.Series([asked[q]["q_id"] for q in out["q"]], index=out.index, dtype=object), "ord": out["ord"], "chunk_id": out["chunk_id"], "bm25": out["score"]})
 
     return corpus.select("ord", "chunk_id", "content").mapInPandas(score, f"q_id {kind}, ord long, chunk_id string, bm25 double")
 
@@ -195,7 +195,7 @@ def nearest(corpus: DataFrame, vectors: list[tuple], column: str = "counts", has
                 scores = np.divide(scores, both, out=np.zeros_like(scores), where=both > 0)
             best.add(millionths(scores), frame["chunk_id"].to_numpy(), frame["ord"].to_numpy(), scores)
         out = best.rows()
-        yield pd.DataFrame({"q_id": [names[q] for q in out["q"]], "ord": out["ord"], "chunk_id": out["chunk_id"], "cosine": out["score"].astype(float)})
+        yield pd.DataFrame({"q_id": pd.Series([names[q] for q in out["q"]], index=out.index, dtype=object), "ord": out["ord"], "chunk_id": out["chunk_id"], "cosine": out["score"].astype(float)})
 
     return corpus.select("ord", "chunk_id", column).mapInPandas(run, f"q_id {kind}, ord long, chunk_id string, cosine double")
 

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from siltstone.functions import embed
 from siltstone.operators import metrics, quality, retrieval
 
@@ -31,6 +33,21 @@ def test_hybrid_penalises_and_caps(spark):
     assert retrieval.ranked(same, asked(spark, "alpha", k=9)).count() == 3
 
 
+def test_scans_of_several_batches(spark):
+    """A task's running best holds ids from more than one Arrow batch."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        c, q = corpus(spark, [("a.py", f"alpha word{i}") for i in range(20)]).coalesce(1), asked(spark, "alpha word7", k=5)
+        for name in ("bm25", "vector"):
+            got = retrieval.by_backend(name, c, q).orderBy("rank").collect()
+            assert len(got) == 5 and got[0].chunk_id == "c7"
+        with pytest.raises(ValueError):
+            retrieval.by_backend("guess", c, q)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_queries_without_tokens_or_k_give_nothing(spark):
     assert retrieval.ranked(corpus(spark, ROWS), asked(spark, "?!")).count() == 0
     assert retrieval.ranked(corpus(spark, ROWS), asked(spark, "alpha", k=0)).count() == 0
