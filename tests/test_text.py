@@ -116,3 +116,11 @@ def test_suggestions_notes_and_settings():
     assert control.release_notes(notes, "0.9.0", "v1.2.0", 1).endswith("... and 2 more releases")
     body = "retrieval:\n  top_k: 7  # seven\n  graph: false\noutput:\n  detail: 'full'\n  min_score: 0.5\n"
     assert control.yaml_block(body, "retrieval") == {"top_k": 7, "graph": False} and control.yaml_block(body, "output") == {"detail": "full", "min_score": 0.5}
+
+
+def test_settings_blocks_keep_defaults_for_what_does_not_fit():
+    from siltstone.functions import control
+
+    body = "retrieval:\n  detail: Full\noutput:\n  level: loud\nmemory:\n  enabled: false\nsummarization:\n  auto_tokens: 900\nmcp:\n  result_footer: true\nmarkdown:\n  max_section_tokens: -3\nknowledge:\n  enabled: 1\n  min_score: 0.5  # half\n  default_source: code\n"
+    assert control.settings(body) == {"retrieval": {"detail": "full"}, "output": {"level": "standard"}, "memory": {"enabled": False}, "summarization": {"auto_tokens": 900}, "mcp": {"result_footer": "on"},
+                                      "markdown": {"max_section_tokens": 400}, "knowledge": {"enabled": True, "min_score": 0.5, "default_source": "code"}}
