@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -179,7 +180,8 @@ def embeddings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 100 = 0").select("vec_id", "embedding").collect()  # the stated query set
     rows = e.select(F.col("vec_id").alias("ord"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("counts"))
-    near = retrieval.nearest(rows, [(r["vec_id"], 10, r["embedding"]) for r in asked], hashed=False)
+    blocks = [asked[at : at + retrieval.QUERY_BLOCK] for at in range(0, max(len(asked), 1), retrieval.QUERY_BLOCK)]
+    near = reduce(DataFrame.unionByName, [retrieval.nearest(rows, [(r["vec_id"], 10, r["embedding"]) for r in block], hashed=False) for block in blocks])
     order = Window.partitionBy("q_id").orderBy(text.score_key(F.col("cosine")).desc(), "chunk_id")
     return near.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").select("q_id", F.col("ord").alias("vec_id"), "rank")
 
