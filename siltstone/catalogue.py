@@ -422,7 +422,9 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, series) -> DataFrame:
     path = shared_folder(spark)
-    _log_lines(spark, sf_dir).repartition(4).write.text(f"{path}/log")
+    lines = _log_lines(spark, sf_dir)
+    size = int(str(table(spark, sf_dir, "events")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    lines.repartition(max(4, -(-size // (4 << 20)))).write.text(f"{path}/log")  # files of about 15 MB of text, so that as many tasks as there are read them
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out")

@@ -60,10 +60,13 @@ def string(v: Column, name: str) -> Column:
 def events(lines: DataFrame) -> DataFrame:
     """Typed events of lines (ord, value). kind is null for a line that is blank, no object, or without a valid time: it is
     skipped and counted, never an error. A line whose event is unknown is kept as such."""
-    v = F.col("v")
-    rows = lines.withColumn("v", F.try_parse_json("value")).withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
-    event, ts = string(v, "event"), string(v, "ts")
-    secs = text.iso_seconds(ts)
+    v, event, ts, secs = (F.col(c) for c in ("v", "event", "ts", "secs"))
+    # each step is a row's own array of one, so that what reads it, filters too, doesn't work it out again
+    once = lambda rows, name, value: rows.select("*", F.explode(F.array(value)).alias(name))
+    rows = once(lines.select("ord", "value"), "raw", F.try_parse_json("value"))
+    rows = once(rows, "v", F.when(F.schema_of_variant("raw").startswith("OBJECT"), F.col("raw")))
+    rows = once(once(rows, "event", string(v, "event")), "ts", string(v, "ts"))
+    rows = once(rows, "secs", text.iso_seconds(ts))
     kind = F.when(secs.isNull(), F.lit(None).cast("string")).when(event.isin(*KNOWN), event).otherwise("unknown")
     source = F.coalesce(string(v, "source"), F.when(event == "index", "local").otherwise("cli"))
     layers = [F.struct(counter(v, f"savings.{n}.saved_tokens").alias("saved_tokens"), counter(v, f"savings.{n}.baseline_tokens").alias("baseline_tokens")).alias(n) for n in LAYERS]
