@@ -1,7 +1,7 @@
 """Secrets: labelled patterns, values assigned to secret-like keys, and files that are not to be read.
 
 Patterns run as built-in replacements, in order. The value after a key needs a scanner (quotes, escapes, doubled quotes, open ends), which is
-one Arrow pass over the texts; texts without such a key pass through it untouched.
+one Arrow pass over the texts that may hold such a key; other texts never reach Python.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ PATTERNS = (
     (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "JWT"),
 )
 KEYS = r"(?i)\b(password|passwd|secret[_-]?key|secret|api[_-]?key|access[_-]?key|auth[_-]?token|private[_-]?key|token)\b(\s*[:=]\s*)"
+# Whatever KEYS can match holds this (Python's letter cases and white space included).
+MAY_HOLD = r"(?i)(?:pa[s\u017f]{2}w(?:or)?d|[s\u017f]ecret|[k\u212a]ey|to[k\u212a]en)[\s\p{Z}\x1c-\x1f\x85]*[:=]"
 PLACEHOLDER_STARTS = ("your", "my-", "the-", "example", "changeme", "placeholder", "dummy", "test", "sample", "xxx")
 PLACEHOLDER_WORDS = ("null", "nil", "none", "true", "false")
 SENSITIVE_NAMES = ("credentials.json", "credentials.yml", "credentials.yaml", "secrets.json", "secrets.yml", "secrets.yaml", ".netrc", ".pgpass", ".htpasswd", ".dockercfg", "kubeconfig", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519")
@@ -96,7 +98,7 @@ def _hidden(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def redacted(text: Column) -> Column:
     for pattern, label in PATTERNS:
         text = F.regexp_replace(text, pattern, f"[REDACTED:{label}]")
-    return _hidden(text)
+    return F.coalesce(_hidden(F.when(text.rlike(MAY_HOLD), text)), text)
 
 
 def redact_text(text: str) -> str:
