@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 DIM = 256
 TOKEN = re.compile(rb"[a-z0-9_]+")
+CELLS = 1 << 16  # terms a worker remembers
 _cells: dict[bytes, tuple[int, int]] = {}
 # FNV-1a with 64 bits.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -50,7 +51,7 @@ def cell(term: bytes) -> tuple[int, int]:
     """Bucket and sign of a term."""
     found = _cells.get(term)
     if found is None:
-        if len(_cells) > 500_000:
+        if len(_cells) >= CELLS:
             _cells.clear()
         h = fnv1a(term)
         found = _cells[term] = (h & (DIM - 1), -1 if h >> 63 else 1)

@@ -31,7 +31,8 @@ from siltstone.session import removed
 SEGMENT = 512
 PIVOTS = 256
 SHELL = 256
-CELLS = 1 << 22  # scores a task holds at once
+CELLS = 1 << 19  # scores a task holds at once
+HELD = 1 << 16  # rows a task holds besides twice its queries' best
 STAGED = "kind string, segment long, term string, n int, most int, least int, at binary, tf binary, length binary, ords array<long>, ids array<string>, vector binary"
 SLACK = 1e-9
 PLACE = 16  # bits of a position in its segment
@@ -46,7 +47,7 @@ class Top:
         self.keys = np.full((len(limits), self.most), -np.inf)
         self.floor = np.full(len(limits), -np.inf) if first is None else first.copy()
         self.rows: list[tuple[np.ndarray, ...]] = []
-        self.seen = self.skipped = 0
+        self.held = self.seen = self.skipped = 0
 
     def reachable(self, q: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """Which of the queries q can still gain from something of at most bound."""
@@ -65,11 +66,23 @@ class Top:
         self.floor[q] = np.maximum(self.floor[q], both[np.arange(len(q)), self.limits[q] - 1])
         row, col = np.nonzero((keys >= self.floor[q][:, None]) & (keys > -np.inf))
         self.rows.append((q[row], np.broadcast_to(segment, scores.shape[1])[col], at[col], scores[row, col], keys[row, col]))
+        self.held += len(row)
+        if self.held > 2 * int(self.limits.sum()) + HELD:
+            self.rows = [self.best()]
+            self.held = len(self.rows[0][0])
 
-    def found(self) -> pd.DataFrame:
+    def best(self) -> tuple[np.ndarray, ...]:
+        """The best limits[q] rows of each query so far: by key, then place. Equal keys (copies) don't add up."""
         columns = [np.concatenate([r[i] for r in self.rows]) if self.rows else np.zeros(0) for i in range(5)]
-        ok = columns[4] >= self.floor[columns[0].astype(int)] if len(columns[0]) else np.zeros(0, bool)
-        told = [np.concatenate([x, [y]]) for x, y in zip((c[ok] for c in columns[:4]), (-1, self.seen, self.skipped, 0))]  # q = -1: what was looked at, and skipped
+        q, key = columns[0].astype(np.int64), columns[4]
+        ok = np.flatnonzero(key >= self.floor[q])
+        order = ok[np.lexsort([columns[2][ok], columns[1][ok], -key[ok], q[ok]])]
+        own = q[order]
+        nth = np.arange(len(own)) - np.searchsorted(own, own, "left")
+        return tuple(c[order[nth < self.limits[own]]] for c in columns)
+
+    def found(self) -> pd.DataFrame:
+        told = [np.concatenate([x, [y]]) for x, y in zip(self.best()[:4], (-1, self.seen, self.skipped, 0))]  # q = -1: what was looked at, and skipped
         return pd.DataFrame({"q": told[0].astype(np.int64), "segment": told[1].astype(np.int64), "at": told[2].astype(np.int64), "score": told[3].astype(float)})
 
 

@@ -12,10 +12,21 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.ui.enabled": "false",
 }
 
 
+def small_batches(spark: SparkSession, small: bool = True) -> None:
+    """Arrow batches of a few MB from now on, as in SETTINGS: a Python worker holds several copies of one. Not small: Spark's own size again, unless
+    it is another that the user has set."""
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", SETTINGS["spark.sql.execution.arrow.maxBytesPerBatch"]
+    if small and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, own)
+    elif not small and spark.conf.get(key, None) == own and not spark.sparkContext.getConf().contains(key):
+        spark.conf.unset(key)
+
+
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g", **more: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("siltstone")
