@@ -162,7 +162,7 @@ def millionths(scores: np.ndarray) -> np.ndarray:
 # --- build
 
 
-def _stage(size: int, kind: str, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stage(size: int, kind: str | None, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Segments of a task's chunks: a row of ids, a row a term, a row a vector."""
     base, held, nth = TaskContext.get().partitionId() << 32, [], 0
 
@@ -170,7 +170,7 @@ def _stage(size: int, kind: str, frames: Iterator[pd.DataFrame]) -> Iterator[pd.
         own = pd.concat(held, ignore_index=True)
         found = [embed.TOKEN.findall((c or "").encode().lower()) for c in own["content"]]
         lengths = np.array([len(t) for t in found], "<u4")
-        counts = [embed.counted(t) for t in found] if "counts" not in own.columns else own["counts"]
+        counts = [] if kind is None else [embed.counted(t) for t in found] if "counts" not in own.columns else own["counts"]
         names: dict[bytes, int] = {}
         flat = np.fromiter((names.setdefault(t, len(names)) for doc in found for t in doc), np.int64, int(lengths.sum()))
         cells, tf = np.unique(flat * len(own) + np.repeat(np.arange(len(own)), lengths), return_counts=True)
@@ -268,13 +268,13 @@ def _parts(df: DataFrame, target: int = 64 << 20) -> int:
     return own if size >= 1 << 60 else max(own, -(-size // target))
 
 
-def build(corpus: DataFrame, path: str, segment: int = SEGMENT, buckets: int | None = None, pivots: int = PIVOTS, shell: int = SHELL) -> Index:
-    """Writes the index of a corpus (ord, chunk_id, content, and counts if it is embedded already) below path."""
+def build(corpus: DataFrame, path: str, segment: int = SEGMENT, buckets: int | None = None, pivots: int = PIVOTS, shell: int = SHELL, vectors: bool = True) -> Index:
+    """Writes the index of a corpus (ord, chunk_id, content, and counts if it is embedded already) below path; without vectors it has words alone."""
     spark = corpus.sparkSession
     kind = "<f8" if "counts" in corpus.columns else "<f4"  # hashed counts are whole numbers, which floats hold
     n = min(_parts(corpus), 1 << 15)  # partitions and positions share a place's bits
     ordered = corpus.select("ord", "chunk_id", "content", *["counts"] * ("counts" in corpus.columns)).repartitionByRange(n, "chunk_id", "ord").sortWithinPartitions("chunk_id", "ord")
-    ordered.mapInPandas(partial(_stage, segment, kind), STAGED).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/staged")
+    ordered.mapInPandas(partial(_stage, segment, kind if vectors else None), STAGED).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/staged")
     staged = spark.read.schema(STAGED).parquet(f"{path}/staged")
     buckets = buckets or max(64, min(4096, _parts(staged, 256 << 20)))
     terms = staged.where("kind = 'term'").select("term", "segment", "n", "most", "least", "at", "tf", "length", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
@@ -284,17 +284,18 @@ def build(corpus: DataFrame, path: str, segment: int = SEGMENT, buckets: int | N
     df.repartitionByRange(n, "bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     ids = staged.where("kind = 'ids'").select("segment", F.col("n").cast("long").alias("n"), "ords", "ids", "length")
     ids.sortWithinPartitions("segment").write.mode("overwrite").parquet(f"{path}/segments")
-    vectors = staged.where("kind = 'vector'").select("segment", "n", "vector")
+    found = staged.where("kind = 'vector'").select("segment", "n", "vector")
     zero = F.hex("vector").rlike("^0*$")
-    sample = vectors.where(~zero).orderBy(F.xxhash64("segment", "n")).limit(pivots).collect()  # a bounded sample, all vectors are indexed
+    sample = [] if not vectors else found.where(~zero).orderBy(F.xxhash64("segment", "n")).limit(pivots).collect()  # a bounded sample, all vectors are indexed
     chosen = _matrix(pd.Series([r["vector"] for r in sample]), kind) if sample else np.zeros((0, embed.DIM))
-    assigned = vectors.mapInPandas(partial(_assign, chosen if len(chosen) else np.zeros((1, embed.DIM)), kind), "segment long, n int, vector binary, pivot int, angle double")
-    assigned.repartitionByRange(n, "pivot", "angle").sortWithinPartitions("pivot", "angle", "segment", "n").mapInPandas(partial(_shells, shell), BLOCKS).write.mode("overwrite").parquet(f"{path}/vectors")
+    assigned = found.mapInPandas(partial(_assign, chosen if len(chosen) else np.zeros((1, embed.DIM)), kind), "segment long, n int, vector binary, pivot int, angle double")
+    if vectors:
+        assigned.repartitionByRange(n, "pivot", "angle").sortWithinPartitions("pivot", "angle", "segment", "n").mapInPandas(partial(_shells, shell), BLOCKS).write.mode("overwrite").parquet(f"{path}/vectors")
     sums = _table(spark, path, "segments").select("n", "length").mapInPandas(_lengths, "n long, tokens long").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
     sums.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     spark.createDataFrame([(i, r["segment"], r["n"], bytes(r["vector"])) for i, r in enumerate(sample)], "pivot int, segment long, n int, vector binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
     removed(spark, f"{path}/staged")
-    return Index(spark, path)
+    return Index(spark, path, vectors)
 
 
 def _lengths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,10 +319,11 @@ def _token_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Index:
     """An index below path. Ranked lists are those of a full scan: see retrieval.bm25_ranked and vector_ranked."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, vectors: bool = True):
         self.spark, self.path = spark, path
         read = partial(_table, spark, path)
-        self.postings, self.terms, self.segments, self.vectors = read("postings"), read("terms"), read("segments"), read("vectors")
+        self.postings, self.terms, self.segments = read("postings"), read("terms"), read("segments")
+        self.vectors = read("vectors") if vectors else None
         totals = read("totals").first()
         self.docs, self.tokens, self.buckets, self.kind = totals["n"], totals["tokens"], totals["buckets"], totals["kind"]
         self.pivots = read("pivots").orderBy("pivot").collect()
@@ -353,6 +355,8 @@ class Index:
         wanted = np.array([v for _, _, v in asked], float).reshape(len(asked), -1)
         if not len(asked):
             return self.spark.createDataFrame([], FOUND)
+        if self.vectors is None:
+            raise ValueError(f"{self.path}: an index of words alone has no vectors")
         pivots = _matrix(pd.Series([r["vector"] for r in self.pivots]), self.kind) if self.pivots else np.zeros((0, wanted.shape[1]))
         first = -np.sort(-millionths(cosines(wanted, pivots, hashed)), axis=1)
         floor = np.array([row[n - 1] if n <= len(row) else -np.inf for row, n in zip(first, limits)])

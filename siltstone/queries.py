@@ -155,18 +155,18 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CORPUS}, {ASKED}, {BM25} SELECT term, df::BIGINT AS df, tf::BIGINT AS tf, most::INT AS most, least::INT AS least FROM (SELECT term, count(*) AS df, sum(tf) AS tf, max(tf) AS most, min(doc_len) AS least FROM tf GROUP BY term)")
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the postings hold of each term: chunks, occurrences, and the bounds of its blocks."""
-    return indexes.documents(spark, sf_dir).term_totals()
+    return indexes.words(spark, sf_dir).term_totals()
 
 
 @query(f"WITH {CORPUS} SELECT ord, chunk_id, len({TOKENS('content')})::BIGINT AS n_tokens, row_number() OVER (ORDER BY chunk_id, ord) - 1 AS place FROM corpus")
 def index_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of the index in the order of their places."""
-    return indexes.documents(spark, sf_dir).places()
+    return indexes.words(spark, sf_dir).places()
 
 
 @query(f"WITH {CORPUS}, {ASKED}, {BM25} SELECT q_id, ord, frank, {SIX('bm25')} AS bm25 FROM kw")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_ranked(None, questions(spark, sf_dir), index=indexes.documents(spark, sf_dir)).select("q_id", "ord", F.col("frank").cast("long").alias("frank"), text.rounded(F.col("bm25")).alias("bm25"))
+    return retrieval.bm25_ranked(None, questions(spark, sf_dir), index=indexes.words(spark, sf_dir)).select("q_id", "ord", F.col("frank").cast("long").alias("frank"), text.rounded(F.col("bm25")).alias("bm25"))
 
 
 @query(f"WITH {CORPUS}, {ASKED}, {VECTORS} SELECT q_id, ord, vrank, {SIX('cosine')} AS cosine FROM ve")
