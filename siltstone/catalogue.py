@@ -366,8 +366,9 @@ def exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY file_path, ord) AS place, chunk_id, file_path, md5(content) AS digest FROM corpus")
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exchange artifact of all documents: sorted canonically, written, verified and read back."""
-    path = shared_folder(spark)
-    artifacts.write_artifact(artifacts.artifact_lines(exchange(spark, sf_dir)), {"schema": "exchange"}, path)
+    path, chunks = shared_folder(spark), exchange(spark, sf_dir)
+    order = artifacts.line_order(chunks)
+    artifacts.write_artifact(artifacts.artifact_lines(chunks, order=order), {"schema": "exchange"}, path, artifacts.order_address(order), order.n)
     return artifacts.read_artifact(spark, path, EXCHANGE)[1].select("place", "chunk_id", "file_path", F.md5("content").alias("digest"))
 
 

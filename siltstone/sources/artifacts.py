@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -92,54 +94,91 @@ def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
 FAN = 4096  # lines of a stretch, and digests of a node of the tree
 
 
+class Order(NamedTuple):
+    """The canonical order of lines, without the lines. places: place (from 1), sha. starts: the place before each part. lows: the least key in each."""
+
+    places: DataFrame
+    starts: list[int]
+    lows: list[tuple]
+    n: int
+
+
+KEY = ["kind_", "a", "b", "c", "sha"]
+
+
 def artifact_rows(chunks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """kind_, a, b, c (the canonical order: chunks by file_path, start_line, chunk_id, then edges), value: each row's JSON."""
+    """kind_, a, b, c, sha (the canonical order: chunks by file_path, start_line, chunk_id, then edges; equal ones by the SHA-256 of their lines), value:
+    each row's JSON."""
     body = chunks.withColumn("embedding", encode_vector("embedding")) if "embedding" in chunks.columns else chunks
     rows = body.select(F.lit(0).alias("kind_"), F.col("file_path").alias("a"), F.col("start_line").cast("long").alias("b"), F.col("chunk_id").alias("c"), F.to_json(F.struct(*sorted(body.columns))).alias("value"))
-    if edges is None:
-        return rows
-    return rows.unionByName(edges.select(F.lit(1).alias("kind_"), F.col("src").alias("a"), F.lit(0).cast("long").alias("b"), F.col("dst").alias("c"), F.to_json(F.struct("src", "dst")).alias("value")))
+    if edges is not None:
+        rows = rows.unionByName(edges.select(F.lit(1).alias("kind_"), F.col("src").alias("a"), F.lit(0).cast("long").alias("b"), F.col("dst").alias("c"), F.to_json(F.struct("src", "dst")).alias("value")))
+    return rows.select(*KEY[:4], F.unhex(F.sha2("value", 256)).alias("sha"), "value")
 
 
-def artifact_lines(chunks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """place, value: canonical lines, from 1. Lines are range-sorted in tasks and written; a line's place is its place in its part and the sizes of the
-    parts before it (a number a part on the driver), so no task and no window sees them all."""
-    spark, order = chunks.sparkSession, ["kind_", "a", "b", "c", "value"]
-    rows = artifact_rows(chunks, edges)
+def line_order(chunks: DataFrame, edges: DataFrame | None = None) -> Order:
+    """Only keys and digests are range-sorted and digests written; a line's place is its place in its part and the sizes of the parts before it (a
+    number and a key a part on the driver), so no task and no window sees them all. The parts are as many as suit the lines."""
+    spark, rows = chunks.sparkSession, artifact_rows(chunks, edges)
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = own if size >= 1 << 60 else max(own, -(-size // (64 << 20)))
     spot = F.monotonically_increasing_id()  # the part, and the place in it
-    held = written(rows.repartitionByRange(n, *order[:4]).sortWithinPartitions(*order).select("value", F.shiftright(spot, 33).cast("int").alias("part"), spot.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")))
-    sizes, starts = {r["part"]: r["n"] for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}, []
-    at = 1
-    for part in sorted(sizes):
-        starts.append((part, at))
-        at += sizes[part]
-    return held.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").select((F.col("start") + F.col("nth")).alias("place"), "value")
+    nth = spot.bitwiseAND(F.lit((1 << 33) - 1))
+    keys = rows.select(*KEY).repartitionByRange(n, *KEY).sortWithinPartitions(*KEY)
+    held = written(keys.select("sha", F.shiftright(spot, 33).cast("int").alias("part"), nth.alias("nth"), F.when(nth == 0, F.struct(*KEY)).alias("low")))
+    parts = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low")).orderBy("part").collect()  # a row a part
+    starts = [0, *accumulate(r["n"] for r in parts)]
+    begin = spark.createDataFrame([(r["part"], at) for r, at in zip(parts, starts)], "part int, start long")
+    places = held.join(F.broadcast(begin), "part").select((F.col("start") + F.col("nth") + 1).alias("place"), "sha")
+    return Order(places, starts[:-1], [tuple(r["low"]) for r in parts], starts[-1])
+
+
+def artifact_lines(chunks: DataFrame, edges: DataFrame | None = None, order: Order | None = None) -> DataFrame:
+    """place, value: canonical lines, from 1. They are dealt to the parts of their order by halving among the parts' least keys, and sorted there in
+    tasks. With an order at hand they are for one reader, who shuffles them; else they are written once and may be read at will."""
+    rows, own = artifact_rows(chunks, edges), order or line_order(chunks, edges)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    lows = F.array(*[F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(KEY, low)]) for low in own.lows])
+    starts = F.array(*[F.lit(at).cast("long") for at in own.starts])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(own.lows).bit_length())))])
+    above = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(lows, at + step) <= F.struct(*KEY), at + step).otherwise(at))  # the last part that begins at or before it
+    dealt = rows.withColumn("part", above if own.lows else F.lit(0)).repartitionById(max(1, len(own.lows)), "part").sortWithinPartitions("part", *KEY)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = dealt.select((F.get(starts, F.col("part")) + nth + 1 if own.lows else nth + 1).alias("place"), "value")
+    return lines if order else written(lines)
 
 
 def address(lines: DataFrame) -> str:
     """The root of the tree of digests of canonical lines: SHA-256 of each line, then of each FAN digests in order, level by level in tasks,
-    until one is left. It depends on the lines and their order alone, not on how they are dealt."""
-    level = lines.select((F.col("place") - 1).alias("at"), F.sha2("value", 256).alias("sha"))
-    n = lines.count()
+    until one is left. It depends on the lines and their order alone, not on how they are dealt. lines: place, and value or its digest (sha)."""
+    return _root(lines, lines.count())
+
+
+def _root(lines: DataFrame, n: int) -> str:
+    sha = F.col("sha") if "sha" in lines.columns else F.unhex(F.sha2("value", 256))
+    level = lines.select((F.col("place") - 1).alias("at"), sha.alias("sha"))
     while n > 1 or n == 0:
         if n == 0:
             return hashlib.sha256(b"").hexdigest()
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sha"))), lambda x: x["sha"]), "")
-        level = level.groupBy(F.floor(F.col("at") / FAN).alias("up")).agg(F.sha2(joined, 256).alias("sha")).select(F.col("up").alias("at"), "sha")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sha"))), lambda x: F.lower(F.hex(x["sha"]))), "")
+        level = level.groupBy(F.floor(F.col("at") / FAN).alias("up")).agg(F.unhex(F.sha2(joined, 256)).alias("sha")).select(F.col("up").alias("at"), "sha")
         n = -(-n // FAN)
-    return hashlib.sha256(level.first()["sha"].encode()).hexdigest()
+    return hashlib.sha256(level.first()["sha"].hex().encode()).hexdigest()
+
+
+def order_address(order: Order) -> str:
+    """The address of the lines that have this order."""
+    return _root(order.places, order.n)
 
 
-def write_artifact(lines: DataFrame, manifest: dict, path: str) -> str:
+def write_artifact(lines: DataFrame, manifest: dict, path: str, root: str | None = None, n: int | None = None) -> str:
     """Lines as text parts, each behind its place and a tab, written in tasks; then the manifest with their number and address, which makes
-    the artifact whole. Returns the address."""
-    spark, root = lines.sparkSession, address(lines)
+    the artifact whole. Returns the address. root, n: address and number, where the order of the lines has told them."""
+    root, n = root or address(lines), lines.count() if n is None else n
     lines.select(F.concat(F.col("place").cast("string"), F.lit("\t"), "value")).write.mode("overwrite").text(f"{path}/lines")
-    head = json.dumps(manifest | {"checksum": root, "lines": lines.count()}, sort_keys=True)
-    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    head = json.dumps(manifest | {"checksum": root, "lines": n}, sort_keys=True)
+    lines.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return root
 
 
@@ -156,7 +195,7 @@ def check_artifact(spark: SparkSession, path: str) -> dict:
     found = body.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places"), F.min("place").alias("low"), F.max("place").alias("high")).first()
     n = manifest["lines"]
     whole = found["n"] == found["places"] == n and (n == 0 or (found["low"], found["high"]) == (1, n))
-    return manifest | {"found": found["n"], "whole": whole, "sound": whole and address(body) == manifest["checksum"]}
+    return manifest | {"found": found["n"], "whole": whole, "sound": whole and _root(body, n) == manifest["checksum"]}
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str) -> tuple[dict, DataFrame]:

@@ -2,9 +2,10 @@
 
 A commit names everything that it publishes (lines, digests, manifest), which is in place before it; its entry in the log is created under the next
 number, and creation fails if another writer has taken that number. So a pointer moves from the state a writer has seen or not at
-all: a writer that loses reads what is there now, asks again whether its push would lose records, and tries again. After it has won, it reads its entry
-and its artifact back; an entry that a later one has passed over (it appeared while this one was still being written) counts as lost too. File
-systems whose create() without overwriting is atomic (HDFS, stores with conditional puts) give exactly one winner.
+all: a writer that loses reads what is there now, asks again whether its push would lose records, and tries again. It reads its artifact back before it
+tries, and its entry after it has won; an entry that a later one has passed over (it appeared while this one was still being written) counts as lost too.
+File systems whose create() without overwriting is atomic (HDFS, stores with conditional puts) give exactly one winner. Lines are moved only by a push
+that publishes them; whatever compares alone sorts their keys and digests.
 """
 
 from __future__ import annotations
@@ -154,8 +155,8 @@ def push(remote: FolderRemote, corpus: str, chunks: DataFrame, force: bool = Fal
     nothing; a push that would lose records is refused unless it is forced; chunks with an empty embedding are refused."""
     if "embedding" in chunks.columns and not chunks.where(F.coalesce(F.size("embedding"), F.lit(0)) <= 0).isEmpty():
         raise ValueError(f"{corpus}: chunks without an embedding can't be published")
-    lines, digests = artifacts.artifact_lines(chunks), written(artifacts.record_sums(chunks))
-    key, data = artifacts.address(lines), None
+    order, digests = artifacts.line_order(chunks), written(artifacts.record_sums(chunks))
+    key, data = artifacts.order_address(order), None
     for attempt in range(1, tries + 1):
         chain = entries(remote, corpus)
         last = chain[-1] if chain else {"version": -1, "address": None}
@@ -171,16 +172,16 @@ def push(remote: FolderRemote, corpus: str, chunks: DataFrame, force: bool = Fal
             return plan | {"address": key, "pushed": False, "reason": "dry run", "tries": attempt}
         if data is None:
             data = f"{corpus}/data/{key}-{uuid.uuid4().hex[:8]}"
-            artifacts.write_artifact(lines, {"corpus": corpus}, remote.path(data))
+            artifacts.write_artifact(artifacts.artifact_lines(chunks, order=order), {"corpus": corpus}, remote.path(data), key, order.n)
             digests.write.parquet(remote.path(f"{data}/digests"))
+            if not artifacts.check_artifact(remote.spark, remote.path(data))["sound"]:
+                raise ValueError(f"{corpus}: what was written does not read back as {key}")
         number = max([int(k.rsplit("/", 1)[-1].split(".")[0]) for k in remote.list(f"{corpus}/log") if k.endswith(".json")], default=-1) + 1
-        entry = {"version": number, "base": last["version"], "address": key, "data": data, "lines": lines.count(), "records": digests.count()}
+        entry = {"version": number, "base": last["version"], "address": key, "data": data, "lines": order.n, "records": digests.count()}
         if number <= last["version"] or not remote.create(f"{corpus}/log/{number:012d}.json", json.dumps(entry, sort_keys=True).encode()):
             continue
         if entry not in entries(remote, corpus):
             continue
-        if not artifacts.check_artifact(remote.spark, remote.path(data))["sound"]:
-            raise ValueError(f"{corpus}: what was pushed does not read back as {key}")
         retire(remote, corpus, keep)
         return plan | {"address": key, "pushed": True, "reason": "published", "tries": attempt, "version": number}
     raise Conflict(f"{corpus}: {tries} tries, each overtaken")
@@ -224,4 +225,4 @@ def status(remote: FolderRemote, corpus: str, chunks: DataFrame) -> str:
     last = head(remote, corpus)
     if not last:
         return "absent"
-    return "current" if last["address"] == artifacts.address(artifacts.artifact_lines(chunks)) else "behind"
+    return "current" if last["address"] == artifacts.order_address(artifacts.line_order(chunks)) else "behind"
